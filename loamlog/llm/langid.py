@@ -10,6 +10,7 @@ its neighbours.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -28,11 +29,14 @@ LABELS = {
 }
 LANGUAGES = list(LABELS)
 
-DOCS_A_LANGUAGE = 300  # the bound of the training sample: labelled documents of each language
+DOCS_A_LANGUAGE = 250  # the bound of the training sample: labelled documents of each language ...
+SENTENCES_A_LANGUAGE = 1500  # ... and of their distinct sentences, those repeated first, the others by hash
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
 SWITCH = 1.5
+DOUBT = float(np.log(0.8))  # up to here a judge's verdict on a single sentence isn't sure
 CACHE = 100_000
+REPEATS = 8
 
 _FENCE = re.compile(r"^\s*(?:```|~~~)[^\n]*\n.*?(?:^\s*(?:```|~~~)[^\n]*$|\Z)", re.S | re.M)
 _NOT_PROSE = re.compile(r"^(?:[ \t]*[$%] .*|[ \t]*#{1,6} .*|[ \t]*=+ .* =+[ \t]*|(?:    |\t).*|[ \t]*[\w.\-]+ ?= ?\S+[ \t]*|\[[^\]\n]*\][ \t]*)$", re.M)
@@ -64,15 +68,22 @@ def sentences(text: str) -> list[str]:
 
 
 def reduce_(sentence: str) -> str:
-    kept, names = [], []
-    for token in sentence.split():
+    kept, names, first = [], [], ""
+    for i, token in enumerate(sentence.split()):
         token = token.strip(".,;:!?()[]{}…/\\|<>'’")
         if not token or not _ALPHA.fullmatch(token):
             continue
-        (kept if token[0].islower() else names).append(token)
-    if len(kept) < 2 and len(names) > 2 and all(n.isupper() for n in names):
-        kept += [n.lower() for n in names]  # a sentence in capitals
-    return " ".join(kept).lower()
+        if token[0].islower():
+            kept.append(token)
+        elif i == 0:
+            first = token  # may be a name; counts only beside other words
+        else:
+            names.append(token)
+    if not kept and len(names) > 2 and all(n.isupper() for n in names):
+        kept = names  # a sentence in capitals
+    if first and kept:
+        kept.insert(0, first)
+    return " ".join(kept).lower() if len(kept) > 1 else ""  # one word alone shows no language
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -109,17 +120,59 @@ class Model:
         return z - z.max() - np.log(np.exp(z - z.max()).sum())
 
 
-def train(samples: list[tuple[str, int]], idf: np.ndarray, epochs: int = 3, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, held: float = 0.2) -> Model:
-    """Follow-the-regularised-leader (proximal, per coordinate) over (sentence, language number).
+def _pick(documents: list[tuple[int, list[str]]], most: int) -> list[tuple[str, int, float]]:
+    """Distinct sentences with the language they stand under most often, ``most`` of each, and
+    their weight: a sentence seen often counts up to ``REPEATS`` times."""
+    counts: dict[str, Counter] = {}
+    for y, texts in documents:
+        for s in texts:
+            counts.setdefault(s, Counter())[y] += 1
+    out, taken = [], Counter()
+    for s, c in sorted(counts.items(), key=lambda x: (x[1].total() < 5, hashlib.md5(x[0].encode()).digest())):
+        y = min(c, key=lambda x: (-c[x], x))
+        taken[y] += 1
+        if taken[y] <= most:
+            out.append((s, y, float(min(REPEATS, c.total()))))
+    return out
+
+
+def train(documents: list[tuple[int, list[str]]], idf: np.ndarray) -> Model:
+    """A model of documents (language number, sentences) of which some are labelled wrongly or
+    mixed.
+
+    Each half of the documents is judged by a model of the other half, held back by its penalties:
+    documents it takes for another language are left out, and so are sentences that it surely does.
+    """
+    kept = []
+    for half in (0, 1):
+        judge = _ftrl(_pick(documents[half::2], SENTENCES_A_LANGUAGE // 2), idf, epochs=2, alpha=1.0, l2=0.02)
+        seen: dict[str, np.ndarray] = {}
+        for y, texts in documents[1 - half :: 2]:
+            rows = []
+            for s in texts:
+                if s not in seen:
+                    seen[s] = judge.log_probabilities(s)
+                rows.append(seen[s])
+            if rows and sum(rows).argmax() == y:
+                kept.append((y, [s for s, r in zip(texts, rows) if r.max() < DOUBT or r.argmax() == y]))
+    chosen = _pick(kept, SENTENCES_A_LANGUAGE)
+    temperature = _ftrl(chosen, idf, epochs=3, alpha=2.0, l2=0.001, held=0.2).temperature
+    model = _ftrl(chosen, idf, epochs=3, alpha=2.0, l2=0.001)
+    model.temperature = temperature
+    return model
+
 
-    Every fifth sentence or so is held out to fit the temperature."""
+def _ftrl(samples: list[tuple[str, int, float]], idf: np.ndarray, epochs: int, alpha: float, l2: float, l1: float = 0.02, beta: float = 1.0, held: float = 0.0) -> Model:
+    """Follow-the-regularised-leader (proximal, a rate for each coordinate), elastic-net penalties.
+
+    A share ``held`` of the sentences is kept out, to fit the temperature."""
     k = len(LANGUAGES)
     z, n = np.zeros((BUCKETS + 1, k)), np.zeros((BUCKETS + 1, k))
     model = Model(idf, np.zeros((BUCKETS, k)), np.zeros(k))
     rng = np.random.default_rng(7)
     order = rng.permutation(len(samples))
     cut = int(len(samples) * held)
-    rows = [(*model.vector(s), y) for s, y in samples]
+    rows = [(*model.vector(s), y, m) for s, y, m in samples]
 
     def weights(at: np.ndarray) -> np.ndarray:
         w = -(z[at] - np.sign(z[at]) * l1) / ((beta + np.sqrt(n[at])) / alpha + l2)
@@ -128,14 +181,14 @@ def train(samples: list[tuple[str, int]], idf: np.ndarray, epochs: int = 3, alph
 
     for _ in range(epochs):
         for i in order[cut:]:
-            at, x, y = rows[i]
+            at, x, y, m = rows[i]
             at, x = np.append(at, BUCKETS), np.append(x, 1.0)  # the last coordinate is the bias
             w = weights(at)
             s = x @ w
             p = np.exp(s - s.max())
             p /= p.sum()
             p[y] -= 1
-            g = x[:, None] * p
+            g = m * x[:, None] * p
             sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha
             z[at] += g - sigma * w
             n[at] += g * g
@@ -150,7 +203,7 @@ def train(samples: list[tuple[str, int]], idf: np.ndarray, epochs: int = 3, alph
             s = s - s.max(axis=1, keepdims=True)
             return float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(cut), truth]).mean())
 
-        model.temperature = float(min(np.geomspace(0.05, 5, 60), key=loss))
+        model.temperature = float(min(np.geomspace(0.5, 5, 40), key=loss))
     model.weights = model.weights.astype(np.float32)
     return model
 
@@ -187,9 +240,9 @@ def inverse_frequencies(documents: DataFrame) -> np.ndarray:
     return (np.log((1 + df[BUCKETS]) / (1 + df[:-1])) + 1).astype(np.float32)
 
 
-def sample(documents: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE) -> list[tuple[str, int]]:
-    """Distinct sentences of at most ``docs_a_language`` labelled documents of each language, each
-    with the label it stands under most often. Which documents is a matter of their ids' hash."""
+def sample(documents: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE) -> list[tuple[int, list[str]]]:
+    """(language number, sentences) of at most ``docs_a_language`` labelled documents of each
+    language. Which ones is a matter of their ids' hash."""
     labelled = documents.select("doc_id", language(F.col("lang")).alias("lang")).where("lang is not null and doc_id is not null")
     ids: dict[int, str] = {}
     for code in LANGUAGES:
@@ -197,18 +250,16 @@ def sample(documents: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE) -> list
         ids |= {r["doc_id"]: code for r in rows}
     if not ids:
         return []
-    counts: dict[str, Counter] = {}
-    for r in documents.select("doc_id", "text").where(F.col("doc_id").isin(list(ids)) & F.col("text").isNotNull()).toLocalIterator():
-        for s in sentences(r["text"]):
-            if s:
-                counts.setdefault(s, Counter())[ids[r["doc_id"]]] += 1
-    return [(s, LANGUAGES.index(min(c, key=lambda x: (-c[x], x)))) for s, c in sorted(counts.items())]
+    chosen = documents.select("doc_id", "text").where(F.col("doc_id").isin(list(ids)) & F.col("text").isNotNull()).collect()
+    found = {r["doc_id"]: [s for s in sentences(r["text"]) if s] for r in chosen}
+    order = sorted(found, key=lambda i: hashlib.md5(str(i).encode()).digest())
+    return [(LANGUAGES.index(ids[i]), found[i]) for i in order if found[i]]
 
 
 def fit(documents: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE) -> Model | None:
     """None if no document has a label."""
-    samples = sample(documents, docs_a_language)
-    return train(samples, inverse_frequencies(documents)) if samples else None
+    chosen = sample(documents, docs_a_language)
+    return train(chosen, inverse_frequencies(documents)) if chosen else None
 
 
 def segments_of(rows: list[np.ndarray]) -> list[tuple[int, float, int]]:
