@@ -18,9 +18,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamlog.plans import scratch
+
 # The languages, and how labels spell them.
 LABELS = {
     "en": ["en", "eng", "english"], "de": ["de", "deu", "ger", "german", "deutsch"], "fr": ["fr", "fra", "fre", "french", "français", "francais"],
@@ -30,19 +33,48 @@ LABELS = {
 LANGUAGES = list(LABELS)
 
 DOCS_A_LANGUAGE = 250  # the bound of the training sample: labelled documents of each language ...
-SENTENCES_A_LANGUAGE = 1500  # ... and of their distinct sentences, those repeated first, the others by hash
-BUCKETS = 1 << 15
+SENTENCES_A_LANGUAGE = 1000  # ... and of their distinct sentences, those repeated first, the others by hash
+BITS = 15
+BUCKETS = 1 << BITS
+SCALE = 20.0  # brings the features' length near 1
 ORDERS = (1, 2, 3, 4)
-SWITCH = 1.5
-DOUBT = float(np.log(0.8))  # up to here a judge's verdict on a single sentence isn't sure
-CACHE = 100_000
+SWITCH = 2.5
+DOUBT = float(np.log(0.5))  # up to here a judge's verdict on a single sentence isn't sure
+CACHE = 200_000
+CHUNK = 2000  # sentences scored at once
+CHARS = 1 << 20  # characters split at once
 REPEATS = 8
 
-_FENCE = re.compile(r"^\s*(?:```|~~~)[^\n]*\n.*?(?:^\s*(?:```|~~~)[^\n]*$|\Z)", re.S | re.M)
+_FENCE = re.compile(r"^[ \t]*(?:```|~~~)[^\n]*\n.*?(?:^[ \t]*(?:```|~~~)[^\n]*$|\Z)", re.S | re.M)
 _NOT_PROSE = re.compile(r"^(?:[ \t]*[$%] .*|[ \t]*#{1,6} .*|[ \t]*=+ .* =+[ \t]*|(?:    |\t).*|[ \t]*[\w.\-]+ ?= ?\S+[ \t]*|\[[^\]\n]*\][ \t]*)$", re.M)
-_MARKS = re.compile(r"`[^`\n]*`|[*\"“”„«»]+|(?<!\w)_+|_+(?!\w)|^[ \t]*>[> \t]*|^[ \t]*(?:[-+•]|\d+[.)])[ \t]+", re.M)
-_CUT = re.compile(r"(?<=[.!?;…])\s+|\n\s*\n")
-_ALPHA = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
+# Classes of characters.
+OTHER, BLANK, NEWLINE, LOWER, UPPER, IDENTIFIER, END, JOINT = range(8)
+_tables: list[np.ndarray] = []
+
+
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """Of every code point its class, and its lower case (itself where that isn't one character)."""
+    if not _tables:
+        kind, lower = np.zeros(0x110000, dtype=np.uint8), np.arange(0x110000, dtype=np.uint32)
+        for code in range(0x110000):
+            c = chr(code)
+            if c.isalpha():
+                kind[code] = UPPER if c.isupper() or c.istitle() else LOWER
+                low = c.lower()
+                if len(low) == 1:
+                    lower[code] = ord(low)
+            elif c.isdigit() or c in "_/\\@=<>{}|`":
+                kind[code] = IDENTIFIER
+            elif c == "\n":
+                kind[code] = NEWLINE
+            elif c.isspace():
+                kind[code] = BLANK
+            elif c in ".!?;…":
+                kind[code] = END
+            elif c in "'’-":
+                kind[code] = JOINT
+        _tables.extend((kind, lower))
+    return _tables[0], _tables[1]
 
 
 def language(label: Column) -> Column:
@@ -57,52 +89,109 @@ def language(label: Column) -> Column:
     return out
 
 
-def sentences(text: str) -> list[str]:
-    """The text's sentences, reduced to what has a language: code, commands, headings, names
-    (capitalised words), numbers and identifiers are left out. '' for one of which nothing is left.
+def reduce_(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sentences of many texts, reduced to what has a language: code, commands, headings, names
+    (capitalised words but the first), numbers and identifiers are left out, and so is a sentence
+    of which one word is left; one in capitals is read in lower case.
+
+    Returns code points in lower case, words parted and sentences enclosed by blanks; the number of
+    each code point's sentence; and each sentence's text. All at once, on arrays of characters.
     """
-    text = _FENCE.sub("\n\n", text)
-    text = _NOT_PROSE.sub("\n", text)
-    text = _MARKS.sub("", text)
-    return [reduce_(s) for s in _CUT.split(text)]
+    kinds, lowers = _characters()
+    parts = []
+    for text in texts:
+        if "```" in text or "~~~" in text:
+            text = _FENCE.sub("\n\n", text)
+        parts.append(_NOT_PROSE.sub("\n", text))
+    codes = np.frombuffer(("\n\n" + "\n\n".join(parts) + "\n\n").encode("utf-32-le", "replace"), dtype=np.uint32)
+    text_start = np.cumsum([2, *(len(p) + 2 for p in parts)])[:-1]
+    kind = kinds[codes]
+    space = (kind == BLANK) | (kind == NEWLINE)
+    edge = np.diff(space.astype(np.int8))
+    start, end = np.flatnonzero(edge == -1) + 1, np.flatnonzero(edge == 1) + 1  # of tokens; there is space at both ends
+    none = np.zeros(0, dtype=np.int64)
+    if not len(start):
+        return np.zeros(0, dtype=np.uint32), none, none
+    letter = (kind == LOWER) | (kind == UPPER)
+    place = np.arange(len(codes))
+    far = len(codes)
+    # reduceat from a token's start runs on to the next one's; the space between adds nothing
+    first = np.minimum.reduceat(np.where(letter, place, far), start)
+    last = np.maximum.reduceat(np.where(letter, place, -1), start)
+    identifier = np.maximum.reduceat(kind == IDENTIFIER, start)
+    any_lower = np.maximum.reduceat(kind == LOWER, start)
+    word = (first < far) & ~identifier
+    name = word & (kind[np.minimum(first, far - 1)] == UPPER)
+    # a sentence begins after an end mark, an empty line, or with a text
+    lines = np.cumsum(kind == NEWLINE)
+    begins = np.ones(len(start), dtype=bool)
+    begins[1:] = (kind[end[:-1] - 1] == END) | (lines[start[1:]] - lines[end[:-1] - 1] >= 2)
+    sentence = np.cumsum(begins) - 1
+    capitals = np.maximum.reduceat(any_lower, np.flatnonzero(begins)) == 0
+    kept = word & (~name | begins | capitals[sentence])
+    words = np.bincount(sentence[kept], minlength=sentence[-1] + 1)
+    kept &= words[sentence] > 1
+    if not kept.any():
+        return np.zeros(0, dtype=np.uint32), none, none
+    renumber = np.cumsum(words > 1) - 1
+    a, b, of = first[kept], last[kept] + 1, renumber[sentence[kept]]
+    final = np.append(of[1:] != of[:-1], True)
+    # each word with a blank before it, and one after a sentence's last
+    size = b - a + 1 + final
+    offset = np.cumsum(size) - size
+    source = np.repeat(a - 1 - offset, size) + np.arange(size.sum())
+    owner = np.repeat(of, size)
+    out = lowers[codes[source]]
+    out[~(letter | (kind == JOINT))[source]] = 32
+    out[offset] = 32
+    out[offset[final] + size[final] - 1] = 32
+    whose = np.searchsorted(text_start, start[kept][np.flatnonzero(np.append(True, of[1:] != of[:-1]))], "right") - 1
+    return out, owner, whose
+
+
+def sentences(texts: list[str]) -> list[list[str]]:
+    """The reduced sentences of each text."""
+    codes, owner, whose = reduce_(texts)
+    out: list[list[str]] = [[] for _ in texts]
+    edges = np.flatnonzero(np.diff(owner)) + 1
+    for i, (a, b) in enumerate(zip([0, *edges.tolist()], [*edges.tolist(), len(codes)])):
+        if b > a:
+            out[whose[i]].append(codes[a + 1 : b - 1].tobytes().decode("utf-32-le"))
+    return out
 
 
-def reduce_(sentence: str) -> str:
-    kept, names, first = [], [], ""
-    for i, token in enumerate(sentence.split()):
-        token = token.strip(".,;:!?()[]{}…/\\|<>'’")
-        if not token or not _ALPHA.fullmatch(token):
-            continue
-        if token[0].islower():
-            kept.append(token)
-        elif i == 0:
-            first = token  # may be a name; counts only beside other words
-        else:
-            names.append(token)
-    if not kept and len(names) > 2 and all(n.isupper() for n in names):
-        kept = names  # a sentence in capitals
-    if first and kept:
-        kept.insert(0, first)
-    return " ".join(kept).lower() if len(kept) > 1 else ""  # one word alone shows no language
-
-
-def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the character n-grams and how often each occurs."""
-    codes = np.frombuffer(f" {text} ".encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    parts = []
-    for n in ORDERS:
-        if len(codes) >= n:
-            h = np.full(len(codes) - n + 1, n, dtype=np.uint64)
-            for k in range(n):
-                h = (h ^ codes[k : len(codes) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
-                h ^= h >> np.uint64(29)
-            parts.append(h % np.uint64(BUCKETS))
-    return np.unique(np.concatenate(parts).astype(np.int64), return_counts=True)
+def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of sentences enclosed by blanks, and the number of each one's sentence."""
+    codes = np.frombuffer("".join(f" {t} " for t in texts).encode("utf-32-le"), dtype=np.uint32)
+    return codes, np.repeat(np.arange(len(texts)), [len(t) + 2 for t in texts])
+
+
+def grams(codes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of every character n-gram, and the number of its sentence."""
+    buckets, owners = [], []
+    h = np.zeros(len(codes), dtype=np.uint32)
+    for n in range(1, max(ORDERS) + 1):
+        if len(codes) < n:
+            break
+        h = (h[: len(codes) - n + 1] + codes[n - 1 :]) * np.uint32(0x9E3779B1)
+        h ^= h >> np.uint32(15)
+        if n in ORDERS:
+            own = owner[: len(h)]
+            b = ((h + np.uint32(n)) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS)
+            if n > 1:
+                whole = own == owner[n - 1 :]
+                b, own = b[whole], own[whole]
+            buckets.append(b)
+            owners.append(own)
+    return np.concatenate(buckets), np.concatenate(owners)
 
 
 @dataclass
 class Model:
-    """Weights of n-gram buckets by language, inverse document frequencies and the temperature."""
+    """Weights of n-gram buckets by language, inverse document frequencies and the temperature.
+
+    A text's features are its n-grams' counts times their inverse document frequencies, divided by
+    the sum of all of them (and times ``SCALE``), so that scores add up over n-grams."""
 
     idf: np.ndarray
     weights: np.ndarray
@@ -110,14 +199,22 @@ class Model:
     temperature: float = 1.0
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        at, n = grams(text)
-        x = (1 + np.log(n)) * self.idf[at]
-        return at, x / max(float(np.sqrt((x * x).sum())), 1e-12)
-
-    def log_probabilities(self, text: str) -> np.ndarray:
-        at, x = self.vector(text)
-        z = (x @ self.weights[at] + self.bias) / self.temperature
-        return z - z.max() - np.log(np.exp(z - z.max()).sum())
+        at, n = np.unique(grams(*coded([text]))[0], return_counts=True)
+        x = n * self.idf[at]
+        return at, x * (SCALE / x.sum())
+
+    def log_probabilities(self, texts: list[str]) -> np.ndarray:
+        """A row for each text."""
+        codes, owner = coded(texts)
+        # a sentence's n-grams of one order lie together: sums over runs
+        rows = np.hstack([self.weights * self.idf[:, None], self.idf[:, None]]).astype(np.float32)
+        at, owner = grams(codes, owner)
+        edges = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        sums = np.zeros((len(texts), rows.shape[1]))
+        np.add.at(sums, owner[edges], np.add.reduceat(rows[at], edges, axis=0))
+        z = (sums[:, :-1] * (SCALE / sums[:, -1:]) + self.bias) / self.temperature
+        z -= z.max(axis=1, keepdims=True)
+        return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
 def _pick(documents: list[tuple[int, list[str]]], most: int) -> list[tuple[str, int, float]]:
@@ -146,14 +243,14 @@ def train(documents: list[tuple[int, list[str]]], idf: np.ndarray) -> Model:
     kept = []
     for half in (0, 1):
         judge = _ftrl(_pick(documents[half::2], SENTENCES_A_LANGUAGE // 2), idf, epochs=2, alpha=1.0, l2=0.02)
-        seen: dict[str, np.ndarray] = {}
-        for y, texts in documents[1 - half :: 2]:
-            rows = []
-            for s in texts:
-                if s not in seen:
-                    seen[s] = judge.log_probabilities(s)
-                rows.append(seen[s])
-            if rows and sum(rows).argmax() == y:
+        others = documents[1 - half :: 2]
+        distinct = list(dict.fromkeys(s for _, texts in others for s in texts))
+        if not distinct:
+            continue
+        seen = dict(zip(distinct, judge.log_probabilities(distinct)))
+        for y, texts in others:
+            rows = [seen[s] for s in texts]
+            if sum(rows).argmax() == y:
                 kept.append((y, [s for s, r in zip(texts, rows) if r.max() < DOUBT or r.argmax() == y]))
     chosen = _pick(kept, SENTENCES_A_LANGUAGE)
     temperature = _ftrl(chosen, idf, epochs=3, alpha=2.0, l2=0.001, held=0.2).temperature
@@ -208,66 +305,86 @@ def _ftrl(samples: list[tuple[str, int, float]], idf: np.ndarray, epochs: int, a
     return model
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    df = np.zeros(BUCKETS + 1, dtype=np.int64)
-    counts: Counter = Counter()
+PREPARED = "doc_id long, label string, sentences array<string>, bucket array<int>, n array<long>"
 
-    def spend() -> None:
-        for s, n in counts.items():
-            df[grams(s)[0]] += n
-            df[BUCKETS] += n
-        counts.clear()
 
+def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's sentences; at the end of the task one row of how many sentences had each bucket."""
+    df = np.zeros(BUCKETS + 1, dtype=np.int64)
+    names = [c.split()[0] for c in PREPARED.split(", ")]
+    none = [pa.list_(pa.int32()), pa.list_(pa.int64())]
     for batch in batches:
-        for text in batch.column(0):
-            text = text.as_py()
-            if text:
-                counts.update(s for s in sentences(text) if s)
-        if len(counts) > CACHE:
-            spend()
-    spend()
+        lengths = np.asarray(pc.fill_null(pc.utf8_length(batch.column(2)), 0))
+        chunk = np.cumsum(lengths) // CHARS
+        for part in np.split(np.arange(len(lengths)), np.flatnonzero(np.diff(chunk)) + 1):
+            part = part[lengths[part] > 0]
+            if not len(part):
+                continue
+            texts = batch.column(2).take(pa.array(part)).to_pylist()
+            codes, owner, whose = reduce_(texts)
+            if not len(whose):
+                continue
+            at, own = grams(codes, owner)
+            key = np.sort(own * np.int64(BUCKETS) + at)
+            df[:BUCKETS] += np.bincount(key[np.append(True, key[1:] != key[:-1])] % BUCKETS, minlength=BUCKETS)
+            df[BUCKETS] += len(whose)
+            # the sentences as they lie, without the blanks around them
+            edges = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            sizes = np.diff(np.append(edges, len(codes)))
+            joined = codes.tobytes().decode("utf-32-le")
+            found = pa.array([joined[a + 1 : a + n - 1] for a, n in zip(edges.tolist(), sizes.tolist())], pa.string())
+            counts = np.bincount(whose, minlength=len(texts))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), found)
+            take = pa.array(part)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), lists, *[pa.nulls(len(part), k) for k in none]], names=names).filter(pa.array(counts > 0))
     at = np.flatnonzero(df)
     if len(at):
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(df[at])], names=["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.string()), pa.array([None], pa.list_(pa.string())), pa.array([at.tolist()], none[0]), pa.array([df[at].tolist()], none[1])], names=names)
+
+
+class Prepared:
+    """``texts``: (doc_id, label, sentences) of the texts that have a sentence; ``frequencies``:
+    how many sentences of the whole corpus have each bucket. Made in one pass and written once."""
 
+    def __init__(self, documents: DataFrame):
+        rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), language(F.col("lang")).alias("label"), "text")
+        made = scratch.materialise(rows.mapInArrow(_prepare, PREPARED), "sentences")
+        self.texts = made.where("sentences is not null").select("doc_id", "label", "sentences")
+        self.frequencies = made.where("bucket is not null").select(F.explode(F.arrays_zip("bucket", "n")).alias("x")).groupBy(F.col("x.bucket").alias("bucket")).agg(F.sum("x.n").alias("n"))
 
-def inverse_frequencies(documents: DataFrame) -> np.ndarray:
+
+def inverse_frequencies(prepared: Prepared) -> np.ndarray:
     """Of every bucket, over the sentences of all documents. At most ``BUCKETS`` rows come back."""
-    rows = documents.select("text").mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(BUCKETS + 1)
-    for r in rows:
+    for r in prepared.frequencies.collect():
         df[r["bucket"]] = r["n"]
     return (np.log((1 + df[BUCKETS]) / (1 + df[:-1])) + 1).astype(np.float32)
 
 
-def sample(documents: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE) -> list[tuple[int, list[str]]]:
+def sample(prepared: Prepared, docs_a_language: int = DOCS_A_LANGUAGE) -> list[tuple[int, list[str]]]:
     """(language number, sentences) of at most ``docs_a_language`` labelled documents of each
     language. Which ones is a matter of their ids' hash."""
-    labelled = documents.select("doc_id", language(F.col("lang")).alias("lang")).where("lang is not null and doc_id is not null")
+    labelled = prepared.texts.select("doc_id", "label").where("label is not null and doc_id is not null")
     ids: dict[int, str] = {}
     for code in LANGUAGES:
-        rows = labelled.where(F.col("lang") == code).orderBy(F.xxhash64("doc_id"), "doc_id").limit(docs_a_language).collect()
+        rows = labelled.where(F.col("label") == code).orderBy(F.xxhash64("doc_id"), "doc_id").limit(docs_a_language).collect()
         ids |= {r["doc_id"]: code for r in rows}
     if not ids:
         return []
-    chosen = documents.select("doc_id", "text").where(F.col("doc_id").isin(list(ids)) & F.col("text").isNotNull()).collect()
-    found = {r["doc_id"]: [s for s in sentences(r["text"]) if s] for r in chosen}
+    found = {r["doc_id"]: r["sentences"] for r in prepared.texts.where(F.col("doc_id").isin(list(ids))).select("doc_id", "sentences").collect()}
     order = sorted(found, key=lambda i: hashlib.md5(str(i).encode()).digest())
-    return [(LANGUAGES.index(ids[i]), found[i]) for i in order if found[i]]
+    return [(LANGUAGES.index(ids[i]), found[i]) for i in order]
 
 
-def fit(documents: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE) -> Model | None:
+def fit(prepared: Prepared, docs_a_language: int = DOCS_A_LANGUAGE) -> Model | None:
     """None if no document has a label."""
-    chosen = sample(documents, docs_a_language)
-    return train(chosen, inverse_frequencies(documents)) if chosen else None
+    chosen = sample(prepared, docs_a_language)
+    return train(chosen, inverse_frequencies(prepared)) if chosen else None
 
 
-def segments_of(rows: list[np.ndarray]) -> list[tuple[int, float, int]]:
+def segments_of(x: np.ndarray) -> list[tuple[int, float, int]]:
     """(language number, confidence, sentences) of each stretch of sentences, given their log
     probabilities in order."""
-    if not rows:
-        return []
-    x = np.array(rows)
     best = x.argmax(axis=1)
     if (best == best[0]).all():
         path = best
@@ -288,30 +405,41 @@ def segments_of(rows: list[np.ndarray]) -> list[tuple[int, float, int]]:
     return [(int(path[a]), float(p[a:b].mean()), b - a) for a, b in zip(edges, edges[1:])]
 
 
+class Scores:
+    """Log probabilities of sentences seen before are kept, up to ``CACHE`` of them."""
+
+    def __init__(self, model: Model):
+        self.model, self.known = model, {}
+
+    def of(self, texts: list[str]) -> np.ndarray:
+        if len(self.known) > CACHE:
+            self.known.clear()
+        new = [t for t in texts if t not in self.known]
+        for i in range(0, len(new), CHUNK):
+            part = new[i : i + CHUNK]
+            self.known.update(zip(part, self.model.log_probabilities(part)))
+        return np.array([self.known[t] for t in texts])
+
+
 def _classify(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, np.ndarray] = {}
+        scores = Scores(model)
         for batch in batches:
-            out = ([], [], [], [], [], [])
-            for doc_id, label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                text = text.as_py()
-                if not text:
-                    continue
-                rows = []
-                for s in sentences(text):
-                    if s:
-                        row = known.get(s)
-                        if row is None:
-                            if len(known) >= CACHE:
-                                known.clear()
-                            row = known[s] = model.log_probabilities(s)
-                        rows.append(row)
-                found = segments_of(rows)
-                for i, (lang, confidence, n) in enumerate(found):
-                    for column, value in zip(out, (doc_id, label, i, LANGUAGES[lang], confidence, len(found))):
+            if not batch.num_rows:
+                continue
+            texts = batch.column(2)
+            coded = texts.flatten().dictionary_encode()
+            rows = scores.of(coded.dictionary.to_pylist())
+            code = np.asarray(coded.indices)
+            ends = np.cumsum(np.asarray(pc.list_value_length(texts)))
+            out = ([], [], [], [], [])
+            for i, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
+                found = segments_of(rows[code[a:b]])
+                for j, (lang, confidence, _) in enumerate(found):
+                    for column, value in zip(out, (i, j, LANGUAGES[lang], confidence, len(found))):
                         column.append(value)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.column(0).type), pa.array(out[1], pa.string()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.string()), pa.array(out[4], pa.float64()), pa.array(out[5], pa.int32())], names=["doc_id", "label", "segment_no", "lang", "confidence", "n_segments"])
+            take = pa.array(out[0], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(out[1], pa.int32()), pa.array(out[2], pa.string()), pa.array(out[3], pa.float64()), pa.array(out[4], pa.int32())], names=["doc_id", "label", "segment_no", "lang", "confidence", "n_segments"])
 
     return run
 
@@ -327,12 +455,12 @@ def segments(documents: DataFrame, model: Model | None = None) -> DataFrame:
     document has a label there is nothing to learn from, and the result is empty. A repeated row
     is classified each time.
     """
+    prepared = Prepared(documents)
     if model is None:
-        model = fit(documents)
+        model = fit(prepared)
     if model is None:
         return documents.sparkSession.createDataFrame([], SEGMENTS)
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), language(F.col("lang")).alias("label"), "text")
-    return rows.mapInArrow(_classify(model), SEGMENTS)
+    return prepared.texts.mapInArrow(_classify(model), SEGMENTS)
 
 
 def mislabelled(found: DataFrame) -> DataFrame:
