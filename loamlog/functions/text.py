@@ -115,7 +115,7 @@ def kv_extract(text: Column, key: str | None) -> Column:
 
 
 def _member(name: str) -> str:
-    return "$['" + name.replace("\\", "\\\\").replace("'", "\\'") + "']"
+    return f"$.{name}" if "'" in name else f"$['{name}']"  # a quote can't be written within brackets
 
 
 def attr_get(json: Column, key: str | None) -> Column:
@@ -141,6 +141,11 @@ def epoch_micros(number: Column) -> Column:
     return F.floor(F.when(F.abs(n) >= 10**15, n / 1000).when(F.abs(n) >= 10**11, n * 1000).otherwise(n * 1000000)).cast("long")
 
 
+def nanos_to_micros(nanos: Column) -> Column:
+    """Rounded down, also before 1970, in whole numbers."""
+    return F.call_function("div", nanos - F.pmod(nanos, F.lit(1000)), F.lit(1000))
+
+
 def date_bin(width_us: int, time: Column, origin_us: int = 0) -> Column:
     """The start of the time's bin; bins lie around the origin, also before it."""
     if width_us <= 0:
@@ -160,7 +165,7 @@ _SQL = {
     "kv_extract": ("text STRING, k STRING", "STRING", r"""CASE WHEN text RLIKE concat('(?:^|[^A-Za-z0-9_])\\Q', k, '\\E=(?:"([^"]*)"|([^\\s,]+))') THEN
         CASE WHEN regexp_extract(text, concat('(?:^|[^A-Za-z0-9_])\\Q', k, '\\E=(?:"([^"]*)"|([^\\s,]+))'), 2) <> '' THEN regexp_extract(text, concat('(?:^|[^A-Za-z0-9_])\\Q', k, '\\E=(?:"([^"]*)"|([^\\s,]+))'), 2)
         ELSE regexp_extract(text, concat('(?:^|[^A-Za-z0-9_])\\Q', k, '\\E=(?:"([^"]*)"|([^\\s,]+))'), 1) END END"""),
-    "date_bin": ("width INTERVAL DAY TO SECOND, t TIMESTAMP, origin TIMESTAMP DEFAULT TIMESTAMP '1970-01-01 00:00:00Z'", "TIMESTAMP", "timestamp_micros(unix_micros(t) - pmod(unix_micros(t) - unix_micros(origin), CAST(extract(SECOND FROM width) * 1000000 AS BIGINT) + 60000000 * (extract(MINUTE FROM width) + 60 * (extract(HOUR FROM width) + 24 * extract(DAY FROM width)))))"),
+    "date_bin": ("width INTERVAL DAY TO SECOND, t TIMESTAMP, origin TIMESTAMP DEFAULT TIMESTAMP '1970-01-01 00:00:00Z'", "TIMESTAMP", "timestamp_micros(unix_micros(t) - pmod(unix_micros(t) - unix_micros(origin), CAST(extract(SECOND FROM width) * 1000000 AS BIGINT) + 60000000L * (extract(MINUTE FROM width) + 60 * (extract(HOUR FROM width) + 24 * extract(DAY FROM width)))))"),
     "epoch_micros": ("n DECIMAL(38,9)", "BIGINT", "CAST(floor(CASE WHEN abs(n) >= 1000000000000000 THEN n / 1000 WHEN abs(n) >= 100000000000 THEN n * 1000 ELSE n * 1000000 END) AS BIGINT)"),
 }
 
@@ -169,7 +174,7 @@ def _attr_sql(depth: int = 4) -> str:
     """attr_get for keys known only when the query runs: up to ``depth`` dots are followed."""
 
     def level(json: str, key: str, left: int) -> str:
-        at = "concat('$[''', replace({0}, '''', '\\\\'''), ''']')"
+        at = "if(locate('''', {0}) > 0, concat('$.', {0}), concat('$[''', {0}, ''']'))"
         literal = f"WHEN array_contains(json_object_keys({json}), {key}) THEN get_json_object({json}, {at.format(key)})"
         if not left:
             return f"CASE {literal} END"

@@ -10,7 +10,7 @@ BROADCAST_BYTES = 64 << 20
 
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's upper estimate of the result's size."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def sized_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:

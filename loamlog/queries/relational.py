@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from loamlog.functions.text import nanos_to_micros
 from loamlog.operators.stats import sized_broadcast
 from loamlog.plans.adapter import table
 
@@ -296,20 +297,21 @@ def agg_approximate(spark, sf):
 # Windows
 
 
-_LAST = Window.partitionBy("event_type").orderBy("value", "event_id")
+def _by_type():
+    return Window.partitionBy("event_type").orderBy("value", "event_id")
 
 
 @query("""select event_id, row_number() over w as rn, rank() over v as rk, dense_rank() over v as dr, percent_rank() over v as pr, cume_dist() over v as cd, ntile(4) over w as quarter
   from events window w as (partition by event_type order by value, event_id), v as (partition by event_type order by user_id)""")
 def win_rank(spark, sf):
     v = Window.partitionBy("event_type").orderBy("user_id")
-    return table(spark, sf, "events").select("event_id", F.row_number().over(_LAST).alias("rn"), F.rank().over(v).alias("rk"), F.dense_rank().over(v).alias("dr"), F.percent_rank().over(v).alias("pr"), F.cume_dist().over(v).alias("cd"), F.ntile(4).over(_LAST).alias("quarter"))
+    return table(spark, sf, "events").select("event_id", F.row_number().over(_by_type()).alias("rn"), F.rank().over(v).alias("rk"), F.dense_rank().over(v).alias("dr"), F.percent_rank().over(v).alias("pr"), F.cume_dist().over(v).alias("cd"), F.ntile(4).over(_by_type()).alias("quarter"))
 
 
 @query("""select event_id, lag(event_id) over w as prev, lead(event_id, 2, -1) over w as next2, first_value(event_id) over w as head, last_value(event_id) over w as tail, nth_value(event_id, 3) over w as third
   from events window w as (partition by event_type order by value, event_id)""")
 def win_lag(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.lag("event_id").over(_LAST).alias("prev"), F.lead("event_id", 2, -1).over(_LAST).alias("next2"), F.first("event_id").over(_LAST).alias("head"), F.last("event_id").over(_LAST).alias("tail"), F.nth_value("event_id", 3).over(_LAST).alias("third"))
+    return table(spark, sf, "events").select("event_id", F.lag("event_id").over(_by_type()).alias("prev"), F.lead("event_id", 2, -1).over(_by_type()).alias("next2"), F.first("event_id").over(_by_type()).alias("head"), F.last("event_id").over(_by_type()).alias("tail"), F.nth_value("event_id", 3).over(_by_type()).alias("third"))
 
 
 @query("select event_id, last_value(host ignore nulls) over (partition by table_name order by row_no rows between unbounded preceding and current row) as host from (select row_no as event_id, row_no, table_name, host from lake_rows)")
@@ -432,7 +434,7 @@ def fn_time(spark, sf):
     ns = F.col("timestamp_ns")
     return table(spark, sf, "log_events").select(
         "event_id", F.unix_micros(F.date_trunc("hour", e)).alias("hour_us"), F.year(e).cast("long").alias("y"), F.month(e).cast("long").alias("m"), F.dayofmonth(e).cast("long").alias("d"), F.hour(e).cast("long").alias("h"),
-        (F.dayofweek(e) - 1).cast("long").alias("dow"), F.dayofyear(e).cast("long").alias("doy"), F.date_format(e, "yyyy-MM-dd HH:mm").alias("text"), F.unix_micros(F.timestamp_seconds(F.expr("timestamp_ns div 1000000000"))).alias("sec_us"), F.unix_micros(F.timestamp_micros(F.floor(ns / 1000).cast("long"))).alias("us"),
+        (F.dayofweek(e) - 1).cast("long").alias("dow"), F.dayofyear(e).cast("long").alias("doy"), F.date_format(e, "yyyy-MM-dd HH:mm").alias("text"), F.unix_micros(F.timestamp_seconds(F.expr("timestamp_ns div 1000000000"))).alias("sec_us"), F.unix_micros(F.timestamp_micros(nanos_to_micros(ns))).alias("us"),
     )
 
 

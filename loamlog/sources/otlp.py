@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamlog.functions.text import nanos_to_micros
+
 EVENTS = "timestamp_ns long, host string, source string, sourcetype string, index string, raw string, attributes string"
 # Attributes that become columns, and names of numbered kinds.
 CORE_RESOURCE = ("host.name", "service.name")
@@ -166,7 +168,7 @@ def _read(rows: Callable):
 
 def _events(rows: DataFrame) -> DataFrame:
     ns = F.coalesce("timestamp_ns", F.unix_micros(F.current_timestamp()) * 1000)
-    return rows.withColumn("timestamp_ns", ns).select(F.timestamp_micros(F.floor(F.col("timestamp_ns") / 1000).cast("long")).alias("timestamp"), "host", "source", "sourcetype", "index", "raw", "timestamp_ns", "attributes")
+    return rows.withColumn("timestamp_ns", ns).select(F.timestamp_micros(nanos_to_micros(F.col("timestamp_ns"))).alias("timestamp"), "host", "source", "sourcetype", "index", "raw", "timestamp_ns", "attributes")
 
 
 def read_logs(bodies: DataFrame, body: str = "body") -> DataFrame:
