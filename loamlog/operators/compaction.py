@@ -116,7 +116,7 @@ def rewrite(spark: SparkSession, planned: DataFrame, root: str, out: str) -> Dat
         return spark.createDataFrame([], "target_file string, rows_in long, rows_out long")
     data = spark.read.parquet(*[f"{root}/{p}" for p in paths])
     place = planned.select(F.col("location").alias("__location"), F.concat_ws("-", F.lit("g"), F.sha2(F.concat_ws("\x1f", "origin", "bin"), 256).substr(1, 12), F.col("group_no").cast("string")).alias("target_file"))
-    tagged = data.withColumn("__location", F.substring(F.col("_metadata.file_path"), F.length(F.lit(_as_uri(root))) + 2, 1 << 30))
+    tagged = data.withColumn("__location", F.substring(F.col("_metadata.file_path"), F.lit(len(_qualified(spark, root)) + 2), F.lit(1 << 30)))
     rows = tagged.join(place, "__location").drop("__location")
     n = max(1, planned.select("origin", "bin", "group_no").distinct().count())
     counted_in = rows.groupBy("target_file").agg(F.count("*").alias("rows_in"))
@@ -129,5 +129,7 @@ def rewrite(spark: SparkSession, planned: DataFrame, root: str, out: str) -> Dat
     return report
 
 
-def _as_uri(root: str) -> str:
-    return root if "://" in root else f"file://{root}"
+def _qualified(spark: SparkSession, root: str) -> str:
+    """The folder as the scan spells it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()

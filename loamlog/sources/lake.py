@@ -11,6 +11,7 @@ reader walks further back.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from dataclasses import dataclass
 
@@ -31,6 +32,11 @@ class HistoryGap(RuntimeError):
     """A commit between a cursor and the current version is gone."""
 
 
+def _name(path: str) -> str:
+    """A data file's path within the table's folder."""
+    return re.search(r"data/[0-9a-f]{32}/.*", path)[0]
+
+
 @dataclass
 class Cursor:
     """What a subscription has delivered: a version, or before the first poll a time."""
@@ -172,7 +178,7 @@ class Lake:
         stats = written.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("rows"), F.first("_metadata.file_size").alias("bytes"), F.min(F.unix_micros(F.col(self.time).cast("timestamp"))).alias("low"), F.max(F.unix_micros(F.col(self.time).cast("timestamp"))).alias("high"))
         found = [r.asDict() for r in stats.toLocalIterator()]
         for f in found:
-            f["path"] = f["path"][f["path"].index(folder) :]
+            f["path"] = _name(f["path"])
         return found
 
     def append(self, df: DataFrame, consumed: list[str] | None = None) -> int:
@@ -250,7 +256,7 @@ class Lake:
         live, schema = {f["path"]: f for f in self.files()}, self.schema()
         df = self._open(list(live), schema)
         per_file = df.groupBy(F.col("_metadata.file_path").alias("p")).agg(F.count_if(hit).alias("n")).where("n > 0")
-        touched = {r["p"][r["p"].index("data/") :]: r["n"] for r in per_file.toLocalIterator()}
+        touched = {_name(r["p"]): r["n"] for r in per_file.toLocalIterator()}
         if not touched:
             return None
         kept = self._write(self._open(list(touched), schema).where(~hit))
@@ -304,7 +310,7 @@ class Lake:
         """Data files no version names, changed before the time given."""
         known = {f["path"] for v in self.versions() for f in self.files(v)}
         found = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(f"{self.store.root}/data").select("path", F.unix_millis("modificationTime").alias("at"))
-        names = [(r["path"][r["path"].index("data/") :], r["at"]) for r in found.toLocalIterator()]
+        names = [(_name(r["path"]), r["at"]) for r in found.toLocalIterator()]
         return sorted(p for p, at in names if p not in known and at < older_than_ms)
 
     def collect_garbage(self, older_than_ms: int, dry_run: bool = True) -> list[str]:
