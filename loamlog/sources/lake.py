@@ -19,11 +19,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loamlog.functions import text
+
 CHECKPOINT_EVERY = 50
 MERGE_AT_MOST = 64
 RETRIES = 50
 
 
+def trigrams(column: Column) -> Column:
+    """The distinct runs of three characters."""
+    spots = F.sequence(F.lit(1), F.length(column) - 2)
+    return F.array_distinct(F.transform(F.when(F.length(column) >= 3, spots), lambda i: F.substring(column, i, F.lit(3))))
+
+
 class Conflict(RuntimeError):
     """Another writer removed a file this one wanted to replace."""
 
@@ -37,6 +45,13 @@ def _name(path: str) -> str:
     return re.search(r"data/[0-9a-f]{32}/.*", path)[0]
 
 
+def _by_day(files: list[dict], day_of) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for f in files:
+        out[day_of(f)] = out.get(day_of(f), 0) + f["rows"]
+    return out
+
+
 @dataclass
 class Cursor:
     """What a subscription has delivered: a version, or before the first poll a time."""
@@ -165,11 +180,14 @@ class Lake:
 
     # Writing
 
-    def _write(self, df: DataFrame, partitions: int | None = None) -> list[dict]:
-        """Sorted, day-partitioned files, and what the log says of each."""
+    def _write(self, df: DataFrame, partitions: int | None = None, lead: str | None = None) -> list[dict]:
+        """Sorted, day-partitioned files, and what the log says of each. ``lead``: a column, not
+        written, whose values aren't spread over files more than they must be."""
         folder = f"data/{uuid.uuid4().hex}"
         rows = df.withColumn("__day", F.to_date(self.time))
-        rows = rows.repartitionByRange(partitions, "__day", self.time) if partitions else rows.repartitionByRange("__day", self.time)
+        ranges = [lead] if lead else ["__day", self.time]
+        rows = rows.repartitionByRange(partitions, *ranges) if partitions else rows.repartitionByRange(*ranges)
+        rows = rows.drop(lead) if lead else rows
         exact = [c for c in ("timestamp_ns",) if c in df.columns]
         rows.sortWithinPartitions("__day", self.time, *exact).write.partitionBy("__day").option("compression", "zstd").parquet(f"{self.store.root}/{folder}")
         written = self.spark.read.parquet(f"{self.store.root}/{folder}")
@@ -265,25 +283,34 @@ class Lake:
         return self.commit("delete", kept, list(touched), schema, rewrite=True)
 
     def compact(self, target_bytes: int = 128 << 20) -> int | None:
-        """Rewrites a day's small files as one, at most ``MERGE_AT_MOST`` at a time, in one commit;
-        rows must be conserved."""
+        """Rewrites small files in groups of one day, at most ``MERGE_AT_MOST`` files and about
+        ``target_bytes`` each, all groups in one job and one commit; each day's rows must be
+        conserved."""
+        day_of = lambda f: f["path"].split("__day=")[-1].split("/")[0]
         days: dict[str, list[dict]] = {}
         for f in self.files():
             if f["bytes"] < target_bytes:
-                days.setdefault(f["path"].split("__day=")[-1].split("/")[0], []).append(f)
-        added, removed, schema = [], [], self.schema()
-        for _, group in sorted(days.items()):
-            group.sort(key=lambda f: (f["low"] or 0, f["path"]))
-            for i in range(0, len(group), MERGE_AT_MOST):
-                part = group[i : i + MERGE_AT_MOST]
-                if len(part) < 2:
-                    continue
-                new = self._write(self._open([f["path"] for f in part], schema), max(1, sum(f["bytes"] for f in part) // target_bytes))
-                if sum(f["rows"] for f in new) != sum(f["rows"] for f in part):
-                    raise RuntimeError("rows were not conserved; nothing was committed")
-                added += new
-                removed += [f["path"] for f in part]
-        return self.commit("replace", added, removed, schema, rewrite=True) if removed else None
+                days.setdefault(day_of(f), []).append(f)
+        groups: list[list[dict]] = []
+        for _, files in sorted(days.items()):
+            files.sort(key=lambda f: (f["low"] or 0, f["path"]))
+            group: list[dict] = []
+            for f in files:
+                if group and (len(group) == MERGE_AT_MOST or sum(g["bytes"] for g in group) + f["bytes"] > target_bytes):
+                    groups.append(group)
+                    group = []
+                group.append(f)
+            groups.append(group)
+        groups = [g for g in groups if len(g) > 1]
+        if not groups:
+            return None
+        schema, old = self.schema(), [f for g in groups for f in g]
+        place = self.spark.createDataFrame([(f["path"], n) for n, g in enumerate(groups) for f in g], "__path string, __group long")
+        rows = self._open([f["path"] for f in old], schema).withColumn("__path", F.regexp_extract(F.col("_metadata.file_path"), r"data/[0-9a-f]{32}/.*", 0))
+        new = self._write(rows.join(place, "__path").drop("__path"), len(groups), "__group")
+        if _by_day(new, day_of) != _by_day(old, day_of):
+            raise RuntimeError("rows were not conserved; nothing was committed")
+        return self.commit("replace", new, [f["path"] for f in old], schema, rewrite=True)
 
     def evolve(self, fields: list[T.StructField]) -> int:
         """Adds nullable columns."""
@@ -352,3 +379,46 @@ class Lake:
         """Bytes and rows of the files a window touches: an upper bound, without reading them."""
         hit = [f for f in self.files() if (start_us is None or f["high"] is None or f["high"] >= start_us) and (end_us is None or f["low"] is None or f["low"] < end_us)]
         return sum(f["bytes"] for f in hit), sum(f["rows"] for f in hit)
+
+    def _index_folder(self, column: str, kind: str) -> str:
+        return f"{self.store.root}/index/{column}-{kind}"
+
+    def _indexed(self, column: str, kind: str) -> DataFrame:
+        if not self.store.exists(f"index/{column}-{kind}"):
+            return self.spark.createDataFrame([], "path string, key string")
+        return self.spark.read.schema("path string, key string").option("recursiveFileLookup", "true").parquet(self._index_folder(column, kind))
+
+    def build_index(self, column: str, kind: str = "terms") -> int:
+        """Lists which keys each file has that isn't indexed yet: the default tokens of the column
+        (``terms``) or its runs of three characters (``trigrams``). Returns the files added."""
+        keys = {"terms": text.tokens, "trigrams": trigrams}[kind](F.col(column))
+        done = {r["path"] for r in self._indexed(column, kind).where("key is null").toLocalIterator()}
+        new = [f["path"] for f in self.files() if f["path"] not in done]
+        if not new:
+            return 0
+        path = F.regexp_extract(F.col("_metadata.file_path"), r"data/[0-9a-f]{32}/.*", 0).alias("path")
+        found = self._open(new, self.schema()).select(path, F.explode(keys).alias("key")).distinct()
+        marks = self.spark.createDataFrame([(p, None) for p in new], "path string, key string")
+        found.unionByName(marks).write.parquet(f"{self._index_folder(column, kind)}/{uuid.uuid4().hex}")
+        return len(new)
+
+    def candidates(self, column: str, keys: list[str], kind: str) -> list[str]:
+        """The files that can have a row with all the keys: those listed with each of them, and
+        those not indexed."""
+        index = self._indexed(column, kind)
+        done = {r["path"] for r in index.where("key is null").toLocalIterator()}
+        wanted = sorted(set(keys))
+        hit = index.where(F.col("key").isin(wanted)).groupBy("path").agg(F.countDistinct("key").alias("n")).where(F.col("n") == len(wanted))
+        have = {r["path"] for r in hit.toLocalIterator()}
+        return [f["path"] for f in self.files() if f["path"] in have or f["path"] not in done]
+
+    def search(self, column: str, query: str) -> DataFrame:
+        """Rows that match all terms; files without one of them aren't opened."""
+        return self._open(self.candidates(column, text.python_tokens(query), "terms"), self.schema()).where(text.match_terms(F.col(column), query))
+
+    def containing(self, column: str, part: str) -> DataFrame:
+        """Rows whose column contains the text; with three characters and more, files that lack one
+        of its runs of three aren't opened. Token lists are cut off, so they never serve for this."""
+        runs = [part[i : i + 3] for i in range(len(part) - 2)]
+        paths = self.candidates(column, runs, "trigrams") if runs else [f["path"] for f in self.files()]
+        return self._open(paths, self.schema()).where(F.col(column).contains(part))

@@ -211,6 +211,40 @@ def test_lake_life_cycle(spark, tmp_path):
     assert lake.orphans(1 << 62) == [] and lake.read().count() == n - gone
 
 
+def test_side_index_opens_fewer_files(spark, tmp_path):
+    lake, df = lake_of(spark, tmp_path)
+    for kind in ("click", "error"):
+        lake.append(df.where(F.col("sourcetype") == kind))
+    assert lake.build_index("raw") == len(lake.files()) and lake.build_index("raw") == 0
+    lake.build_index("raw", "trigrams")
+    n = df.where("sourcetype = 'error'").count()
+    found = lake.search("raw", "type ERROR")
+    assert found.count() == n and len(found.inputFiles()) < len(lake.files())
+    part = lake.containing("raw", "type=err")
+    assert part.count() == n and len(part.inputFiles()) < len(lake.files())
+    assert lake.containing("raw", "=e").count() == n and lake.containing("raw", "type=errx").count() == 0
+    lake.append(df.where("sourcetype = 'view'"))  # not indexed: always a candidate
+    assert lake.search("raw", "type view").count() == df.where("sourcetype = 'view'").count()
+
+
+def test_the_facade_prunes_a_lake_by_time(spark, tmp_path):
+    lake, df = lake_of(spark, tmp_path)
+    lake.append(df)
+    e = facade.Engine(spark, {}, lakes={"logs": lake})
+    sql = "select raw from logs where timestamp >= '2024-01-10' and timestamp < timestamp '2024-01-12' + interval 1 day and host <> 'x'"
+    got = e.frame(sql)
+    assert len(got.inputFiles()) < len(lake.files()) and e.windows == {"logs": (1704844800000000, 1705104000000000)}
+    assert got.count() == df.where("timestamp >= '2024-01-10' and timestamp < '2024-01-13'").count()
+    for open_ in ("select * from logs where timestamp >= '2024-01-10' or host = 'x'", "select * from logs a join (select * from logs where timestamp > '2024-01-10') b on a.raw = b.raw", "select count(*) from logs"):
+        assert len(e.frame(open_).inputFiles()) == len(lake.files()) and e.windows == {}
+    assert e.frame("select * from logs where timestamp < now()").count() == df.count()
+    cost = e.sql(sql, dry_run=True)["cost"]
+    assert got.count() <= cost["estimated_rows"] < df.count()
+    before = e.sql("select count(*) as n from logs")["rows"][0]["n"]
+    lake.append(df.limit(5))
+    assert e.sql("select count(*) as n from logs")["rows"][0]["n"] == before + 5
+
+
 def test_retention_keeps_straddling_files(spark, tmp_path):
     lake, df = lake_of(spark, tmp_path)
     lake.append(df)
