@@ -72,30 +72,49 @@ def _false_for_null(test: Column) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
+def _holds(text: Column, words: list[str], every: bool) -> Column:
+    """What a match can't do without: the words stand in the lower-case text. Tested first, so that
+    few cells are split into tokens."""
+    low = F.lower(text)
+    tests = [low.contains(w) for w in words]
+    out = tests[0]
+    for t in tests[1:]:
+        out = out & t if every else out | t
+    return out
+
+
 def match_terms(text: Column, query: str) -> Column:
     """Every token of the query is one of the cell's."""
-    return _false_for_null(F.size(F.array_except(_array(sorted(set(_query(query)))), tokens(text))) == 0) & text.isNotNull()
+    words = sorted(set(_query(query)))
+    return _false_for_null(_holds(text, words, True) & (F.size(F.array_except(_array(words), tokens(text))) == 0))
 
 
 match = match_terms
 
 
 def match_any(text: Column, query: str) -> Column:
-    return _false_for_null(F.arrays_overlap(_array(sorted(set(_query(query)))), tokens(text)))
+    words = sorted(set(_query(query)))
+    return _false_for_null(_holds(text, words, False) & F.arrays_overlap(_array(words), tokens(text)))
 
 
 def match_phrase(text: Column, query: str) -> Column:
     """The query's tokens follow one another among the cell's tokens; shorter words in between
     don't count."""
     words = _query(query)
-    cell, n = tokens(text), len(words)
-    spots = F.sequence(F.lit(1), F.size(cell) - n + 1)
-    return _false_for_null(F.when(F.size(cell) >= n, F.exists(spots, lambda i: F.slice(cell, i, n) == _array(words))))
+    n = len(words)
+
+    def within(cell: Column) -> Column:
+        spots = F.sequence(F.lit(1), F.size(cell) - n + 1)
+        return F.when(F.size(cell) >= n, F.exists(spots, lambda i: F.slice(cell, i, n) == _array(words)))
+
+    # an array of one list of tokens: split once, not once for each place
+    return _false_for_null(_holds(text, sorted(set(words)), True) & F.exists(F.array(tokens(text)), within))
 
 
 def match_prefix(text: Column, query: str) -> Column:
     """Some token of the cell begins with some token of the query."""
-    return _false_for_null(F.exists(tokens(text), lambda t: _any([t.startswith(w) for w in dict.fromkeys(_query(query))])))
+    words = sorted(set(_query(query)))
+    return _false_for_null(_holds(text, words, False) & F.exists(tokens(text), lambda t: _any([t.startswith(w) for w in words])))
 
 
 def _any(tests: list[Column]) -> Column:
@@ -160,7 +179,7 @@ _SQL = {
     "match_terms": ("text STRING, q STRING", "BOOLEAN", "coalesce(size(array_except(query_tokens(q), log_tokens(text))) = 0 AND text IS NOT NULL, false)"),
     "match": ("text STRING, q STRING", "BOOLEAN", "match_terms(text, q)"),
     "match_any": ("text STRING, q STRING", "BOOLEAN", "coalesce(arrays_overlap(query_tokens(q), log_tokens(text)), false)"),
-    "match_phrase": ("text STRING, q STRING", "BOOLEAN", "coalesce(CASE WHEN size(log_tokens(text)) >= size(query_tokens(q)) THEN exists(sequence(1, size(log_tokens(text)) - size(query_tokens(q)) + 1), i -> slice(log_tokens(text), i, size(query_tokens(q))) = query_tokens(q)) END, false)"),
+    "match_phrase": ("text STRING, q STRING", "BOOLEAN", "coalesce(exists(array(struct(log_tokens(text) AS c, query_tokens(q) AS w)), x -> CASE WHEN size(x.c) >= size(x.w) THEN exists(sequence(1, size(x.c) - size(x.w) + 1), i -> slice(x.c, i, size(x.w)) = x.w) END), false)"),
     "match_prefix": ("text STRING, q STRING", "BOOLEAN", "coalesce(exists(log_tokens(text), t -> exists(query_tokens(q), w -> startswith(t, w))), false)"),
     "kv_extract": ("text STRING, k STRING", "STRING", r"""CASE WHEN text RLIKE concat('(?:^|[^A-Za-z0-9_])\\Q', k, '\\E=(?:"([^"]*)"|([^\\s,]+))') THEN
         CASE WHEN regexp_extract(text, concat('(?:^|[^A-Za-z0-9_])\\Q', k, '\\E=(?:"([^"]*)"|([^\\s,]+))'), 2) <> '' THEN regexp_extract(text, concat('(?:^|[^A-Za-z0-9_])\\Q', k, '\\E=(?:"([^"]*)"|([^\\s,]+))'), 2)

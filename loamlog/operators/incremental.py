@@ -42,16 +42,17 @@ def commit_tree(snapshots: DataFrame) -> DataFrame:
         marks = now.where("main and jump is not null").select(F.col("jump").alias("snapshot_id")).distinct().withColumn("hit", F.lit(True))
         there = now.select(F.col("snapshot_id").alias("jump"), F.col("jump").alias("jump2"), F.col("depth").alias("depth2"))
         step = now.join(there, "jump", "left").join(marks, "snapshot_id", "left")
-        now = scratch.materialise(step.select("snapshot_id", "table_name", "is_current", F.col("jump2").alias("jump"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("main") | F.coalesce("hit", F.lit(False))).alias("main"), "parent"), "tree")
+        now = step.select("snapshot_id", "table_name", "is_current", F.col("jump2").alias("jump"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("main") | F.coalesce("hit", F.lit(False))).alias("main"), "parent")
+        now = scratch.materialise(now, "tree")
     # from off the main line down to it
-    at = scratch.materialise(now.withColumn("fork", F.when(F.col("main"), F.col("snapshot_id")).otherwise(F.col("parent"))), "fork")
+    line = now.where("main").withColumn("fork", F.col("snapshot_id"))
+    off = scratch.materialise(now.where("not main").withColumn("fork", F.col("parent")), "fork")
     while True:
-        there = at.select(F.col("snapshot_id").alias("fork"), F.col("main").alias("done"), F.col("fork").alias("fork2"))
-        step = at.join(there, "fork", "left").select("snapshot_id", "table_name", "is_current", "depth", "main", "parent", F.when(F.col("done"), F.col("fork")).otherwise(F.col("fork2")).alias("fork"), (~F.coalesce("done", F.lit(True))).alias("open"))
-        at = scratch.materialise(step, "fork")
-        if not at.where("open and fork is not null").limit(1).count():
-            return at.drop("open")
-        at = at.drop("open")
+        there = off.select(F.col("snapshot_id").alias("fork"), F.col("fork").alias("fork2"), F.lit(True).alias("open"))
+        off = off.drop("open").join(there, "fork", "left").withColumn("fork", F.when(F.col("open"), F.col("fork2")).otherwise(F.col("fork"))).drop("fork2")
+        off = scratch.materialise(off, "fork")
+        if not off.where("open and fork is not null").limit(1).count():
+            return line.unionByName(off.select(*line.columns))
 
 
 def _off_line(tree: DataFrame, cursors: DataFrame) -> DataFrame:
@@ -63,9 +64,10 @@ def _off_line(tree: DataFrame, cursors: DataFrame) -> DataFrame:
     jumps = scratch.materialise(jumps, "jumps")
     while jumps.limit(1).count():
         more = reach.join(jumps, "snapshot_id").select("cursor", F.col("jump").alias("snapshot_id"))
-        reach = scratch.materialise(reach.unionByName(more).distinct(), "reach")
+        reach = reach.unionByName(more).distinct()
         there = jumps.select(F.col("snapshot_id").alias("jump"), F.col("jump").alias("jump2"))
-        jumps = scratch.materialise(jumps.join(there, "jump").select("snapshot_id", F.col("jump2").alias("jump")), "jumps")
+        jumps = jumps.join(there, "jump").select("snapshot_id", F.col("jump2").alias("jump"))
+        reach, jumps = scratch.materialise(reach, "reach"), scratch.materialise(jumps, "jumps")
     return reach.join(off.select("snapshot_id", "depth"), "snapshot_id")
 
 
