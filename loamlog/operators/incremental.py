@@ -30,27 +30,32 @@ def canonical_json(text: Column) -> Column:
 
 def commit_tree(snapshots: DataFrame) -> DataFrame:
     """Each commit with its ``depth`` and, if it isn't on the main line, ``fork``: its nearest
-    ancestor that is. Commits whose line never meets the main one have fork null and off true.
-    A parent that isn't listed counts as none.
+    ancestor that is. Commits whose line never meets the main one have fork null.
+    A parent that isn't listed counts as none; parents that form a circle raise ValueError.
     """
     base = snapshots.where(F.col("snapshot_id").isNotNull()).groupBy("snapshot_id").agg(F.first("parent_snapshot_id").alias("parent_snapshot_id"), F.first("table_name").alias("table_name"), F.max(F.coalesce("is_current", F.lit(False))).alias("is_current"))
     known = base.select(F.col("snapshot_id").alias("parent_snapshot_id"), F.col("table_name").alias("p_table"))
     base = base.join(known, "parent_snapshot_id", "left").select("snapshot_id", "table_name", "is_current", F.when(F.col("p_table") == F.col("table_name"), F.col("parent_snapshot_id")).alias("jump"))
     now = scratch.materialise(base.withColumns({"depth": F.when(F.col("jump").isNull(), 0).otherwise(1).cast("long"), "main": F.col("is_current"), "parent": F.col("jump")}), "tree")
+    rounds = 0
     while now.where(F.col("jump").isNotNull()).limit(1).count():
+        before, rounds = now, rounds + 1
+        if rounds > 40:
+            raise ValueError("the commits' parents form a circle")
         # an ancestor by 2^k of a main commit is on the main line
         marks = now.where("main and jump is not null").select(F.col("jump").alias("snapshot_id")).distinct().withColumn("hit", F.lit(True))
         there = now.select(F.col("snapshot_id").alias("jump"), F.col("jump").alias("jump2"), F.col("depth").alias("depth2"))
         step = now.join(there, "jump", "left").join(marks, "snapshot_id", "left")
         now = step.select("snapshot_id", "table_name", "is_current", F.col("jump2").alias("jump"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("main") | F.coalesce("hit", F.lit(False))).alias("main"), "parent")
-        now = scratch.materialise(now, "tree")
+        now = scratch.replaced(before, now, "tree")
     # from off the main line down to it
     line = now.where("main").withColumn("fork", F.col("snapshot_id"))
     off = scratch.materialise(now.where("not main").withColumn("fork", F.col("parent")), "fork")
     while True:
+        before = off
         there = off.select(F.col("snapshot_id").alias("fork"), F.col("fork").alias("fork2"), F.lit(True).alias("open"))
         off = off.drop("open").join(there, "fork", "left").withColumn("fork", F.when(F.col("open"), F.col("fork2")).otherwise(F.col("fork"))).drop("fork2")
-        off = scratch.materialise(off, "fork")
+        off = scratch.replaced(before, off, "fork")
         if not off.where("open and fork is not null").limit(1).count():
             return line.unionByName(off.select(*line.columns))
 
@@ -63,11 +68,13 @@ def _off_line(tree: DataFrame, cursors: DataFrame) -> DataFrame:
     reach = scratch.materialise(cursors.join(off.select("snapshot_id"), cursors["cursor"] == F.col("snapshot_id"), "left_semi").select("cursor", F.col("cursor").alias("snapshot_id")), "reach")
     jumps = scratch.materialise(jumps, "jumps")
     while jumps.limit(1).count():
+        seen, old = reach, jumps
         more = reach.join(jumps, "snapshot_id").select("cursor", F.col("jump").alias("snapshot_id"))
         reach = reach.unionByName(more).distinct()
         there = jumps.select(F.col("snapshot_id").alias("jump"), F.col("jump").alias("jump2"))
         jumps = jumps.join(there, "jump").select("snapshot_id", F.col("jump2").alias("jump"))
-        reach, jumps = scratch.materialise(reach, "reach"), scratch.materialise(jumps, "jumps")
+        reach = scratch.replaced(seen, reach, "reach")
+        jumps = scratch.replaced(old, jumps, "jumps")
     return reach.join(off.select("snapshot_id", "depth"), "snapshot_id")
 
 

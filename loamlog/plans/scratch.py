@@ -60,3 +60,13 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     path = new_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def replaced(old: DataFrame, new: DataFrame, tag: str) -> DataFrame:
+    """Writes ``new`` and deletes ``old``, a table made by :func:`materialise` that nothing else
+    reads: what a loop leaves behind doesn't pile up."""
+    out = materialise(new, tag)
+    for path in {p.rsplit("/", 1)[0] for p in old.inputFiles()}:
+        if "/loamlog-" in path:
+            drop_path(old.sparkSession, path)
+    return out

@@ -141,7 +141,45 @@ _SMALL = _COVER + """, w as (select regexp_extract(regexp_replace(segment_url, '
   small as (select 'lake' as origin, table_name || '/' || object_key as location, table_name || '/' || regexp_extract(object_key, '^(.*/)?') as bin, n_bytes from sizes where n_bytes < 16777216
     union all select 'wal', location, regexp_extract(location, '^(.*/)?'), max(n_bytes) from w group by location having count(*) filter (where status = 'committed') = 0 and max(n_bytes) < 16777216)"""
 
+_P2 = """with recursive
+  n(export_id, node_path, role, j) as (
+    select export_id, '', 'root', cast(body as json) from otlp_exports where body is not null and json_valid(body)
+    union all
+    select export_id, case when node_path = '' then '' else node_path || '/' end || letter || i, role, json_extract(items, '$[' || i || ']')
+    from (select export_id, node_path, letter, role, items, unnest(range(cast(json_array_length(items) as bigint))) as i from (
+      select export_id, node_path, unnest(c, recursive := true) from (
+        select export_id, node_path, unnest(case role
+          when 'root' then [{'letter': 'r', 'role': 'R', 'items': coalesce(json_extract(j, '$.resourceLogs'), json_extract(j, '$.resource_logs'))}]
+          when 'R' then [{'letter': 'a', 'role': 'K', 'items': json_extract(j, '$.resource.attributes')}, {'letter': 's', 'role': 'S', 'items': coalesce(json_extract(j, '$.scopeLogs'), json_extract(j, '$.scope_logs'))}]
+          when 'S' then [{'letter': 'a', 'role': 'K', 'items': json_extract(j, '$.scope.attributes')}, {'letter': 'l', 'role': 'L', 'items': coalesce(json_extract(j, '$.logRecords'), json_extract(j, '$.log_records'))}]
+          when 'L' then [{'letter': 'a', 'role': 'K', 'items': json_extract(j, '$.attributes')}]
+          when 'K' then [{'letter': 'v', 'role': 'V', 'items': coalesce(json_extract(j, '$.value.arrayValue.values'), json_extract(j, '$.value.array_value.values'))}, {'letter': 'k', 'role': 'K', 'items': coalesce(json_extract(j, '$.value.kvlistValue.values'), json_extract(j, '$.value.kvlist_value.values'))}]
+          else [{'letter': 'v', 'role': 'V', 'items': coalesce(json_extract(j, '$.arrayValue.values'), json_extract(j, '$.array_value.values'))}, {'letter': 'k', 'role': 'K', 'items': coalesce(json_extract(j, '$.kvlistValue.values'), json_extract(j, '$.kvlist_value.values'))}]
+          end) as c from n)) where json_type(items) = 'ARRAY'))"""
+
+_P6 = """with recursive numbered as (select file_id, series, body, row_number() over (partition by series order by written_at, file_id) as n from (select distinct file_id, series, written_at, body from evidence_files) where json_valid(body) and json_type(body) = 'OBJECT'),
+  f(file_id, series, n, path, parent, j) as (
+    select file_id, series, n, cast('' as varchar), cast(null as varchar), cast(body as json) from numbered
+    union all
+    select file_id, series, n, case when path = '' then k else path || '/' || k end, path, json_extract(j, '$."' || k || '"') from (select *, unnest(json_keys(j)) as k from f where json_type(j) = 'OBJECT')),
+  typed as (select *, case json_type(j) when 'UBIGINT' then 'integer' when 'BIGINT' then 'integer' when 'DOUBLE' then 'number' when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'ARRAY' then 'array' when 'OBJECT' then 'object' else 'null' end as kind from f),
+  runs as (select *, n - row_number() over (partition by series, path order by n) as run from typed),
+  kept as (select *, coalesce(last_value(case when kind <> 'null' then kind end ignore nulls) over (partition by series, path, run order by n rows between unbounded preceding and current row), 'null') as had from runs),
+  met as (select coalesce(a.series, b.series) as series, coalesce(a.n, b.n + 1) as n, coalesce(a.path, b.path) as path, coalesce(a.parent, b.parent) as parent, a.kind, b.had, b.kind as was, a.path is not null as here, b.path is not null as there, coalesce(a.j, b.j) as j
+    from kept a full join kept b on a.series = b.series and a.n = b.n + 1 and a.path = b.path),
+  stable as (select series, n, path from met where here and there and kind = 'object' and was = 'object'),
+  found as (select m.* from met m semi join stable s on s.series = m.series and s.n = m.n and s.path = m.parent where m.path <> ''),
+  sides as (select *, row_number() over (partition by series, n, parent, cast(j as varchar), here order by path) as k from found where here <> there),
+  moved as (select coalesce(g.series, c.series) as series, coalesce(g.n, c.n) as n, coalesce(g.path, '') as old_path, coalesce(c.path, '') as new_path
+    from (select * from sides where there) g full join (select * from sides where here) c on g.series = c.series and g.n = c.n and g.parent = c.parent and cast(g.j as varchar) = cast(c.j as varchar) and g.k = c.k),
+  every as (select series, n, old_path, new_path, case when old_path = '' then 'added' when new_path = '' then 'removed' else 'renamed' end as change from moved
+    union all select series, n, path, path, 'type_changed' from found where here and there and kind <> 'null' and had <> 'null' and kind <> had),
+  changes as (select d.file_id, e.old_path, e.new_path, e.change from every e join numbered d on d.series = e.series and d.n = e.n)"""
+
 ORACLES = {
+    "p2_found": _P2 + " select export_id, node_path from n where node_path <> ''",
+    "p6_found": _P6 + " select * from changes",
+    "p6_report": _P6 + " select change, old_path, new_path, count(*) as n_files from changes group by all",
     "p1_found": _P1 + " select delivery_id from r where n > 1 and segment is not null",
     "p1_kept": _P1 + " select delivery_id, consumer_id, segment, row_count from r where n = 1 or segment is null",
     "p1_copies": _P1 + " select consumer_id, count(*) as n_deliveries, count(*) filter (where n = 1 or segment is null) as n_segments from r group by 1",

@@ -170,6 +170,11 @@ def test_pending_records_with_rollbacks(spark):
     assert incremental.pending(*[f.limit(0) for f in frames]).count() == 0
 
 
+def test_commits_in_a_circle_are_refused(spark):
+    with pytest.raises(ValueError):
+        incremental.commit_tree(spark.createDataFrame([(1, 2, "t", True), (2, 1, "t", False)], SNAPSHOTS))
+
+
 def test_a_failed_batch_is_repeated_without_gaps(spark, tmp_path):
     folder, sink = tmp_path / "in", tmp_path / "out"
     folder.mkdir()
