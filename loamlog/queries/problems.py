@@ -176,7 +176,60 @@ _P6 = """with recursive numbered as (select file_id, series, body, row_number()
     union all select series, n, path, path, 'type_changed' from found where here and there and kind <> 'null' and had <> 'null' and kind <> had),
   changes as (select d.file_id, e.old_path, e.new_path, e.change from every e join numbered d on d.series = e.series and d.n = e.n)"""
 
+_LEVEL = "case upper({0}) when 'TRACE' then 'TRACE' when 'DEBUG' then 'DEBUG' when 'INFO' then 'INFO' when 'LOG' then 'INFO' when 'NOTICE' then 'INFO' when 'WARN' then 'WARN' when 'WARNING' then 'WARN' when 'W' then 'WARN' when 'I' then 'INFO' when 'ERROR' then 'ERROR' when 'ERR' then 'ERROR' when 'E' then 'ERROR' when '' then '' else 'FATAL' end"
+
+
+def _p4_case(pattern: str, time: str, level: str = "''", component: str = "''") -> str:
+    """A layout of the SQL: groups are named by their numbers."""
+    group = lambda x: f"regexp_extract(s, '{pattern}', {x})" if x.isdigit() else x
+    at = time.replace("#", ")").replace("$", "regexp_extract(s, '" + pattern + "', ")
+    return f"when regexp_matches(s, '{pattern}') then {{'us': epoch_us({at}), 'level': {level if not level.isdigit() else _LEVEL.format(group(level))}, 'component': {group(component)}}}"
+
+
+_ISO = r"try_cast(regexp_replace(replace($1#, \',\', \'.\'), \'([.][0-9]{{6}})[0-9]+\', \'\1\') || {0} as timestamptz)".replace("\\'", "'")
+_D, _C, _LV = "[0-9]{4}-[0-9]{2}-[0-9]{2}", "[0-9]{2}:[0-9]{2}:[0-9]{2}", "(?i:(?:trace|debug|info|log|notice|warn|warning|error|err|fatal|critical|crit|panic|alert|emerg|emergency))"
+_KV = '[A-Za-z_][A-Za-z0-9_.-]*=(?:"(?:[^"\\\\]|\\\\.)*"|[^ "]*)'
+_P4 = (
+    r"""with l as (select host, source, line_no, min(event_id) as event_id, arg_min(raw, event_id) as raw, arg_min(event_time, event_id) as et from log_events group by 1, 2, 3),
+  t as (select *, regexp_replace(coalesce(raw, ''), '\x1b\[[0-9;]*m', '', 'g') as s, year(et) as y from l),
+  u as (select *, regexp_replace(s, '(^| )(msg|message)="(?:[^"\\]|\\.)*"', '\1\2=', 'g') as bare, case when s[1] = '{' and json_valid(s) then s end as doc from t),
+  h as (select *, case """
+    + " ".join([
+        _p4_case(rf"^({_D}T{_C}(?:[.][0-9]+)?Z) +({_LV}) ([A-Za-z0-9_:.-]+): ", _ISO.format("''"), "2", "3"),
+        _p4_case(rf"^[0-9.]+ [^ ]+ [^ ]+ \[([0-9]{{2}}/[A-Z][a-z]{{2}}/[0-9]{{4}}:{_C} [+-][0-9]{{4}})\] \"", "strptime($1#, '%d/%b/%Y:%H:%M:%S %z')"),
+        _p4_case(rf"^\[({_D} {_C}(?:[.][0-9]+)?)\] \[({_LV})\] \[([^\]]+)\] ", _ISO.format("'+00'"), "2", "3"),
+        _p4_case(rf"^({_D} {_C}(?:[.][0-9]+)?) UTC \[[0-9]+\] ({_LV}):  ", _ISO.format("'+00'"), "2"),
+        _p4_case(rf"^({_D} {_C},[0-9]{{3}}) ({_LV}) +\[[^\]]*\] ([^ ]+) - ", _ISO.format("'+00'"), "2", "3"),
+        _p4_case(rf"^({_D} {_C},[0-9]{{3}}) - ([^ ]+) - ({_LV}) - ", _ISO.format("'+00'"), "3", "2"),
+        _p4_case(rf"^<[0-9]{{1,3}}>1 ({_D}T{_C}(?:[.][0-9]+)?(?:Z|[+-][0-9]{{2}}:[0-9]{{2}})) [^ ]+ ([^ ]+) [^ ]+ [^ ]+ (?:-|\[)", _ISO.format("''"), "['FATAL', 'FATAL', 'FATAL', 'ERROR', 'WARN', 'INFO', 'INFO', 'DEBUG'][cast(regexp_extract(s, '^<([0-9]+)>', 1) as int) % 8 + 1]", "2"),
+        _p4_case(rf"^([A-Z][a-z]{{2}} [ 0-9][0-9] {_C}) [^ ]+ ([A-Za-z0-9_.-]+)(?:\[[0-9]+\])?: ", "try_strptime(y || ' ' || regexp_replace($1#, ' +', ' ', 'g'), '%Y %b %-d %H:%M:%S')", "''", "2"),
+        _p4_case(rf"^([0-9]{{4}}/[0-9]{{2}}/[0-9]{{2}} {_C}) \[({_LV})\] [0-9]+#[0-9]+: ", "try_strptime($1#, '%Y/%m/%d %H:%M:%S')", "2"),
+        _p4_case(rf"^[IWEF]([0-9]{{4}} {_C}[.][0-9]+) +[0-9]+ ([^ :\]]+):[0-9]+\] ", "try_cast(y || '-' || $1#[1:2] || '-' || $1#[3:4] || $1#[5:] || '+00' as timestamptz)", _LEVEL.format("s[1]"), "2"),
+    ])
+    + r""" when doc is not null and coalesce(json_extract_string(doc, '$.time'), json_extract_string(doc, '$.timestamp')) is not null
+      then {'us': epoch_us(try_cast(coalesce(json_extract_string(doc, '$.time'), json_extract_string(doc, '$.timestamp')) as timestamptz)), 'level': """
+    + _LEVEL.format("coalesce(json_extract_string(doc, '$.level'), json_extract_string(doc, '$.severity'), '')")
+    + r""", 'component': coalesce(json_extract_string(doc, '$.component'), json_extract_string(doc, '$.logger'), '')}
+    when doc is not null and json_extract_string(doc, '$.ts') is not null
+      then {'us': cast(floor(case when cast(json_extract_string(doc, '$.ts') as decimal(24, 6)) > 100000000000 then cast(json_extract_string(doc, '$.ts') as decimal(24, 6)) * 1000 else cast(json_extract_string(doc, '$.ts') as decimal(24, 6)) * 1000000 end) as bigint), 'level': """
+    + _LEVEL.format("coalesce(json_extract_string(doc, '$.level'), json_extract_string(doc, '$.severity'), '')")
+    + r""", 'component': coalesce(json_extract_string(doc, '$.component'), json_extract_string(doc, '$.logger'), '')}
+    when regexp_full_match(s, '"""
+    + _KV
+    + "(?: +"
+    + _KV
+    + r""")* *') and regexp_matches(bare, '(?:^| )(?:time|ts)=')
+      then {'us': epoch_us(try_cast(regexp_extract(bare, '(?:^| )(?:time|ts)=([^ ]*)', 1) as timestamptz)), 'level': """
+    + _LEVEL.format("regexp_extract(bare, '(?:^| )(?:level|lvl)=([^ ]*)', 1)")
+    + r""", 'component': regexp_extract(bare, '(?:^| )(?:component|logger)=([^ ]*)', 1)} end as head from u),
+  e as (select *, last_value(case when head.us is not null then line_no end ignore nulls) over (partition by host, source order by line_no rows between unbounded preceding and current row) as first_line from h),
+  n as (select host, source, first_line, count(*) as n_rows from e where first_line is not null group by all)
+  select h.event_id, h.head.us as ts_us, h.head.level as level, h.head.component as component, n.n_rows from n join h on h.host is not distinct from n.host and h.source is not distinct from n.source and h.line_no = n.first_line"""
+)
+
+
 ORACLES = {
+    "p4_found": _P4,
     "p2_found": _P2 + " select export_id, node_path from n where node_path <> ''",
     "p6_found": _P6 + " select * from changes",
     "p6_report": _P6 + " select change, old_path, new_path, count(*) as n_files from changes group by all",
