@@ -56,7 +56,8 @@ def _characters() -> tuple[np.ndarray, np.ndarray]:
     """Of every code point its class, and its lower case (itself where that isn't one character)."""
     if not _tables:
         kind, lower = np.zeros(0x110000, dtype=np.uint8), np.arange(0x110000, dtype=np.uint32)
-        for code in range(0x110000):
+        kind[0x20000:0x40000] = LOWER  # ideographs
+        for code in range(0x20000):
             c = chr(code)
             if c.isalpha():
                 kind[code] = UPPER if c.isupper() or c.istitle() else LOWER
@@ -325,8 +326,9 @@ def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(whose):
                 continue
             at, own = grams(codes, owner)
-            key = np.sort(own * np.int64(BUCKETS) + at)
-            df[:BUCKETS] += np.bincount(key[np.append(True, key[1:] != key[:-1])] % BUCKETS, minlength=BUCKETS)
+            kind = np.uint32 if len(whose) < 1 << (32 - BITS) else np.uint64
+            key = np.sort((own.astype(kind) << kind(BITS)) | at.astype(kind))
+            df[:BUCKETS] += np.bincount(key[np.append(True, key[1:] != key[:-1])] & kind(BUCKETS - 1), minlength=BUCKETS)
             df[BUCKETS] += len(whose)
             # the sentences as they lie, without the blanks around them
             edges = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
@@ -431,10 +433,17 @@ def _classify(model: Model):
             coded = texts.flatten().dictionary_encode()
             rows = scores.of(coded.dictionary.to_pylist())
             code = np.asarray(coded.indices)
+            x = rows[code]
             ends = np.cumsum(np.asarray(pc.list_value_length(texts)))
+            starts = np.append(0, ends[:-1])
+            # what changes of language could gain at most in a text; if less than one costs, it has none
+            whole = np.add.reduceat(x, starts, axis=0)
+            one = whole.argmax(axis=1)
+            plain = np.add.reduceat(x.max(axis=1), starts) - whole.max(axis=1) <= SWITCH
+            sure = np.add.reduceat(np.exp(x[np.arange(len(x)), np.repeat(one, ends - starts)]), starts) / (ends - starts)
             out = ([], [], [], [], [])
-            for i, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
-                found = segments_of(rows[code[a:b]])
+            for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist())):
+                found = [(int(one[i]), float(sure[i]), b - a)] if plain[i] else segments_of(x[a:b])
                 for j, (lang, confidence, _) in enumerate(found):
                     for column, value in zip(out, (i, j, LANGUAGES[lang], confidence, len(found))):
                         column.append(value)
