@@ -15,6 +15,7 @@ from loamlog.plans import scratch
 
 TARGET = 128 << 20
 SMALL = 16 << 20
+FILES_A_BATCH = 20_000
 STARTS_A_BLOCK = 20  # bits: a block of starts holds at most 2^20 of them
 
 
@@ -104,24 +105,44 @@ def groups(planned: DataFrame) -> DataFrame:
     return planned.groupBy("origin", "bin", "group_no").agg(F.count("*").alias("n_files"), F.sum("n_bytes").alias("n_bytes"), F.sum("n_rows").alias("n_rows"))
 
 
-def rewrite(spark: SparkSession, planned: DataFrame, root: str, out: str) -> DataFrame:
+def rewrite(spark: SparkSession, planned: DataFrame, root: str, out: str, files_a_batch: int = FILES_A_BATCH) -> DataFrame:
     """Rewrites the Parquet files under ``root`` that ``planned`` names, one file a group, and
-    returns the groups with rows in and out; raises ValueError, and removes ``out``, if a group's
-    counts differ.
+    returns the groups with rows in and out; raises ValueError, and removes ``out``, if counts differ.
 
-    The files are read in one scan; each row finds its group by the file it came from.
+    Groups are taken in batches of about ``files_a_batch`` files, so that the driver never holds
+    more names; a batch is one scan, in which each row finds its group by the file it came from.
     """
-    paths = [r["location"] for r in planned.select("location").toLocalIterator()]
-    if not paths:
+    target = F.concat_ws("-", F.lit("g"), F.sha2(F.concat_ws("\x1f", "origin", "bin"), 256).substr(1, 12), F.col("group_no").cast("string"))
+    ordered = planned.select("location", target.alias("target_file")).orderBy("target_file", "location")
+    reports, batch = [], []
+    for row in ordered.toLocalIterator(prefetchPartitions=True):
+        if len(batch) >= files_a_batch and row["target_file"] != batch[-1][1]:
+            reports.append(_rewrite_batch(spark, batch, root, out))
+            batch = []
+        batch.append((row["location"], row["target_file"]))
+    if batch:
+        reports.append(_rewrite_batch(spark, batch, root, out))
+    if not reports:
         return spark.createDataFrame([], "target_file string, rows_in long, rows_out long")
-    data = spark.read.parquet(*[f"{root}/{p}" for p in paths])
-    place = planned.select(F.col("location").alias("__location"), F.concat_ws("-", F.lit("g"), F.sha2(F.concat_ws("\x1f", "origin", "bin"), 256).substr(1, 12), F.col("group_no").cast("string")).alias("target_file"))
+    whole = reports[0]
+    for r in reports[1:]:
+        whole = whole.unionByName(r)
+    return whole
+
+
+def _rewrite_batch(spark: SparkSession, batch: list[tuple[str, str]], root: str, out: str) -> DataFrame:
+    data = spark.read.option("mergeSchema", "true").parquet(*[f"{root}/{location}" for location, _ in batch])
+    place = spark.createDataFrame(batch, "__location string, target_file string")
     tagged = data.withColumn("__location", F.substring(F.col("_metadata.file_path"), F.lit(len(_qualified(spark, root)) + 2), F.lit(1 << 30)))
     rows = tagged.join(place, "__location").drop("__location")
-    n = max(1, planned.select("origin", "bin", "group_no").distinct().count())
+    targets = sorted({t for _, t in batch})
     counted_in = rows.groupBy("target_file").agg(F.count("*").alias("rows_in"))
-    rows.repartition(n, "target_file").write.partitionBy("target_file").parquet(out)
-    counted_out = spark.read.parquet(out).groupBy("target_file").agg(F.count("*").alias("rows_out"))
+    rows.repartition(len(targets), "target_file").write.mode("append").partitionBy("target_file").parquet(out)
+    there = [p for t in targets if scratch.exists(spark, p := f"{out}/target_file={t}")]
+    if there:
+        counted_out = spark.read.parquet(*there).groupBy(F.regexp_extract(F.col("_metadata.file_path"), "target_file=([^/]+)/", 1).alias("target_file")).agg(F.count("*").alias("rows_out"))
+    else:  # nothing but empty files
+        counted_out = spark.createDataFrame([], "target_file string, rows_out long")
     report = scratch.materialise(counted_in.join(counted_out, "target_file", "full"), "reconciled")
     if report.where("not (rows_in <=> rows_out)").limit(1).count() or data.count() != report.agg(F.coalesce(F.sum("rows_out"), F.lit(0))).first()[0]:
         scratch.drop_path(spark, out)

@@ -14,12 +14,15 @@ digits; records not touched since a cursor's point on the main line are never lo
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamlog.plans import ordered, scratch
 
 SALTS = 16
+FILES_A_READ = 10_000  # names the driver holds at a time
 DEPTHS_A_BLOCK = 256
 
 
@@ -147,24 +150,32 @@ class FileManifest:
     own output.
     """
 
-    SCHEMA = "path string, size long, checksum string, batch_id string"
+    SCHEMA = "path string, size long, modified timestamp, checksum string, batch_id string"
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
     def entries(self) -> DataFrame:
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(self.path)
-        if not target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        if not scratch.exists(self.spark, self.path):
             return self.spark.createDataFrame([], self.SCHEMA)
         return self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/batch=*")
 
     def listing(self, folder: str, glob: str = "*") -> DataFrame:
+        """(path, size, modified, checksum). The contents are read only if the checksum is used."""
         files = self.spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
-        return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("checksum"))
+        return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("checksum"))
 
     def outstanding(self, folder: str, glob: str = "*") -> DataFrame:
-        return self.listing(folder, glob).join(self.entries(), ["path", "size", "checksum"], "left_anti")
+        """Files the manifest lacks. Only files that are new, or were touched since, are read for
+        their checksum; those touched without a change are not outstanding."""
+        known, listed = self.entries(), self.listing(folder, glob)
+        touched = listed.drop("checksum").join(known, ["path", "size", "modified"], "left_anti").select("path")
+        empty = self.spark.createDataFrame([], "path string, size long, modified timestamp, checksum string")
+        out, paths = empty, touched.toLocalIterator()
+        while names := [r["path"] for r in itertools.islice(paths, FILES_A_READ)]:
+            fresh = self.spark.read.format("binaryFile").load(names).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("checksum"))
+            out = out.unionByName(scratch.materialise(fresh.join(known, ["path", "size", "checksum"], "left_anti"), "fresh"))
+        return out
 
     def run_batch(self, folder: str, process, sink: str, glob: str = "*", fail_before_commit: bool = False) -> str | None:
         """Processes the outstanding files; ``process`` maps their paths' DataFrame to the rows to

@@ -252,7 +252,7 @@ def test_a_rewrite_conserves_rows(spark, tmp_path):
         spark.range(i * 10, i * 10 + 10).withColumn("location", F.lit("clash")).coalesce(1).write.parquet(f"file://{root}/tab/data/d={i % 2}/p{i}")
     found = [str(p.relative_to(root)) for p in root.rglob("*.parquet")]
     files = spark.createDataFrame([("lake", p.split("/p")[0], p, 100, 10) for p in found], "origin string, bin string, location string, n_bytes long, n_rows long")
-    report = compaction.rewrite(spark, compaction.plan(files, target=350), str(root), f"file://{tmp_path}/out")
+    report = compaction.rewrite(spark, compaction.plan(files, target=350), str(root), f"file://{tmp_path}/out", files_a_batch=5)
     assert {(r["rows_in"], r["rows_out"]) for r in report.collect()} == {(40, 40), (20, 20)}
     assert len(list((tmp_path / "out").rglob("*.parquet"))) == report.count() == 4
     assert sorted(r["id"] for r in spark.read.parquet(f"file://{tmp_path}/out").collect()) == list(range(120))
