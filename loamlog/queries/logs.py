@@ -10,6 +10,7 @@ from loamlog.functions import text
 from loamlog.operators import mapping, nested, sketch, spans, tables
 from loamlog.plans import scratch
 from loamlog.plans.adapter import logs, table, traces
+from loamlog.queries.problems import _P2_RECORDS
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -269,7 +270,7 @@ def otlp_logs(spark, sf):
     return otlp.read_logs(table(spark, sf, "otlp_exports")).select("host", "source", "sourcetype", "index", "raw", "attributes", "timestamp_ns")
 
 
-@query()
+@query(_P2_RECORDS)
 def otlp_logs_explode(spark, sf):
     return nested.records(nested.flatten_exports(table(spark, sf, "otlp_exports")))
 

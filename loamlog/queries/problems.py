@@ -228,7 +228,24 @@ _P4 = (
 )
 
 
+def _member(*paths: str) -> str:
+    return "coalesce(" + ", ".join(f"json_extract_string(j, '$.{p}')" for p in paths) + ")"
+
+
+_PARENT = "regexp_replace(node_path, '/[^/]*$', '') as parent_path"
+_P2_RECORDS = _P2 + f""" select export_id, node_path, {_PARENT}, try_cast({_member("timeUnixNano", "time_unix_nano")} as bigint) as time_ns, try_cast({_member("severityNumber", "severity_number")} as int) as severity_number,
+  {_member("severityText", "severity_text")} as severity_text, coalesce({_member("body.stringValue", "body.string_value")}, json_extract_string(j, '$.body')) as body_text, {_member("traceId", "trace_id")} as trace_id, {_member("spanId", "span_id")} as span_id from n where role = 'L'"""
+_KINDS = [("string", "stringValue", "string_value"), ("int", "intValue", "int_value"), ("double", "doubleValue", "double_value"), ("bool", "boolValue", "bool_value"), ("bytes", "bytesValue", "bytes_value")]
+_P2_ATTRIBUTES = _P2 + f""", a as (select *, case when role = 'K' then json_extract(j, '$.value') else j end as v from n where role in ('K', 'V'))
+  select export_id, node_path, {_PARENT}, cast(regexp_extract(node_path, '[0-9]+$') as int) as element_no, case when role = 'K' then json_extract_string(j, '$.key') end as attr_key,
+  coalesce({", ".join(f"case when {_member(c, k).replace('(j,', '(v,')} is not null then '{n}' end" for n, c, k in _KINDS)}, case when {_member("arrayValue", "array_value").replace('(j,', '(v,')} is not null then 'array' when {_member("kvlistValue", "kvlist_value").replace('(j,', '(v,')} is not null then 'kvlist' end, 'empty') as value_kind,
+  coalesce({", ".join(_member(c, k).replace('(j,', '(v,') for _, c, k in _KINDS)}) as value_text from a"""
+
 ORACLES = {
+    "p2_resources": _P2 + f" select export_id, node_path, coalesce(try_cast({_member('resource.droppedAttributesCount', 'resource.dropped_attributes_count')} as bigint), 0) as dropped_attributes from n where role = 'R'",
+    "p2_scopes": _P2 + f" select export_id, node_path, {_PARENT}, json_extract_string(j, '$.scope.name') as scope_name, json_extract_string(j, '$.scope.version') as scope_version, {_member('schemaUrl', 'schema_url')} as schema_url from n where role = 'S'",
+    "p2_records": _P2_RECORDS,
+    "p2_attributes": _P2_ATTRIBUTES,
     "p4_found": _P4,
     "p2_found": _P2 + " select export_id, node_path from n where node_path <> ''",
     "p6_found": _P6 + " select * from changes",
