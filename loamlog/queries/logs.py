@@ -47,7 +47,7 @@ _search("match_terms_rows", text.match_terms, "Lease LOST after", f"len(list_fil
 _search("match_alias", text.match, "snapshot committed", f"list_contains({_RAW}, 'snapshot') and list_contains({_RAW}, 'committed')")
 _search("match_any_rows", text.match_any, "rebalanced backpressure", f"list_has_any({_RAW}, ['rebalanced', 'backpressure'])")
 _search("match_phrase_rows", text.match_phrase, "poll returned", f"len(list_filter(range(1, len({_RAW})), lambda i: list_slice({_RAW}, i, i + 1) = ['poll', 'returned'])) > 0")
-_search("match_prefix_rows", text.match_prefix, "rebal siglake", f"len(list_filter({_RAW}, lambda t: starts_with(t, 'rebal') or starts_with(t, 'siglake'))) > 0")
+_search("match_prefix_rows", text.match_prefix, "rebal compac", f"len(list_filter({_RAW}, lambda t: starts_with(t, 'rebal') or starts_with(t, 'compac'))) > 0")
 
 
 @query(f"""select count(*) filter (where lower(raw) like '%lag%') as by_like, count(*) filter (where coalesce(list_contains({_RAW}, 'lag'), false)) as by_token from log_events""")
