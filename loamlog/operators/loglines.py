@@ -126,13 +126,18 @@ def header(raw: Column, received: Column) -> Column:
     return struct
 
 
-def _lines(df: DataFrame, text: bool) -> DataFrame:
-    """Each line once, with its block and, if it begins an entry, its header."""
+def once(df: DataFrame) -> DataFrame:
+    """Each line once, of whatever layout: host, source, at, event_id, event_time, raw."""
     has = F.struct("event_id", "event_time", "raw")
     # a line without a number stands after all others, each one for itself
     at = F.coalesce("line_no", F.lit(1 << 62) + F.col("event_id"))
-    once = df.select("host", "source", at.alias("at"), "event_id", "event_time", "raw").groupBy("host", "source", "at").agg(F.min_by(has, "event_id").alias("x"))
-    rows = once.select("host", "source", "at", "x.*").withColumn("head", header(F.coalesce("raw", F.lit("")), F.col("event_time")))
+    lines = df.select("host", "source", at.alias("at"), "event_id", "event_time", "raw").groupBy("host", "source", "at").agg(F.min_by(has, "event_id").alias("x"))
+    return lines.select("host", "source", "at", "x.*")
+
+
+def _lines(df: DataFrame, text: bool) -> DataFrame:
+    """Each line once, with its block and, if it begins an entry, its header."""
+    rows = once(df).withColumn("head", header(F.coalesce("raw", F.lit("")), F.col("event_time")))
     head = F.when(F.col("head.ts_us").isNotNull(), F.struct("at", "event_id", "head"))
     return rows.select("host", "source", "at", F.floor(F.col("at") / LINES_A_BLOCK).alias("block"), "event_id", *(["raw"] if text else []), head.alias("begin"))
 

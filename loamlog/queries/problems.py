@@ -59,10 +59,8 @@ def p3_backlog(spark, sf):
 
 
 def p4_method(spark, sf):
-    """Every entry's template, mined over the whole table."""
-    lines = table(spark, sf, "log_events")
-    firsts = loglines.assigned(lines, text=True).where("begin is not null").select("event_id", "raw")
-    return templates.mine(firsts)[0]
+    """Every line's template, mined over the whole table: of any layout or none, continuation lines too."""
+    return templates.mine(loglines.once(table(spark, sf, "log_events")))[0]
 
 
 def p4_found(spark, sf):
@@ -74,9 +72,7 @@ def p4_entries(spark, sf):
 
 
 def p4_templates(spark, sf):
-    lines = table(spark, sf, "log_events")
-    firsts = loglines.assigned(lines, text=True).where("begin is not null").select("event_id", "raw")
-    return templates.mine(firsts)[1]
+    return templates.mine(loglines.once(table(spark, sf, "log_events")))[1]
 
 
 def _files(spark, sf):

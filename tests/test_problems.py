@@ -228,6 +228,19 @@ def test_templates_find_constants_and_slots(spark):
     assert templates.mine(df.limit(0))[0].count() == 0
 
 
+def test_templates_are_mined_of_every_line(spark, tmp_path):
+    from loamlog.queries import problems
+
+    lines = ["2026-03-01T10:00:00Z  INFO a: poll done", "    at lake.Wal.run(Wal.java:12)", "    at lake.Wal.stop(Wal.java:7)", "@@ 7 unknown layout of red", "@@ 8 unknown layout of blue", ""]
+    rows = [(i, at(0), "h", "s", i, raw) for i, raw in enumerate(lines)] + [(90, at(0), "h", "s", 1, lines[1]), (91, at(0), "h", "s", None, None)]
+    df = spark.createDataFrame(rows, "event_id long, event_time timestamp, host string, source string, line_no long, raw string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/log_events.parquet")
+    got = {r["event_id"]: r["template"] for r in problems.p4_method(spark, str(tmp_path)).collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4, 5, 91]  # each line once, and the copy of line 1 not again
+    assert got[1] == got[2] and got[1].startswith("at ") and got[3] == got[4] and "unknown layout of" in got[3]
+    assert sum(r["n_entries"] for r in problems.p4_templates(spark, str(tmp_path)).collect()) == 7
+
+
 def test_common_subsequence_and_merge():
     assert templates.common(list("abcd"), list("axcyd")) == list("acd")
     assert templates.merge("a b c".split(), "a x c d".split()) == ["a", templates.SLOT, "c", templates.SLOT]
