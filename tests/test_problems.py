@@ -241,6 +241,17 @@ def test_templates_are_mined_of_every_line(spark, tmp_path):
     assert sum(r["n_entries"] for r in problems.p4_templates(spark, str(tmp_path)).collect()) == 7
 
 
+def test_slots_are_classified_by_their_values(spark):
+    levels, paths, tails = ["INFO", "WARN", "ERROR"], ["lake.wal.io", "lake/planner/x", "a::b"], ["done", "lake.core", "at once"]
+    rows = [(i, f"start of run {levels[i % 3]} from {paths[i // 3 % 3]} by user {'abcdef'[i % 6]}q ended {tails[i % 3]}") for i in range(60)] + [(100 + i, f"{i} rows") for i in range(3)]
+    _, summary = templates.mine(spark.createDataFrame(rows, "event_id long, raw string").repartition(3))
+    found = {r["template"]: r for r in summary.collect()}
+    one = found["start of run <*> from <*> by user <*> ended <*>"]
+    assert (one["n_entries"], one["slots"]) == (60, "level,path,text,text")
+    assert one["kinds"] == "level:60,path:60,word:60,path:20|text:20|word:20"
+    assert (found["<number> rows"]["slots"], found["<number> rows"]["kinds"]) == ("number", "number:3")
+
+
 def test_common_subsequence_and_merge():
     assert templates.common(list("abcd"), list("axcyd")) == list("acd")
     assert templates.merge("a b c".split(), "a x c d".split()) == ["a", templates.SLOT, "c", templates.SLOT]
