@@ -252,6 +252,18 @@ def test_slots_are_classified_by_their_values(spark):
     assert (found["<number> rows"]["slots"], found["<number> rows"]["kinds"]) == ("number", "number:3")
 
 
+def test_templates_join_whatever_token_comes_first(spark):
+    months = ["Jan", "Feb", "Mar", "Apr"]
+    rows = [(i, f"{months[i % 4]} {i % 9 + 1} 10:00:0{i % 10} host walsync[{i}]: lease lost after {i} ms") for i in range(40)]
+    rows += [(100 + i, ["ts={0} lvl=info msg=\"cache warmed\" dur={0}ms", "lvl=info msg=\"cache warmed\" dur={0}ms ts={0}"][i % 2].format(i)) for i in range(10)] + [(200, ""), (201, None), (202, "")]
+    df = spark.createDataFrame(rows, "event_id long, raw string").repartition("event_id")
+    for parts in (df.coalesce(1), df.repartition(40, "event_id")):  # within a task, and between tasks
+        got = {r["event_id"]: r["template"] for r in templates.mine(parts)[0].collect()}
+        assert len(got) == len(rows)
+        assert {got[i] for i in range(40)} == {"<*> <number> <time> host walsync [ <number> ] : lease lost after <number> ms"}
+        assert len({got[100 + i] for i in range(10)}) == 1 and {got[i] for i in (200, 201, 202)} == {""}
+
+
 def test_common_subsequence_and_merge():
     assert templates.common(list("abcd"), list("axcyd")) == list("acd")
     assert templates.merge("a b c".split(), "a x c d".split()) == ["a", templates.SLOT, "c", templates.SLOT]
