@@ -264,6 +264,29 @@ def test_templates_join_whatever_token_comes_first(spark):
         assert len({got[100 + i] for i in range(10)}) == 1 and {got[i] for i in (200, 201, 202)} == {""}
 
 
+def test_templates_are_chosen_by_the_longest_common_subsequence():
+    import random
+
+    clusters = templates.Clusters()
+    clusters._put(0, ["x", "a", templates.SLOT])
+    clusters._put(1, "x a b c d e".split())
+    assert clusters.add("x a b c".split()) == 1 and clusters.name(1) == "x a b c <*>"
+    r, clusters, n_covered = random.Random(7), templates.Clusters(), 0
+    for _ in range(3000):
+        tokens = r.choices("abcdefghijkl", k=r.randint(1, 9)) + r.choices(["p", "q", f"w{r.random()}"], k=r.randint(0, 3))
+        plain, most = -1, (0, False)  # every template is compared
+        for n, t in enumerate(clusters.templates):
+            length = len(templates.common(t.tokens, tokens))
+            found = length, templates.covers(t.blocks, tokens)
+            if length >= templates.SHARE * max(len(tokens), t.size) and found > most:
+                plain, most = n, found
+        before = [t.tokens for t in clusters.templates]
+        assert clusters.add(tokens) == (plain if plain >= 0 else len(before))
+        assert not most[1] or before == [t.tokens for t in clusters.templates]
+        n_covered += most[1]
+    assert n_covered > 300 and any(templates.SLOT in t.tokens for t in clusters.templates)
+
+
 def test_common_subsequence_and_merge():
     assert templates.common(list("abcd"), list("axcyd")) == list("acd")
     assert templates.merge("a b c".split(), "a x c d".split()) == ["a", templates.SLOT, "c", templates.SLOT]
