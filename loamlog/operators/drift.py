@@ -50,7 +50,16 @@ def _write(v) -> str:
     return json.dumps(_same(v), sort_keys=True, ensure_ascii=False, separators=(",", ":"))
 
 
-def _fields(text: str) -> list[tuple[str, str, str, str]] | None:
+def _escape(key: str) -> str:
+    """A key as one part of a path: ~ is ~0, / is ~1, and an empty key ~2."""
+    return key.replace("~", "~0").replace("/", "~1") or "~2"
+
+
+def _unescape(part: str) -> str:
+    return "" if part == "~2" else part.replace("~1", "/").replace("~0", "~")
+
+
+def _fields(text: str, escape: bool = False) -> list[tuple[str, str, str, str]] | None:
     """(path, parent, kind, canonical value) of every object member; None if it's no JSON object.
     An object's value is its whole text, so that a renamed object is found as one field."""
     try:
@@ -63,6 +72,7 @@ def _fields(text: str) -> list[tuple[str, str, str, str]] | None:
     while stack:
         parent, members = stack.pop()
         for key, value in members.items():
+            key = _escape(key) if escape else key
             path = f"{parent}/{key}" if parent else key
             out.append((path, parent, _kind(value), _write(value)))
             if isinstance(value, dict):
@@ -168,8 +178,9 @@ def ingest(files: DataFrame, target: dict[str, str], body: str = "body") -> Data
     """Reads bodies into the columns of ``target`` (path to Spark type) and a rescue column.
 
     A column is the field at its path cast to its type; ``_rescued`` is a JSON object of every
-    top-level-or-nested leaf the target lacks and of every value that couldn't be cast, by path
-    (null if there is none). A null or unreadable body gives nulls, and an unreadable one is
+    top-level-or-nested leaf the target lacks, objects without members too, and of every value that
+    couldn't be cast, by path (null if there is none). In paths, also those of ``target``, a key's
+    ~ is written ~0, its / is ~1 and an empty key is ~2. A null or unreadable body gives nulls, and an unreadable one is
     rescued whole under ''.
     """
     spec = list(target.items())
@@ -212,7 +223,7 @@ def _castable(v, kind: str) -> str | None:
 def _rescue(text: str | None, spec: list[tuple[str, str]]) -> list[str | None]:
     if text is None:
         return [None] * (len(spec) + 1)
-    fields = _fields(text)
+    fields = _fields(text, escape=True)
     if fields is None:
         return [None] * len(spec) + [json.dumps({"": text}, ensure_ascii=False)]
     wanted = dict(spec)
@@ -226,18 +237,33 @@ def _rescue(text: str | None, spec: list[tuple[str, str]]) -> list[str | None]:
             have[path] = text_of
             if v is not None and text_of is None:
                 kept[path] = v
-        elif kind != "object" and not any(path.startswith(p + "/") for p in whole):
+        elif (kind != "object" or value == "{}") and not any(path.startswith(p + "/") for p in whole):
             kept[path] = json.loads(value)
     return [have.get(p) for p, _ in spec] + [json.dumps(kept, sort_keys=True, ensure_ascii=False) if kept else None]
 
 
+def _rebuilt(path: str, members: list[str], kept: dict[str, object]) -> dict:
+    out: dict = {}
+    for p in members:
+        *parents, last = [_unescape(part) for part in p[len(path) + 1 :].split("/")]
+        at = out
+        for part in parents:
+            at = at.setdefault(part, {})
+        at[last] = kept[p]
+    return out
+
+
 def promote(table: DataFrame, approved: dict[str, str]) -> DataFrame:
     """Adds columns for approved fields and replays rescued values into them.
 
     A column that exists keeps its values and is filled where it is null; what was replayed leaves
-    the rescue column, what still can't be cast stays there.
+    the rescue column, what still can't be cast stays there. A field that is an object is rebuilt
+    from its rescued members, unless a column holds one of them: then the others stay rescued.
     """
     spec = list(approved.items())
+    if nested := [p for p in approved if any(q.startswith(p + "/") for q in approved)]:
+        raise ValueError(f"approved together with fields of their own: {nested}")
+    split = {p for p in approved if any(c.startswith(p.replace("/", "__") + "__") for c in table.columns)}
 
     def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,10 +272,12 @@ def promote(table: DataFrame, approved: dict[str, str]) -> DataFrame:
                 kept = json.loads(text) if text else {}
                 row = []
                 for path, kind in spec:
-                    v = kept.get(path)
+                    members = [p for p in kept if p.startswith(path + "/")] if path not in kept and path not in split else []
+                    v = _rebuilt(path, members, kept) if members else kept.get(path)
                     got = None if v is None else _castable(v, kind)
                     if got is not None or (path in kept and v is None):
-                        kept.pop(path)
+                        for p in members or [path]:
+                            kept.pop(p)
                     row.append(got)
                 out.append([*row, json.dumps(kept, sort_keys=True, ensure_ascii=False) if kept else None])
             rest = [n for n in batch.schema.names if n != "_rescued"]

@@ -344,6 +344,22 @@ def test_rescue_promote_and_replay(spark):
     assert more[0]["u__v"] == 3 and json.loads(more[0]["_rescued"]) == {"w": [1]} and more[2]["u__v"] is None and "u/v" in more[2]["_rescued"]
 
 
+def test_rescue_keeps_empty_objects_and_keys_with_slashes(spark):
+    bodies = ['{"n":1,"e":{},"u":{"v":{},"w":1}}', '{"a/b":1,"a":{"b":2},"c~1d":3,"c/d":4,"":{"k":5},"k":6}', '{"u":{"x/y":{"z":[1]},"w":null}}', '{"u":{}}', '{"u":3}']
+    df = spark.createDataFrame(list(enumerate(bodies)), "file_id int, body string")
+    table = drift.ingest(df, {"n": "bigint"})
+    got = {r["file_id"]: json.loads(r["_rescued"]) for r in table.collect()}
+    assert got[0] == {"e": {}, "u/v": {}, "u/w": 1}
+    assert got[1] == {"a~1b": 1, "a/b": 2, "c~01d": 3, "c~1d": 4, "~2/k": 5, "k": 6}
+    more = {r["file_id"]: r for r in drift.promote(table, {"u": "string"}).collect()}
+    assert [more[i]["u"] for i in range(5)] == ['{"v":{},"w":1}', None, '{"w":null,"x/y":{"z":[1]}}', "{}", "3"]
+    assert json.loads(more[0]["_rescued"]) == {"e": {}} and more[2]["_rescued"] is None
+    split = {r["file_id"]: r for r in drift.promote(drift.promote(table, {"u/w": "bigint"}), {"u": "string"}).collect()}
+    assert split[0]["u__w"] == 1 and split[0]["u"] is None and json.loads(split[0]["_rescued"]) == {"e": {}, "u/v": {}}
+    with pytest.raises(ValueError):
+        drift.promote(table, {"u": "string", "u/w": "bigint"})
+
+
 def test_running_values_over_blocks(spark):
     rows = [(k, i, i // 7, (i * 5 % 11) if i % 3 else None) for k in ("a", None) for i in range(50)]
     df = spark.createDataFrame(rows, "k string, i int, b int, v int").repartition(5)
