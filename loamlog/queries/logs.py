@@ -67,7 +67,12 @@ def search_sugar(spark, sf):
 
 @query(f"""select token, count(*) as n from (select unnest({_RAW}) as token from log_events) group by 1 having count(*) >= 20""")
 def token_counts(spark, sf):
-    return table(spark, sf, "log_events").select(F.explode(text.tokens(F.col("raw"))).alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n >= 20")
+    return token_counts_all(spark, sf).where("n >= 20")
+
+
+@query(f"select token, count(*) as n from (select unnest({_RAW}) as token from log_events) group by 1")
+def token_counts_all(spark, sf):
+    return table(spark, sf, "log_events").select(F.explode(text.tokens(F.col("raw"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
 _STEM = """case when ends_with(t, 'ing') and length(t) >= 7 and regexp_matches(t[:-4], '[aeiou]') then t[:-4] when ends_with(t, 'ed') and length(t) >= 5 and regexp_matches(t[:-3], '[aeiou]') then t[:-3]
@@ -76,7 +81,12 @@ _STEM = """case when ends_with(t, 'ing') and length(t) >= 7 and regexp_matches(t
 
 @query(f"select stem, count(*) as n from (select {_STEM} as stem from (select unnest({_RAW}) as t from log_events)) where length(stem) >= 3 group by 1 having count(*) >= 20")
 def stem_counts(spark, sf):
-    return table(spark, sf, "log_events").select(F.explode(text.stem_tokens(F.col("raw"))).alias("stem")).groupBy("stem").agg(F.count("*").alias("n")).where("n >= 20")
+    return stem_counts_all(spark, sf).where("n >= 20")
+
+
+@query(f"select stem, count(*) as n from (select {_STEM} as stem from (select unnest({_RAW}) as t from log_events)) where length(stem) >= 3 group by 1")
+def stem_counts_all(spark, sf):
+    return table(spark, sf, "log_events").select(F.explode(text.stem_tokens(F.col("raw"))).alias("stem")).groupBy("stem").agg(F.count("*").alias("n"))
 
 
 @query(f"with {_LOGS} select coalesce(nullif(regexp_extract(raw, '(?:^|[^A-Za-z0-9_])type=(?:\"([^\"]*)\"|([^\\s,]+))', 2), ''), '') as kind, regexp_extract(raw, 'path=\"([^\"]*)\"', 1) as path, count(*) as n from logs group by 1, 2")

@@ -32,6 +32,21 @@ def hits(df, test):
 CELLS = ["Slow MERGE of the index", "merge-slow", "no match", None, "", "ab merge cd slow", "x " * 70 + "late words", "emerge slower", "ſlow merge", "a" * 100_000]
 
 
+def test_token_and_stem_counts_keep_rare_ones(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from loamlog.queries import logs as queries
+
+    path = f"{tmp_path}/log_events.parquet"
+    rows(spark, [*["leases lost"] * 20, "once merged", None]).withColumnRenamed("v", "raw").coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"create view log_events as select * from '{path}/*.parquet'")
+    for name, rare in (("token_counts_all", {"once": 1, "merged": 1}), ("stem_counts_all", {"once": 1, "merg": 1})):
+        got = {tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).collect()}
+        assert rare.items() <= got and got == set(con.execute(queries.ORACLES[name]).fetchall())
+        few = queries.QUERIES[name.removesuffix("_all")](spark, str(tmp_path)).collect()
+        assert {r["n"] for r in few} == {20}
+
+
 def test_search_functions(spark):
     df, v = rows(spark, CELLS), F.col("v")
     assert hits(df, text.match_terms(v, "slow merge")) == [0, 1, 5]
