@@ -8,10 +8,14 @@ blocks' totals, and no table, however large, is summed in one task.
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamlog.plans import scratch
+from loamlog.plans import ordered, scratch
+from loamlog.plans.store import Store
 
 TARGET = 128 << 20
 SMALL = 16 << 20
@@ -79,8 +83,7 @@ def manifest(tasks: DataFrame, segments: DataFrame) -> DataFrame:
 
 def freeze(files: DataFrame, partitions: int | None = None) -> DataFrame:
     """The manifest in order, written with ``block``, the number of the range each file lies in."""
-    n = partitions or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return scratch.materialise(files.repartitionByRange(n, "origin", "bin", "location").sortWithinPartitions("origin", "bin", "location").withColumn("block", F.spark_partition_id()), "manifest")
+    return ordered.frozen(files, ["origin", "bin", "location"], "manifest", partitions)
 
 
 def plan(files: DataFrame, small: int = SMALL, target: int = TARGET, partitions: int | None = None) -> DataFrame:
@@ -105,21 +108,42 @@ def groups(planned: DataFrame) -> DataFrame:
     return planned.groupBy("origin", "bin", "group_no").agg(F.count("*").alias("n_files"), F.sum("n_bytes").alias("n_bytes"), F.sum("n_rows").alias("n_rows"))
 
 
+def targets(planned: DataFrame) -> DataFrame:
+    """The plan with ``target_file``: a name made of the group and of the files in it, so that two
+    plans never give the same name to different contents."""
+    group = ["origin", "bin", "group_no"]
+    marks = planned.groupBy(*group).agg(F.hex(F.expr("bit_xor(xxhash64(location, n_bytes))")).alias("mark"))
+    name = F.concat_ws("-", F.lit("g"), F.sha2(F.concat_ws("\x1f", "origin", "bin"), 256).substr(1, 12), F.col("group_no").cast("string"), F.lower("mark"))
+    return planned.join(marks, group).withColumn("target_file", name)
+
+
 def rewrite(spark: SparkSession, planned: DataFrame, root: str, out: str, files_a_batch: int = FILES_A_BATCH) -> DataFrame:
     """Rewrites the Parquet files under ``root`` that ``planned`` names, one file a group, and
-    returns the groups with rows in and out; raises ValueError, and removes ``out``, if counts differ.
+    returns (target_file, rows_in, rows_out); raises ValueError if counts differ.
 
     Groups are taken in batches of about ``files_a_batch`` files, so that the driver never holds
-    more names; a batch is one scan, in which each row finds its group by the file it came from.
+    more names (a group of more, which only empty files can be, is written in parts); a batch is one
+    scan, in which each row finds its group by the file it came from. A batch is written and
+    reconciled in a staging folder below ``out`` that readers don't see, and its groups are then
+    renamed into place. Running the same plan again, after a run that died or one that didn't, finds
+    groups in their place and leaves them: nothing is lost or doubled. A batch whose counts differ is
+    removed with its staging folder alone.
     """
-    target = F.concat_ws("-", F.lit("g"), F.sha2(F.concat_ws("\x1f", "origin", "bin"), 256).substr(1, 12), F.col("group_no").cast("string"))
-    ordered = planned.select("location", target.alias("target_file")).orderBy("target_file", "location")
-    reports, batch = [], []
-    for row in ordered.toLocalIterator(prefetchPartitions=True):
-        if len(batch) >= files_a_batch and row["target_file"] != batch[-1][1]:
+    listed = targets(planned).select("location", "target_file").orderBy("target_file", "location")
+    reports: list[DataFrame] = []
+    batch: list[tuple[str, str]] = []
+    last, part, n = "", 0, 0
+    for row in listed.toLocalIterator(prefetchPartitions=True):
+        if row["target_file"] != last:
+            if len(batch) >= files_a_batch:
+                reports.append(_rewrite_batch(spark, batch, root, out))
+                batch = []
+            last, part, n = row["target_file"], 0, 0
+        elif n >= files_a_batch:
             reports.append(_rewrite_batch(spark, batch, root, out))
-            batch = []
-        batch.append((row["location"], row["target_file"]))
+            batch, part, n = [], part + 1, 0
+        batch.append((row["location"], f"{last}-p{part}" if part else last))
+        n += 1
     if batch:
         reports.append(_rewrite_batch(spark, batch, root, out))
     if not reports:
@@ -131,22 +155,29 @@ def rewrite(spark: SparkSession, planned: DataFrame, root: str, out: str, files_
 
 
 def _rewrite_batch(spark: SparkSession, batch: list[tuple[str, str]], root: str, out: str) -> DataFrame:
+    store = Store(spark, out)
+    staging = "_staging/" + hashlib.sha256(json.dumps(batch).encode()).hexdigest()[:24]
+    store.delete(staging)  # what a run that died left of the same batch
     data = spark.read.option("mergeSchema", "true").parquet(*[f"{root}/{location}" for location, _ in batch])
     place = spark.createDataFrame(batch, "__location string, target_file string")
     tagged = data.withColumn("__location", F.substring(F.col("_metadata.file_path"), F.lit(len(_qualified(spark, root)) + 2), F.lit(1 << 30)))
-    rows = tagged.join(place, "__location").drop("__location")
-    targets = sorted({t for _, t in batch})
-    counted_in = rows.groupBy("target_file").agg(F.count("*").alias("rows_in"))
-    rows.repartition(len(targets), "target_file").write.mode("append").partitionBy("target_file").parquet(out)
-    there = [p for t in targets if scratch.exists(spark, p := f"{out}/target_file={t}")]
-    if there:
-        counted_out = spark.read.parquet(*there).groupBy(F.regexp_extract(F.col("_metadata.file_path"), "target_file=([^/]+)/", 1).alias("target_file")).agg(F.count("*").alias("rows_out"))
+    rows = tagged.join(place, "__location", "left").drop("__location")
+    names = sorted({t for _, t in batch})
+    counted_in = rows.groupBy("target_file").agg(F.count("*").alias("rows_in"))  # from the footers: no column is read
+    rows.repartition(len(names), "target_file").write.partitionBy("target_file").option("compression", "zstd").parquet(f"{out}/{staging}")
+    written = set(store.folders(staging))
+    if written:
+        counted_out = spark.read.parquet(*[f"{out}/{staging}/{t}" for t in sorted(written)]).groupBy(F.regexp_extract(F.col("_metadata.file_path"), "target_file=([^/]+)/", 1).alias("target_file")).agg(F.count("*").alias("rows_out"))
     else:  # nothing but empty files
         counted_out = spark.createDataFrame([], "target_file string, rows_out long")
     report = scratch.materialise(counted_in.join(counted_out, "target_file", "full"), "reconciled")
-    if report.where("not (rows_in <=> rows_out)").limit(1).count() or data.count() != report.agg(F.coalesce(F.sum("rows_out"), F.lit(0))).first()[0]:
-        scratch.drop_path(spark, out)
-        raise ValueError("rows in and out differ; the output was removed")
+    if report.where("target_file is null or not (rows_in <=> rows_out)").limit(1).count():
+        store.delete(staging)
+        raise ValueError("rows in and out differ; nothing of the batch was kept")
+    for t in sorted(written):
+        if not store.exists(t) and not store.rename(f"{staging}/{t}", t):
+            raise OSError(f"{t} could not be put in its place")
+    store.delete(staging)
     return report
 
 

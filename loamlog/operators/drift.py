@@ -2,10 +2,12 @@
 
 Ingestion enforces a target schema. A field the target lacks, or whose value can't be cast to the
 target's type, is kept as JSON in a rescue column; approved fields are promoted to columns and the
-values already rescued are replayed into them. For the report of changes the target of a file is
-the schema of the file before it in its series: what is rescued as unknown was added, what is
-rescued as uncastable changed its type, what the target has and the file lacks was removed, and a
-removed and an added field of equal value in one object are one renamed field.
+values already rescued are replayed into them.
+
+The report of changes is made of the rescue column of an ingestion whose target, for each file, is
+the schema of the file before it in its series. What was rescued as unknown is a new field, unless
+replaying it fills a column that went missing with the very value that one had: then that field was
+renamed. What was rescued as uncastable changed its type, and columns that stay missing were removed.
 """
 
 from __future__ import annotations
@@ -19,10 +21,6 @@ from pyspark.sql import functions as F
 
 from loamlog.plans import ordered, scratch
 
-FILES_A_BLOCK = 1024
-FIELD_SCHEMA = "path string, parent string, kind string, value string"
-
-
 def _kind(v) -> str:
     if v is None:
         return "null"
@@ -80,43 +78,153 @@ def _fields(text: str, escape: bool = False) -> list[tuple[str, str, str, str]]
     return out
 
 
-def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _strings(values: list) -> pa.Array:
+    try:
+        return pa.array(values, pa.string())
+    except UnicodeEncodeError:  # half of a surrogate pair
+        return pa.array([v if v is None else v.encode("utf-8", "replace").decode() for v in values], pa.string())
+
+
+def _join(parent: str, key: str) -> str:
+    return f"{parent}/{_escape(key)}" if parent else _escape(key)
+
+
+def _plain(path: str) -> str:
+    """A path as it is reported: keys as they are."""
+    return "/".join(_unescape(p) for p in path.split("/"))
+
+
+def _nulls(parent: str, members: dict) -> Iterator[str]:
+    """Paths of the nulls in an object, at any depth."""
+    todo = [(parent, members)]
+    while todo:
+        parent, members = todo.pop()
+        for key, value in members.items():
+            if value is None:
+                yield _join(parent, key)
+            elif isinstance(value, dict):
+                todo.append((_join(parent, key), value))
+
+
+def _enforce(before: dict | None, now: dict) -> tuple[dict, dict, list[tuple[str, str | None]], list[tuple[str, str]]]:
+    """Reads a file by the schema of the one before it. Returns what is rescued, by path, with the
+    reason and the value; the columns that are missing, with the value they had; the fields that
+    became null, with the type they had; and those that are null no more, with the type they have.
+
+    Only fields inside objects that both files have are looked at.
+    """
+    rescued: dict[str, list] = {}
+    missing: dict[str, object] = {}
+    if before is None:
+        return rescued, missing, [(p, None) for p in _nulls("", now)], []
+    left, came, todo = [], [], [("", before, now)]
+    while todo:
+        parent, target, members = todo.pop()
+        for key, value in members.items():
+            path = _join(parent, key)
+            if key not in target:
+                rescued[path] = ["unknown", value]
+                left += [(p, None) for p in _nulls(parent, {key: value})]
+                continue
+            had = target[key]
+            kind, old = _kind(value), _kind(had)
+            if isinstance(value, dict):
+                if isinstance(had, dict):
+                    todo.append((path, had, value))
+                else:
+                    left += [(p, None) for p in _nulls(path, value)]
+            if kind == old:
+                continue
+            if value is None:
+                left.append((path, old))
+            elif had is None:
+                came.append((path, kind))
+            else:
+                rescued[path] = ["uncastable", value]
+        for key, had in target.items():
+            if key not in members:
+                missing[_join(parent, key)] = had
+    return rescued, missing, left, came
+
+
+ENFORCED = "what string, path string, kind string, rescued string, missing string"
+
+
+def _enforce_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (..., before, body) one row 'file' with what was rescued and what is missing, and rows
+    'left' and 'came' of fields that became null or are null no more."""
+    dump = lambda x: json.dumps(x, sort_keys=True) if x else None
+    names = [c.split()[0] for c in ENFORCED.split(", ")]
+    for batch in batches:
+        k = batch.num_columns - 2
+        take, rows = [], []
+        for i, (before, body) in enumerate(zip(batch.column(k).to_pylist(), batch.column(k + 1).to_pylist())):
+            try:
+                rescued, missing, left, came = _enforce(None if before is None else json.loads(before), json.loads(body))
+            except (ValueError, RecursionError, AttributeError):  # too deep: such a file has no fields to compare
+                continue
+            found = [("file", None, None, dump(rescued), dump(missing))] if rescued or missing else []
+            found += [("left", p, t, None, None) for p, t in left] + [("came", p, t, None, None) for p, t in came]
+            rows += found
+            take += [i] * len(found)
+        if take:
+            at = pa.array(take)
+            yield pa.RecordBatch.from_arrays([*[batch.column(j).take(at) for j in range(k)], *[_strings(list(c)) for c in zip(*rows)]], names=[*batch.schema.names[:k], *names])
+
+
+def _replay(rescued: dict, missing: dict) -> list[tuple[str, str, str]]:
+    """(old_path, new_path, change): rescued values are replayed into missing columns of the same
+    object that had an equal value, the first by path into the first; what is left is new or gone."""
+    open_: dict[tuple[str, str], list[str]] = {}
+    for path, value in sorted(missing.items(), key=lambda x: _plain(x[0])):
+        open_.setdefault((path.rpartition("/")[0], _write(value)), []).append(path)
+    out = []
+    for path, (reason, value) in sorted(rescued.items(), key=lambda x: _plain(x[0])):
+        if reason == "uncastable":
+            out.append((_plain(path), _plain(path), "type_changed"))
+            continue
+        column = open_.get((path.rpartition("/")[0], _write(value)))
+        if column:
+            out.append((_plain(column.pop(0)), _plain(path), "renamed"))
+        else:
+            out.append(("", _plain(path), "added"))
+    return out + [(_plain(p), "", "removed") for paths in open_.values() for p in paths]
+
+
+def _replay_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        bodies = batch.column(batch.num_columns - 1).to_pylist()
         take, rows = [], []
-        for i, body in enumerate(bodies):
-            fields = _fields(body) if body is not None else None
-            if fields is not None:
-                # a row of its own keeps an object without members in its series
-                rows.append(("", None, "object", ""))
-                take.append(i)
-                rows += fields
-                take += [i] * len(fields)
+        for i, (rescued, missing) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+            found = _replay(json.loads(rescued or "{}"), json.loads(missing or "{}"))
+            rows += found
+            take += [i] * len(found)
         if take:
-            kept = [batch.column(j).take(pa.array(take)) for j in range(batch.num_columns - 1)]
-            columns = [pa.array(c, pa.string()) for c in zip(*rows)]
-            yield pa.RecordBatch.from_arrays(kept + columns, names=[*batch.schema.names[:-1], "path", "parent", "kind", "value"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take)), *[_strings(list(c)) for c in zip(*rows)]], names=["file_id", "old_path", "new_path", "change"])
 
 
-def numbered(files: DataFrame) -> DataFrame:
-    """(file_id, series, n, body): the files of each series in the order of written_at, from 0.
+def consecutive(files: DataFrame) -> DataFrame:
+    """(file_id, series, at, block, before, body): each file with the body of the one before it in
+    its series by written_at, null for the first.
 
-    A file that is no JSON object isn't counted: the one after it follows the last readable one.
-    Files that differ in nothing but their time keep their places; ties go by file_id; a repeated
-    row counts once; a null series is a series of its own; a null time comes first.
+    A file that is no JSON object isn't counted: the one after it follows the last readable one. Ties
+    go by file_id; a repeated row counts once; a null series is a series of its own; a null time
+    comes first. Series are cut into blocks of about equal size, so a hot one isn't one task's,
+    however close its files lie in time.
     """
-    readable = F.try_parse_json("body")
-    rows = files.select("file_id", "series", "written_at", "body").dropDuplicates(["file_id"]).where(F.schema_of_variant(readable).startswith("OBJECT"))
-    rows = rows.withColumn("day", F.coalesce(F.unix_date(F.to_date("written_at")), F.lit(-(1 << 30)))).withColumn("at", F.coalesce(F.unix_micros(F.col("written_at").cast("timestamp")), F.lit(-(1 << 62))))
-    ranks = ordered.running_sum(rows.select("file_id", "series", "day", "at"), ["series"], ["at", "file_id"], "day", F.lit(1), "n")
-    return rows.select("file_id", "body").join(ranks.select("file_id", "series", "n"), "file_id").select("file_id", "series", "n", "body")
+    at = F.coalesce(F.unix_micros(F.col("written_at").cast("timestamp")), F.lit(-(1 << 62)))
+    rows = files.select("file_id", "series", at.alias("at"), "body").where(F.schema_of_variant(F.try_parse_json("body")).startswith("OBJECT"))
+    rows = ordered.frozen(rows, ["series", "at", "file_id"], "files")
+    twin = F.lag("file_id").over(Window.partitionBy("series", "block").orderBy("at", "file_id"))
+    once = rows.withColumn("__twin", twin).where(~F.col("file_id").eqNullSafe(F.col("__twin")) | F.col("file_id").isNull()).drop("__twin")
+    return ordered.last_before(once, ["series"], ["at", "file_id"], "block", "body", "before", include_self=False).select("file_id", "series", "at", "block", "before", "body")
 
 
-def fields_of(files: DataFrame) -> DataFrame:
-    """One row for each field of each file; the root is path ''."""
-    rows = numbered(files).select("file_id", "series", "n", "body")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(_explode, f"{schema}, {FIELD_SCHEMA}")
+def enforced(files: DataFrame) -> DataFrame:
+    """Each file read by the schema of the one before it: (file_id, series, at, block, what, path,
+    kind, rescued, missing), see :func:`_enforce_all`. Only what doesn't fit is in it."""
+    pairs = consecutive(files)
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema.fields[:4])
+    return scratch.materialise(pairs.mapInArrow(_enforce_all, f"{kept}, {ENFORCED}"), "enforced")
 
 
 def changes(files: DataFrame) -> DataFrame:
@@ -126,52 +234,15 @@ def changes(files: DataFrame) -> DataFrame:
     type, and its first value changes none. Of several equal candidates for a rename the first by
     path are paired. Fields inside an object that itself changed are not listed.
     """
-    fields = scratch.materialise(fields_of(files), "fields")
-    here = fields.withColumn("before", F.col("n") - 1)
-    key = ["series", "path"]
-
-    # the type a null keeps: of the same field, as long as it was there in each file in between
-    with_null = fields.where("kind = 'null'").select(*key).distinct()
-    some = fields.join(with_null.select(F.col("series").alias("s"), F.col("path").alias("p")), F.col("series").eqNullSafe(F.col("s")) & (F.col("path") == F.col("p")), "left_semi")
-    some = some.select("series", "path", "n", F.when(F.col("kind") != "null", F.struct("n", "kind")).alias("typed")).withColumn("block", F.floor(F.col("n") / FILES_A_BLOCK))
-    gap = some.join(some.select(F.col("series").alias("s"), F.col("path").alias("p"), (F.col("n") + 1).alias("m")), F.col("series").eqNullSafe(F.col("s")) & (F.col("path") == F.col("p")) & (F.col("n") == F.col("m")), "left_anti").select("series", "path", "n", F.col("n").alias("came"))
-    some = some.join(gap.select(F.col("series").alias("s"), F.col("path").alias("p"), F.col("n").alias("m"), "came"), F.col("series").eqNullSafe(F.col("s")) & (F.col("path") == F.col("p")) & (F.col("n") == F.col("m")), "left").drop("s", "p", "m")
-    some = scratch.materialise(some, "nullable")
-    carried = ordered.last_before(ordered.last_before(some, key, ["n"], "block", "typed", "last_typed"), key, ["n"], "block", "came", "since")
-    carried = carried.where("typed is null and last_typed is not null and last_typed.n >= since").select("series", "path", "n", F.col("last_typed.kind").alias("kept"))
-    typed = here.join(carried.select(F.col("series").alias("s"), F.col("path").alias("p"), F.col("n").alias("m"), "kept"), F.col("series").eqNullSafe(F.col("s")) & (F.col("path") == F.col("p")) & (F.col("n") == F.col("m")), "left").drop("s", "p", "m")
-
-    # the target of file n is what n - 1 had
-    target = typed.select((F.col("n") + 1).alias("n"), F.col("series").alias("t_series"), "path", "parent", "value", F.coalesce("kept", "kind").alias("t_kind"), F.col("kind").alias("t_written"))
-    t = target.select(F.col("n").alias("t_n"), "t_series", F.col("path").alias("t_path"), F.col("parent").alias("t_parent"), F.col("value").alias("t_value"), "t_kind", "t_written")
-    f = fields.withColumnRenamed("series", "f_series")
-    met = f.join(t, F.col("f_series").eqNullSafe(F.col("t_series")) & (F.col("n") == F.col("t_n")) & (F.col("path") == F.col("t_path")), "full")
-    met = scratch.materialise(met.select(
-        F.when(F.col("path").isNull(), F.col("t_series")).otherwise(F.col("f_series")).alias("series"), F.coalesce("n", "t_n").alias("n"), F.coalesce("path", "t_path").alias("path"),
-        F.coalesce("parent", "t_parent").alias("parent"), "kind", "t_kind", "t_written", F.coalesce("value", "t_value").alias("value"),
-        F.col("path").isNotNull().alias("is_here"), F.col("t_path").isNotNull().alias("was"),
-    ), "enforced")
-    met = met.where("n > 0")
-    rescued = F.when(~F.col("was"), "unknown").when(~F.col("is_here"), "missing").when((F.col("kind") != "null") & (F.col("t_kind") != "null") & (F.col("kind") != F.col("t_kind")), "uncastable")
-    found = met.withColumn("rescued", rescued).where("rescued is not null and path <> ''")
-    # only within objects that both files have, as objects
-    stable = met.where("is_here and was and kind = 'object' and t_written = 'object'").select(F.col("series").alias("s"), F.col("n").alias("m"), F.col("path").alias("p"))
-    found = found.join(stable, F.col("series").eqNullSafe(F.col("s")) & (F.col("n") == F.col("m")) & (F.col("parent") == F.col("p")), "left_semi")
-    found = scratch.materialise(found.select("series", "n", "parent", "path", "value", "rescued"), "rescued")
-
-    pair = Window.partitionBy("series", "n", "parent", "value", "rescued").orderBy("path")
-    sides = found.where("rescued <> 'uncastable'").withColumn("k", F.row_number().over(pair))
-    gone = sides.where("rescued = 'missing'").select(F.col("series").alias("g_series"), F.col("n").alias("g_n"), F.col("parent").alias("g_parent"), F.col("value").alias("g_value"), F.col("k").alias("g_k"), F.col("path").alias("old_path"))
-    came = sides.where("rescued = 'unknown'").withColumnRenamed("path", "new_path")
-    both = came.join(gone, F.col("series").eqNullSafe(F.col("g_series")) & (F.col("n") == F.col("g_n")) & (F.col("parent") == F.col("g_parent")) & (F.col("value") == F.col("g_value")) & (F.col("k") == F.col("g_k")), "full")
-    moved = both.select(F.when(F.col("new_path").isNull(), F.col("g_series")).otherwise(F.col("series")).alias("series"), F.coalesce("n", "g_n").alias("n"), F.coalesce("old_path", F.lit("")).alias("old_path"), F.coalesce("new_path", F.lit("")).alias("new_path"), F.when(F.col("old_path").isNull(), "added").when(F.col("new_path").isNull(), "removed").otherwise("renamed").alias("change"))
-    turned = found.where("rescued = 'uncastable'").select("series", "n", F.col("path").alias("old_path"), F.col("path").alias("new_path"), F.lit("type_changed").alias("change"))
-    ids = fields.where("path = ''").select(F.col("series").alias("s"), F.col("n").alias("m"), "file_id")
-    return moved.unionByName(turned).join(ids, F.col("series").eqNullSafe(F.col("s")) & (F.col("n") == F.col("m"))).select("file_id", "old_path", "new_path", "change")
-
-
-def _path(path: str) -> str:
-    return "$" + "".join("['" + part.replace("'", "\\'") + "']" for part in path.split("/"))
+    rows = enforced(files)
+    drifted = rows.where("what = 'file'").select("file_id", "rescued", "missing")
+    kind = drifted.schema["file_id"].dataType.simpleString()
+    found = drifted.mapInArrow(_replay_all, f"file_id {kind}, old_path string, new_path string, change string")
+    # a field that is null no more meets the type it had when it became null
+    nulls = rows.where("what <> 'file'").select("file_id", "series", "at", "block", "path", "kind", F.when(F.col("what") == "left", F.struct("kind")).alias("had"))
+    typed = ordered.last_before(nulls, ["series", "path"], ["at", "file_id"], "block", "had", "then").where("had is null and then.kind <> kind")
+    spelled = F.array_join(F.transform(F.split("path", "/"), lambda p: F.when(p == "~2", "").otherwise(F.replace(F.replace(p, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~")))), "/")
+    return found.unionByName(typed.select("file_id", spelled.alias("old_path"), spelled.alias("new_path"), F.lit("type_changed").alias("change")))
 
 
 def ingest(files: DataFrame, target: dict[str, str], body: str = "body") -> DataFrame:

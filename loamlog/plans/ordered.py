@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamlog.plans import scratch
+
 
 def _join_carry(rows: DataFrame, carry: DataFrame, on: list[str]) -> DataFrame:
     """Left join on keys that may be null."""
@@ -20,6 +22,13 @@ def _join_carry(rows: DataFrame, carry: DataFrame, on: list[str]) -> DataFrame:
     return rows.join(carry, condition, "left").drop(*[f"__{k}" for k in on])
 
 
+def frozen(df: DataFrame, order: list[str], tag: str = "ordered", partitions: int | None = None) -> DataFrame:
+    """The rows range-sorted and written with ``block``, the number of the range each lies in. Blocks
+    are of about equal size whatever the values; rows that are equal in ``order`` share one."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return scratch.materialise(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("block", F.spark_partition_id()), tag)
+
+
 def last_before(df: DataFrame, keys: list[str], order: list[str], block: str, value: str, name: str, include_self: bool = True) -> DataFrame:
     """Adds the last ``value`` that is not null at or before each row (``include_self=False``: before it)."""
     on = [*keys, block]

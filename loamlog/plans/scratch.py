@@ -11,7 +11,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _made: list[tuple[SparkSession, str]] = []
 _own_root: list[str] = []
@@ -67,11 +68,23 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, tag: str, **tests: Column) -> tuple[DataFrame, dict[str, int]]:
+    """The same, with the number of rows for which each of the tests holds, counted on the way."""
+    seen = Observation()
+    out = materialise(df.observe(seen, *[F.count_if(t).alias(name) for name, t in tests.items()]), tag)
+    return out, seen.get
+
+
+def forget(old: DataFrame) -> None:
+    """Deletes a table made by :func:`materialise` that nothing reads any more."""
+    for path in {p.rsplit("/", 1)[0] for p in old.inputFiles()}:
+        if "/loamlog-" in path:
+            drop_path(old.sparkSession, path)
+
+
 def replaced(old: DataFrame, new: DataFrame, tag: str) -> DataFrame:
     """Writes ``new`` and deletes ``old``, a table made by :func:`materialise` that nothing else
     reads: what a loop leaves behind doesn't pile up."""
     out = materialise(new, tag)
-    for path in {p.rsplit("/", 1)[0] for p in old.inputFiles()}:
-        if "/loamlog-" in path:
-            drop_path(old.sparkSession, path)
+    forget(old)
     return out

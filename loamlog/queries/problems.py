@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamlog.operators import compaction, dedup, drift, incremental, loglines, nested, templates
+from loamlog.plans import scratch
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -26,6 +27,14 @@ def p1_copies(spark, sf):
     return rows.groupBy("consumer_id").agg(F.count("*").alias("n_deliveries"), F.count_if(~F.col("dropped")).alias("n_segments"))
 
 
+def p1_upserted(spark, sf):
+    """The same after three batches, the second of them delivered twice, each compacted into storage."""
+    rows = table(spark, sf, "segment_deliveries")
+    part = [rows.where(F.pmod(F.coalesce("batch_no", F.lit(0)), F.lit(3)) == i) for i in range(3)]
+    kept = dedup.survivors(spark, [("0", part[0]), ("1", part[1]), ("1", part[1]), ("2", part[2])], carry=("row_count",))
+    return kept.select("delivery_id", "consumer_id", "segment", "row_count")
+
+
 def p2_found(spark, sf):
     return nested.flatten_exports(table(spark, sf, "otlp_exports"), spans=False)
 
@@ -46,16 +55,32 @@ def p2_attributes(spark, sf):
     return nested.attributes(nested.flatten_exports(table(spark, sf, "otlp_exports")))
 
 
-def _pending(spark, sf):
-    return incremental.pending(table(spark, sf, "snapshots"), table(spark, sf, "lake_rows"), table(spark, sf, "subscription_runs"))
+def _changes(spark, sf):
+    return [table(spark, sf, t) for t in ("snapshots", "lake_rows", "subscription_runs")]
 
 
 def p3_found(spark, sf):
-    return _pending(spark, sf).select("subscription_id", "record_id")
+    """What each subscription has to process, as one committed batch."""
+    manifest = incremental.RecordManifest(spark, scratch.new_path(spark, "manifest"))
+    manifest.run_batch(*_changes(spark, sf))
+    return manifest.processed().select("subscription_id", "record_id")
 
 
 def p3_backlog(spark, sf):
-    return _pending(spark, sf).groupBy("subscription_id", "table_name").agg(F.count("*").alias("n_records"))
+    return incremental.pending(*_changes(spark, sf)).groupBy("subscription_id", "table_name").agg(F.count("*").alias("n_records"))
+
+
+def p3_recovered(spark, sf):
+    """The same through a run that dies before its commit, the next one, and one that finds nothing
+    left: how often each record was handed to each subscription."""
+    manifest, tables = incremental.RecordManifest(spark, scratch.new_path(spark, "manifest")), _changes(spark, sf)
+    try:
+        manifest.run_batch(*tables, stop_after="output")
+    except RuntimeError:
+        pass
+    manifest.run_batch(*tables)
+    manifest.run_batch(*tables)
+    return manifest.processed().groupBy("subscription_id", "record_id").agg(F.count("*").alias("n_times"))
 
 
 def p4_method(spark, sf):
@@ -87,6 +112,22 @@ def p5_groups(spark, sf):
     return compaction.groups(compaction.plan(_files(spark, sf)))
 
 
+def p5_rewritten(spark, sf):
+    """The rows of lake_rows, written as small files and rewritten twice by one plan, as after a run
+    that died: rows of each table in the small files and in what they became."""
+    root, out = scratch.new_path(spark, "small"), scratch.new_path(spark, "whole")
+    table(spark, sf, "lake_rows").repartition(24, "snapshot_id").write.partitionBy("table_name").parquet(root)
+    scan = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(root)
+    location = F.regexp_extract("path", "(table_name=.*)$", 1)
+    files = scan.select(F.lit("lake").alias("origin"), F.regexp_extract(location, "^(.*/)", 1).alias("bin"), location.alias("location"), F.col("length").alias("n_bytes"), F.lit(None).cast("long").alias("n_rows"))
+    planned = scratch.materialise(compaction.plan(files, target=1 << 20), "plan")
+    for _ in range(2):
+        report = compaction.rewrite(spark, planned, root, out)
+    named = compaction.targets(planned).select("target_file", F.regexp_extract("bin", "table_name=([^/]*)/", 1).alias("table_name")).distinct()
+    whole = spark.read.parquet(out).groupBy("target_file").agg(F.count("*").alias("n"))
+    return report.join(named, "target_file").join(whole, "target_file").groupBy("table_name").agg(F.sum("rows_in").alias("rows_in"), F.sum("n").alias("rows_out"))
+
+
 def p5_sizes(spark, sf):
     return compaction.covered_bytes(table(spark, sf, "file_tasks")).select("table_name", "object_key", F.col("n_bytes").cast("long").alias("n_bytes"))
 
@@ -109,7 +150,7 @@ def p6_report(spark, sf):
     return drift.changes(table(spark, sf, "evidence_files")).groupBy("change", "old_path", "new_path").agg(F.count("*").alias("n_files"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p1_copies, p2_found, p2_resources, p2_scopes, p2_records, p2_attributes, p3_found, p3_backlog, p4_method, p4_found, p4_entries, p4_templates, p5_found, p5_groups, p5_sizes, p6_found, p6_table, p6_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p1_copies, p1_upserted, p2_found, p2_resources, p2_scopes, p2_records, p2_attributes, p3_found, p3_backlog, p3_recovered, p4_method, p4_found, p4_entries, p4_templates, p5_found, p5_groups, p5_rewritten, p5_sizes, p6_found, p6_table, p6_report)}
 
 _P1 = """with d as (select *, coalesce(name, regexp_extract(path, '[^/]*$')) as segment from segment_deliveries),
   r as (select *, row_number() over (partition by consumer_id, segment order by delivered_at nulls last, delivery_id) as n from d)"""
@@ -248,8 +289,10 @@ ORACLES = {
     "p6_report": _P6 + " select change, old_path, new_path, count(*) as n_files from changes group by all",
     "p1_found": _P1 + " select delivery_id from r where n > 1 and segment is not null",
     "p1_kept": _P1 + " select delivery_id, consumer_id, segment, row_count from r where n = 1 or segment is null",
+    "p1_upserted": _P1 + " select delivery_id, consumer_id, segment, row_count from r where n = 1 or segment is null",
     "p1_copies": _P1 + " select consumer_id, count(*) as n_deliveries, count(*) filter (where n = 1 or segment is null) as n_segments from r group by 1",
     "p3_found": _P3 + " select subscription_id, record_id from found",
+    "p3_recovered": _P3 + " select subscription_id, record_id, 1 as n_times from found",
     "p3_backlog": _P3 + " select subscription_id, table_name, count(*) as n_records from found group by all",
     "p5_found": _SMALL + " select origin, location from small",
     "p5_groups": _SMALL
@@ -258,5 +301,6 @@ ORACLES = {
         union all select location, max(row_count) from w group by location)
       select origin, bin, cast(floor(coalesce(before, 0) / 134217728) as bigint) as group_no, count(*) as n_files, cast(sum(n_bytes) as bigint) as n_bytes, cast(sum(coalesce(n_rows, 0)) as bigint) as n_rows
       from c left join n using (location) group by 1, 2, 3""",
+    "p5_rewritten": "select table_name, count(*) as rows_in, count(*) as rows_out from lake_rows where table_name is not null group by all",
     "p5_sizes": _COVER + " select * from sizes",
 }

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loamlog.functions import text
+from loamlog.plans.store import Store
 
 CHECKPOINT_EVERY = 50
 MERGE_AT_MOST = 64
@@ -60,58 +62,6 @@ class Cursor:
     version: int | None = None
 
 
-class Store:
-    """Files of the table's folder, through Hadoop, so on any file system Spark reads."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._io = jvm.org.apache.commons.io.IOUtils
-
-    def path(self, name: str):
-        return self._path(f"{self.root}/{name}")
-
-    def exists(self, name: str) -> bool:
-        return self._fs.exists(self.path(name))
-
-    def names(self, folder: str) -> list[tuple[str, int, int]]:
-        """(name, bytes, changed at) of the folder's files."""
-        if not self.exists(folder):
-            return []
-        return [(s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in self._fs.listStatus(self.path(folder)) if s.isFile()]
-
-    def read(self, name: str) -> str:
-        stream = self._fs.open(self.path(name))
-        try:
-            return self._io.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-
-    def create(self, name: str, text: str) -> bool:
-        """Writes the file unless it exists; whether it did. The whole text or nothing appears:
-        it is written beside and renamed, and renaming doesn't replace."""
-        if self.exists(name):
-            return False
-        beside = f"_tmp/{uuid.uuid4().hex}"
-        stream = self._fs.create(self.path(beside), False)
-        try:
-            stream.write(bytearray(text.encode()))
-        finally:
-            stream.close()
-        # a marker created exclusively decides between writers on file systems whose rename replaces
-        try:
-            self._fs.create(self.path(f"{name}.claim"), False).close()
-        except Exception:
-            self._fs.delete(self.path(beside), False)
-            return False
-        return self._fs.rename(self.path(beside), self.path(name))
-
-    def delete(self, name: str) -> None:
-        self._fs.delete(self.path(name), True)
-
-
 class Lake:
     """``time``: the event-time column. Partition folders are days of it."""
 
@@ -124,13 +74,30 @@ class Lake:
         return f"_log/{version:012d}.json"
 
     def versions(self) -> list[int]:
-        return sorted(int(n[:12]) for n, _, _ in self.store.names("_log") if n.endswith(".json"))
+        return sorted(int(n[:12]) for n, _, _ in self.store.names("_log") if re.fullmatch(r"\d{12}\.json", n))
 
     def entry(self, version: int) -> dict:
         if not self.store.exists(self._log(version)):
             raise HistoryGap(f"version {version} is gone")
         return json.loads(self.store.read(self._log(version)))
 
+    def _checkpoint(self, version: int) -> str:
+        return f"_log/{version:012d}.checkpoint.json"
+
+    def _back(self, version: int) -> tuple[list[dict], dict]:
+        """The entries down from a version, newest first, to the nearest checkpoint, and that one:
+        ``all`` files and ``all_consumed`` names as of the version after which the entries follow."""
+        steps = []
+        while version > 0:
+            e = self.entry(version)
+            if "all_consumed" not in e and self.store.exists(self._checkpoint(version)):
+                e |= json.loads(self.store.read(self._checkpoint(version)))
+            if "all_consumed" in e:
+                return steps, e
+            steps.append(e)
+            version -= 1
+        return steps, {"all": [], "all_consumed": []}
+
     @property
     def version(self) -> int:
         found = self.versions()
@@ -138,15 +105,8 @@ class Lake:
 
     def files(self, version: int | None = None) -> list[dict]:
         """The files of the table as of a version."""
-        at = self.version if version is None else version
-        steps = []
-        while at > 0:
-            e = self.entry(at)
-            if "all" in e:
-                break
-            steps.append(e)
-            at -= 1
-        live = {f["path"]: f for f in (e["all"] if at > 0 else [])}
+        steps, whole = self._back(self.version if version is None else version)
+        live = {f["path"]: f for f in whole["all"]}
         for e in reversed(steps):
             for p in e["removed"]:
                 live.pop(p, None)
@@ -158,25 +118,38 @@ class Lake:
         return T.StructType.fromJson(self.entry(at)["schema"]) if at else None
 
     def commit(self, operation: str, added: list[dict], removed: list[str], schema: T.StructType, rewrite: bool = False, consumed: list[str] | None = None) -> int:
-        for _ in range(RETRIES):
+        for attempt in range(RETRIES):
             base = self.version
-            live = {f["path"] for f in self.files(base)}
+            now = self.files(base)
+            live = {f["path"] for f in now}
             if gone := [p for p in removed if p not in live]:
                 raise Conflict(f"{len(gone)} files are no longer there")
-            if consumed and (again := self.consumed(base) & set(consumed)):
+            done = self.consumed(base) if consumed or (base + 1) % CHECKPOINT_EVERY == 0 else set()
+            if again := done & set(consumed or []):
                 raise Conflict(f"segments were consumed already: {sorted(again)[:3]}")
             entry = {"version": base + 1, "parent": base, "operation": operation, "rewrite": rewrite, "added": added, "removed": removed, "consumed": consumed or [], "schema": schema.jsonValue()}
             if (base + 1) % CHECKPOINT_EVERY == 0:
                 dropped = set(removed)
-                entry["all"] = [f for f in self.files(base) if f["path"] not in dropped] + added
+                entry["all"] = [f for f in now if f["path"] not in dropped] + added
+                entry["all_consumed"] = sorted(done | set(consumed or []))
             if self.store.create(self._log(base + 1), json.dumps(entry)):
                 return base + 1
+            if self.version == base:  # a writer holds the claim: it commits, or its claim expires
+                time.sleep(min(1.0, self.store.claim_seconds / 10, 0.02 * 1.5**attempt))
         raise Conflict("other writers were always faster")
 
     def consumed(self, version: int | None = None) -> set[str]:
         """Names of the segments whose rows the table holds."""
-        at = self.version if version is None else version
-        return {s for v in self.versions() if v <= at for s in self.entry(v)["consumed"]}
+        steps, whole = self._back(self.version if version is None else version)
+        return {s for e in (*steps, {"consumed": whole["all_consumed"]}) for s in e["consumed"]}
+
+    def consumed_names(self, column: str = "segment") -> DataFrame:
+        """The same as a table, read from the log by Spark."""
+        if not self.version:
+            return self.spark.createDataFrame([], f"{column} string")
+        log = self.spark.read.schema("consumed array<string>, all_consumed array<string>").json(f"{self.store.root}/_log/*.json")
+        names = F.explode(F.concat(F.coalesce("consumed", F.array()), F.coalesce("all_consumed", F.array())))
+        return log.select(names.alias(column)).distinct()
 
     # Writing
 
@@ -242,21 +215,21 @@ class Lake:
 
     def newest(self, k: int) -> DataFrame:
         """The ``k`` newest rows: only files that can hold one of them are opened."""
-        schema, rows, paths, bound = self.schema(), 0, [], None
+        schema, rows, paths, bound, opened = self.schema(), 0, [], None, []
         for f in sorted(self.files(), key=lambda f: (f["high"] is None, -(f["high"] or 0))):
             if bound is not None and f["high"] is not None and f["high"] < bound:
                 break
             paths.append(f["path"])
+            opened.append(f)
             rows += f["rows"]
             if rows >= k and bound is None:
-                bound = min(g["low"] if g["low"] is not None else -(1 << 63) for g in self.files() if g["path"] in set(paths))
+                bound = min(-(1 << 63) if g["low"] is None else g["low"] for g in opened)
         exact = [F.desc(c) for c in ("timestamp_ns",) if c in schema.names]
         return self._open(paths, schema).orderBy(F.col(self.time).desc_nulls_last(), *exact).limit(k)
 
     def with_buffer(self, buffer: DataFrame, segment: str = "segment") -> DataFrame:
         """Committed rows and those of segments not consumed yet, each once."""
-        done = self.consumed()
-        fresh = buffer.where(~F.col(segment).isin(*done)) if done else buffer
+        fresh = buffer.join(self.consumed_names(segment), segment, "left_anti")
         return self.read().unionByName(fresh.drop(segment), allowMissingColumns=True)
 
     # Life cycle
@@ -317,20 +290,19 @@ class Lake:
         return self.commit("schema", [], [], self.merged_schema(T.StructType([*self.schema().fields, *fields])), rewrite=True)
 
     def expire(self, keep: int) -> list[int]:
-        """Forgets all but the last ``keep`` versions. The oldest one kept becomes a checkpoint."""
+        """Forgets all but the last ``keep`` versions. The oldest one kept gets a checkpoint beside it
+        before anything is deleted."""
         found = self.versions()
         old, first = found[:-keep], found[-keep:][0] if found else None
         if not old:
             return []
-        entry = self.entry(first)
-        if "all" not in entry:
-            entry["all"] = self.files(first)
-            entry["consumed"] = sorted(self.consumed(first))
-            self.store.delete(self._log(first))
-            self.store.delete(f"{self._log(first)}.claim")
-            self.store.create(self._log(first), json.dumps(entry))
-        for v in old:
-            self.store.delete(self._log(v))
+        if "all_consumed" not in self.entry(first) and not self.store.exists(self._checkpoint(first)):
+            whole = {"all": self.files(first), "all_consumed": sorted(self.consumed(first))}
+            if not self.store.create(self._checkpoint(first), json.dumps(whole)) and not self.store.exists(self._checkpoint(first)):
+                return []  # another run is at it
+        for v in old:  # the oldest first: what a run that dies leaves is a log with a shorter past
+            for name in (self._log(v), f"{self._log(v)}.claim", self._checkpoint(v), f"{self._checkpoint(v)}.claim"):
+                self.store.delete(name)
         return old
 
     def orphans(self, older_than_ms: int) -> list[str]:

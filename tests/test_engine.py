@@ -288,6 +288,40 @@ def test_deletes_keep_what_is_null(spark, tmp_path):
         lake.append(spark.createDataFrame([("a",)], "id string").withColumn("timestamp", F.timestamp_seconds(F.lit(0))))
 
 
+def test_a_dead_writers_claim_expires(spark, tmp_path):
+    lake, df = lake_of(spark, tmp_path)
+    lake.store.claim_seconds = 2
+    lake.store._write("_log/000000000001.json.claim", "a writer that died")
+    lake.append(df)
+    assert lake.version == 1 and lake.read().count() == df.count()
+    lake.append(df)
+    assert lake.version == 2
+
+
+def test_checkpoints_and_expiry_remember_consumed_segments(spark, tmp_path, monkeypatch):
+    from loamlog.sources import lake as module
+
+    monkeypatch.setattr(module, "CHECKPOINT_EVERY", 3)
+    lake, df = lake_of(spark, tmp_path)
+    for i in range(7):
+        lake.append(df.limit(1), consumed=[f"s{i}"])
+        if i in (3, 5):
+            lake.expire(2)
+    assert lake.consumed() == {f"s{i}" for i in range(7)} == {r[0] for r in lake.consumed_names().collect()}
+    for i in range(7):
+        with pytest.raises(Conflict):
+            lake.append(df.limit(1), consumed=[f"s{i}"])
+    delete = lake.store.delete
+    monkeypatch.setattr(lake.store, "delete", lambda _: (_ for _ in ()).throw(OSError("died")))
+    with pytest.raises(OSError):
+        lake.expire(1)
+    assert lake.read().count() == 7
+    monkeypatch.setattr(lake.store, "delete", delete)
+    assert lake.expire(1) and lake.read().count() == 7 and len(lake.consumed()) == 7 and lake.versions() == [7]
+    lake.append(df.limit(1), consumed=["s7"])
+    assert lake.read().count() == 8 and len(lake.consumed()) == 8
+
+
 # Streams
 
 

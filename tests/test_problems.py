@@ -49,6 +49,23 @@ def test_upserting_a_batch_again_changes_nothing(spark, tmp_path):
     assert sorted(tuple(r) for r in store.compact().select("k", "t").collect()) == [("a", 0), ("b", 1), ("c", 9)]
 
 
+def test_compacted_storage_is_merged_with_later_batches(spark, tmp_path, monkeypatch):
+    store = dedup.BucketStore(spark, f"file://{tmp_path}/store", ["k"], ["t"], buckets=4)
+    frame = lambda rows: spark.createDataFrame(rows, "k string, t int")
+    read = lambda df: sorted((tuple(r) for r in df.select("k", "t").collect()), key=str)
+    store.upsert(frame([("a", 2), ("a", 1), (None, 5)]), "one")
+    assert read(store.compact()) == [("a", 1), (None, 5)]
+    assert len(list((tmp_path / "store" / "compacted").rglob("bucket=*"))) == 2 and not list((tmp_path / "store" / "runs").iterdir())
+    store.upsert(frame([("a", 0), ("b", 3), ("b", 3)]), "two")
+    create = store.store.create
+    monkeypatch.setattr(store.store, "create", lambda *_: False)  # dies before the mark
+    with pytest.raises(RuntimeError):
+        store.compact()
+    monkeypatch.setattr(store.store, "create", create)
+    store.upsert(frame([("a", 2), ("a", 1), (None, 5)]), "one")  # delivered again
+    assert read(store.compact()) == [("a", 0), ("b", 3), (None, 5)] == read(store.compact())
+
+
 def walk(text):
     """Plain recursion over a request."""
     try:
@@ -192,6 +209,69 @@ def test_a_failed_batch_is_repeated_without_gaps(spark, tmp_path):
     assert sorted(r["value"] for r in spark.read.parquet(f"file://{sink}").collect()) == ["changed", "line 0", "line 1", "line 2", "line 3"]
 
 
+@pytest.mark.parametrize("step", incremental.Ledger.STEPS)
+def test_a_run_that_died_anywhere_repeats_nothing(spark, tmp_path, step):
+    folder, sink = tmp_path / "in", f"file://{tmp_path}/out"
+    folder.mkdir()
+    for i in range(3):
+        (folder / f"f{i}.txt").write_text(f"line {i}\n")
+    manifest = incremental.FileManifest(spark, f"file://{tmp_path}/manifest")
+    read = lambda todo: spark.read.text([r["path"] for r in todo.select("path").collect()])
+    values = lambda: sorted(r["value"] for r in manifest.output("value string", sink).collect())
+    with pytest.raises(RuntimeError):
+        manifest.run_batch(f"file://{folder}", read, sink, stop_after=step)
+    assert values() == [] and manifest.entries().count() == 0
+    (folder / "f3.txt").write_text("line 3\n")  # what is outstanding is another set now
+    assert manifest.run_batch(f"file://{folder}", read, sink) == "000000001"
+    assert values() == [f"line {i}" for i in range(4)] == sorted(r["value"] for r in spark.read.parquet(sink).collect())
+    with pytest.raises(RuntimeError):
+        (folder / "f4.txt").write_text("line 4\n")
+        manifest.run_batch(f"file://{folder}", read, sink, stop_after=step)
+    (folder / "f4.txt").unlink()
+    assert manifest.run_batch(f"file://{folder}", read, sink) is None
+    assert values() == [f"line {i}" for i in range(4)] == sorted(r["value"] for r in spark.read.parquet(sink).collect())
+
+
+def test_a_file_replaced_within_the_clock_is_found_by_checksum(spark, tmp_path):
+    import os
+
+    folder, sink = tmp_path / "in", f"file://{tmp_path}/out"
+    folder.mkdir()
+    (folder / "f").write_text("one")
+    read = lambda todo: todo.select("path")
+    manifest = incremental.FileManifest(spark, f"file://{tmp_path}/manifest", trust_times=False)
+    manifest.run_batch(f"file://{folder}", read, sink)
+    times = (folder / "f").stat()
+    (folder / "f").write_text("two")
+    os.utime(folder / "f", ns=(times.st_atime_ns, times.st_mtime_ns))
+    assert manifest.outstanding(f"file://{folder}").count() == 1
+    assert incremental.FileManifest(spark, f"file://{tmp_path}/manifest").outstanding(f"file://{folder}").count() == 0
+
+
+def test_records_are_handed_over_once_and_again_when_they_change(spark, tmp_path):
+    snapshots = [(1, None, "t", False), (2, 1, "t", True)]
+    rows = [(1, 10, "t", 1, at(0), '{"a":1}'), (2, 11, "t", 1, at(1), '{"a":1}'), (3, 10, "t", 2, at(2), '{"a":2}'), (4, 12, "t", 2, at(2), None)]
+    runs = [(1, 1, "t", 1, "succeeded", at(0), 1), (2, 2, "t", 1, "failed", at(0), 1)]
+    frames = lambda: [spark.createDataFrame(x, s) for x, s in ((snapshots, SNAPSHOTS), (rows, ROWS), (runs, RUNS))]
+    manifest = incremental.RecordManifest(spark, f"file://{tmp_path}/manifest")
+    handed = lambda: sorted((r["batch"][-1], r["subscription_id"], r["record_id"]) for r in manifest.processed().collect())
+    for step in incremental.Ledger.STEPS:
+        with pytest.raises(RuntimeError):
+            manifest.run_batch(*frames(), stop_after=step)
+        assert handed() == []
+    assert manifest.run_batch(*frames()) and manifest.run_batch(*frames()) is None
+    first = [("1", 1, 10), ("1", 1, 12), ("1", 2, 10), ("1", 2, 11), ("1", 2, 12)]
+    assert handed() == first
+    # back to what the first cursor saw: changed since the batch, though not since the cursor
+    snapshots[1] = (2, 1, "t", False)
+    snapshots.append((3, 2, "t", True))
+    rows.append((5, 10, "t", 3, at(3), '{"a": 1}'))
+    assert manifest.run_batch(*frames())
+    assert handed() == first + [("2", 1, 10), ("2", 2, 10)]
+    runs.append((3, 1, "t", 2, "succeeded", at(9), 3))  # the cursor moves: batches before it don't count
+    assert manifest.run_batch(*frames()) is None
+
+
 def test_log_entries_like_plain_python(spark, sf):
     rows = [tuple(r) for r in table(spark, sf, "log_events").select("event_id", "event_time", "host", "source", "line_no", "raw").collect()]
     got = sorted(tuple(r) for r in problems.p4_found(spark, sf).select("event_id", "ts_us", "level", "component", "n_rows").collect())
@@ -317,6 +397,53 @@ def test_a_rewrite_conserves_rows(spark, tmp_path):
     assert sorted(r["id"] for r in spark.read.parquet(f"file://{tmp_path}/out").collect()) == list(range(120))
 
 
+def test_a_rewrite_run_again_doubles_and_loses_nothing(spark, tmp_path, monkeypatch):
+    root, out = tmp_path / "lake", f"file://{tmp_path}/out"
+    spark.range(60).repartition(6).write.parquet(f"file://{root}/tab/data")
+    found = [str(p.relative_to(root)) for p in root.rglob("*.parquet")]
+    files = spark.createDataFrame([("lake", "tab/data/", p, 100, 10) for p in found], "origin string, bin string, location string, n_bytes long, n_rows long")
+    planned = compaction.plan(files, target=250)
+    ids = lambda: sorted(r["id"] for r in spark.read.parquet(out).collect())
+    rename, done = compaction.Store.rename, []
+
+    def dies(self, name, to):
+        if done:
+            raise OSError("the driver died")
+        done.append(to)
+        return rename(self, name, to)
+
+    monkeypatch.setattr(compaction.Store, "rename", dies)
+    with pytest.raises(OSError):
+        compaction.rewrite(spark, planned, str(root), out)
+    monkeypatch.setattr(compaction.Store, "rename", rename)
+    assert 0 < len(ids()) < 60
+    for _ in range(2):
+        assert {r["rows_in"] == r["rows_out"] for r in compaction.rewrite(spark, planned, str(root), out).collect()} == {True}
+        assert ids() == list(range(60))
+    # another plan's groups have names of their own
+    names = lambda p: {r["target_file"] for r in compaction.targets(p).select("target_file").distinct().collect()}
+    assert not names(planned) & names(compaction.plan(files.withColumn("n_bytes", F.lit(101)), target=250))
+
+
+def test_hot_series_of_one_second_is_split(spark):
+    rows = [(i, "hot", at(0), json.dumps({"a": i % 3, f"k{i % 2}": 1})) for i in range(500)] + [(900 + i, f"s{i}", at(i), '{"a":1}') for i in range(20)]
+    df = spark.createDataFrame(rows, "file_id long, series string, written_at timestamp, body string").repartition(7)
+    pairs = drift.consecutive(df)
+    assert pairs.where("series = 'hot'").select("block").distinct().count() > 3
+    assert sorted(tuple(r) for r in drift.changes(df).collect()) == brute.changes(rows)
+
+
+def test_nulls_keep_types_over_blocks_and_absences(spark):
+    import random
+
+    r, rows = random.Random(5), []
+    for i in range(300):
+        o = {k: r.choice([None, None, 1, "s", {"x": r.choice([None, 1, "t"])}, 1.5]) for k in "ab" if r.random() < 0.9}
+        rows.append((i, f"s{i % 2}", at(i), json.dumps(o)))
+    df = spark.createDataFrame(rows, "file_id long, series string, written_at timestamp, body string")
+    assert sorted(tuple(r) for r in drift.changes(df).collect()) == brute.changes(rows)
+
+
 def test_changes_like_plain_python(spark, sf):
     rows = [tuple(r) for r in table(spark, sf, "evidence_files").select("file_id", "series", "written_at", "body").collect()]
     assert sorted(tuple(r) for r in problems.p6_found(spark, sf).collect()) == brute.changes(rows)
