@@ -128,6 +128,7 @@ def kv_extract(text: Column, key: str | None) -> Column:
     """The value after ``key=``: a quoted one, or up to a blank or comma; null if there is none."""
     if key is None:
         return F.lit(None).cast("string")
+    # Fixed value: the pattern of a key and its value.
     pattern = r'(?:^|[^A-Za-z0-9_])\Q' + key.replace(r"\E", r"\E\\E\Q") + r'\E=(?:"([^"]*)"|([^\s,]+))'
     quoted, bare = F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)
     return F.when(text.rlike(pattern), F.when(bare != "", bare).otherwise(quoted))
@@ -189,25 +190,21 @@ _SQL = {
 }
 
 
-def _attr_sql(depth: int = 4) -> str:
-    """attr_get for keys known only when the query runs: up to ``depth`` dots are followed."""
-
-    def level(json: str, key: str, left: int) -> str:
-        at = "if(locate('''', {0}) > 0, concat('$.', {0}), concat('$[''', {0}, ''']'))"
-        literal = f"WHEN array_contains(json_object_keys({json}), {key}) THEN get_json_object({json}, {at.format(key)})"
-        if not left:
-            return f"CASE {literal} END"
-        head, rest = f"substring_index({key}, '.', 1)", f"substring({key}, locate('.', {key}) + 1)"
-        inner = f"get_json_object({json}, {at.format(head)})"
-        return f"CASE {literal} WHEN locate('.', {key}) > 0 AND array_contains(json_object_keys({json}), {head}) THEN attr_get_{left - 1}({inner}, {rest}) END"
-
-    return level("j", "k", depth)
+_AT = "if(locate('''', {0}) > 0, concat('$.', {0}), concat('$[''', {0}, ''']'))"
+_STATE = "named_struct('doc', {0}, 'rest', {1}, 'done', {2}, 'out', {3})"
+_NONE = "CAST(NULL AS STRING)"
+_HEAD = "substring_index(s.rest, '.', 1)"
+# keys known only when the query runs, of any depth: the document is folded along the key's parts
+_ATTR = f"""CASE WHEN k IS NOT NULL THEN aggregate(split(k, '[.]'), {_STATE.format("j", "k", "false", _NONE)}, (s, part) -> CASE WHEN s.done THEN s
+    WHEN array_contains(json_object_keys(s.doc), s.rest) THEN {_STATE.format("s.doc", "s.rest", "true", f"get_json_object(s.doc, {_AT.format('s.rest')})")}
+    WHEN locate('.', s.rest) > 0 AND array_contains(json_object_keys(s.doc), {_HEAD}) THEN {_STATE.format(f"get_json_object(s.doc, {_AT.format(_HEAD)})", "substring(s.rest, locate('.', s.rest) + 1)", "false", _NONE)}
+    ELSE {_STATE.format("s.doc", "s.rest", "true", _NONE)} END, s -> s.out) END"""
 
 
 def register(spark: SparkSession) -> None:
     """Creates the functions as temporary SQL functions of the session."""
     for name, (arguments, result, body) in _SQL.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {result} RETURN {body}")
-    for depth in range(4):
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION attr_get_{depth}(j STRING, k STRING) RETURNS STRING RETURN {_attr_sql(depth)}")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION attr_get(j STRING, k STRING) RETURNS STRING RETURN attr_get_3(j, k)")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION attr_get(j STRING, k STRING) RETURNS STRING RETURN {_ATTR}")
+    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION generate_series(first BIGINT, last BIGINT, step BIGINT DEFAULT 1) RETURNS TABLE (value BIGINT)
+      RETURN SELECT explode(CASE WHEN step > 0 AND first <= last OR step < 0 AND first >= last THEN sequence(first, last, step) WHEN step = 0 THEN raise_error('a series needs a step') END)""")

@@ -77,7 +77,7 @@ def test_key_values(spark):
     assert [r["k"] for r in got] == ["two words", None, None, "", "5", None, "6", "q"]
 
 
-ATTRIBUTES = [('{"a.b":1,"a":{"b":2}}', "a.b", "1"), ('{"a":{"b.c":"x","b":{"c":3}}}', "a.b.c", "x"), ('{"a":{"b":{"c":3}}}', "a.b.c", "3"), ('{"a":1,"a.b":null}', "a.b", None), ('{"a":{"x":1},"b":2}', "a.b", None), ('{"k":null}', "k", None), ('{"k":{"z":1,"y":[2]}}', "k", '{"z":1,"y":[2]}'), ('{"k":true}', "k", "true"), ("[1]", "k", None), ("{", "k", None), (None, "k", None), ('{"it\'s":"q"}', "it's", "q")]
+ATTRIBUTES = [('{"a.b":1,"a":{"b":2}}', "a.b", "1"), ('{"a":{"b.c":"x","b":{"c":3}}}', "a.b.c", "x"), ('{"a":{"b":{"c":3}}}', "a.b.c", "3"), ('{"a":1,"a.b":null}', "a.b", None), ('{"a":{"x":1},"b":2}', "a.b", None), ('{"k":null}', "k", None), ('{"k":{"z":1,"y":[2]}}', "k", '{"z":1,"y":[2]}'), ('{"k":true}', "k", "true"), ("[1]", "k", None), ('{"a":{"b":{"c":{"d":{"e":"x"}}}}}', "a.b.c.d.e", "x"), ('{"a":{"b.c":{"d":{"e.f":{"g":1}}}}}', "a.b.c.d.e.f.g", None), ('{"a":{"b":{"c":{"d":{"e.f.g":1}}}}}', "a.b.c.d.e.f.g", "1"), ("{", "k", None), (None, "k", None), ('{"it\'s":"q"}', "it's", "q")]
 
 
 def test_attributes(spark):
@@ -462,3 +462,86 @@ def test_audit_is_appended(spark, sf, tmp_path):
     e.sql("select 1")
     e.flush_audit()
     assert audit.read().first()["status"] == "succeeded"
+
+
+HOLES = [
+    "select reflect('java.lang.System', 'getProperty', 'user.dir') from events", "select java_method('java.lang.System', 'getProperty', 'user.dir')", "select * from csv.`/etc/hostname`", "select * from `/etc/hostname`", "select * from text.`/etc/hostname` where 1 = 1",
+    "with x as (select * from csv.`/etc/hostname`) select * from x", "select 1 where exists (select 1 from csv.`/etc/hostname`)", "select (select max(_c0) from csv.`/etc/hostname`)", "select * from events where raw in (select _c0 from csv.`/etc/hostname`)", "select * from foreign_view", "with foreign_view as (select * from foreign_view) select * from foreign_view",
+    "select * from events e join lateral (select try_reflect('java.lang.System', 'getProperty', 'x'))", "explain select * from csv.`/etc/hostname`", "select * from default.events", "select (with foreign_view as (select 1) select 1) from foreign_view", "select * from python_worker_logs()", "select max(reflect('a', 'b')) over (partition by host) from events", "from csv.`/etc/hostname` |> where true", "select input_file_name() from events",
+]
+
+
+@pytest.mark.parametrize("sql", HOLES)
+def test_only_the_sessions_own_tables_and_values_are_reached(spark, engine, sql):
+    spark.range(3).createOrReplaceTempView("foreign_view")
+    for run in (engine.sql, engine.frame, engine.arrow, engine.explain, lambda q: list(engine.stream(q))):
+        with pytest.raises(facade.Refused):
+            run(sql)
+
+
+def test_series_and_schema_are_tables(engine):
+    assert [r["value"] for r in engine.sql("select value from generate_series(1, 7, 3) order by value")["rows"]] == [1, 4, 7]
+    assert engine.sql("select count(*) as n from generate_series(3, 1)")["rows"] == [{"n": 0}]
+    assert {r["column_name"] for r in engine.sql("select column_name from information_schema.columns where table_name = 'nation'")["rows"]} >= {"n_name"}
+    assert engine.sql("select table_name from Information_Schema . tables where 'information_schema.tables' <> ''")["rows"]
+    assert engine.sql("with recursive t(n) as (select 1 union all select n + 1 from t where n < 4) select sum(n) as s from t")["rows"] == [{"s": 10}]
+
+
+def test_results_are_kept_while_tables_stay(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    spark.range(3).write.parquet(path)
+    e = facade.Engine(spark, {"t": spark.read.parquet(path)})
+    count = lambda: e.sql("select count(*) as n from t")
+    assert count()["rows"] == [{"n": 3}] and count()["served_by"] == "result_cache"
+    spark.range(2).write.mode("append").parquet(path)
+    spark.read.parquet(path).createOrReplaceTempView("t")
+    assert count()["rows"] == [{"n": 5}] and count()["served_by"] == "result_cache"
+    for sql in ("select now() as x from t", "select rand() as x from t", "select current_date as x from t", "select uuid() as x"):
+        assert [e.sql(sql)["served_by"] for _ in range(2)] == ["scan", "scan"]
+    assert [e.sql("select 'now()' as x")["served_by"] for _ in range(2)] == ["scan", "result_cache"]
+
+
+def test_rows_scanned_break_a_query(engine):
+    with pytest.raises(facade.Refused, match="scanned"):
+        engine.sql("select count(*) from range(30000000000) where hash(id) = 7 and hash(id + 1) = 8", {"max_rows_scanned": 10_000_000})
+    assert engine.sql("select count(*) as n from events where raw <> 'x'")["stats"]["rows_scanned"] > 0
+    with pytest.raises(facade.Refused, match="scanned"):
+        engine.sql("select count(*) as m from events where raw <> 'y'", {"max_rows_scanned": 10})
+
+
+def test_streams_and_tables_tell_how_they_end(engine):
+    meta = lambda *a, **k: json.loads(list(engine.stream(*a, **k))[-1])["_meta"]
+    assert meta("select host from events", limits={"max_rows_returned": 4}) == {"rows": 4, "complete": False, "why": "truncated"}
+    assert meta("select host from events limit 3") == {"rows": 3, "complete": True}
+    assert meta("select raise_error('no') from events")["why"] == "error"
+    assert meta("select host from events", limits={"max_rows_scanned": 10})["why"] == "midflight_rows_scanned_exceeded"
+    with pytest.raises(facade.Refused):
+        next(engine.stream("select host from events", limits={"max_bytes_scanned": 1}))
+    with pytest.raises(facade.Refused):
+        engine.arrow("select host from events", {"max_bytes_scanned": 1})
+    assert engine.arrow("select host from events", {"max_rows_returned": 2}).num_rows == 2
+    assert {(a["endpoint"], a["status"]) for a in engine.audited} >= {("stream", "succeeded"), ("stream", "truncated"), ("stream", "refused"), ("arrow", "refused"), ("arrow", "truncated")}
+    assert list(engine.audited[0]) == [c.split()[0] for c in facade.AUDIT.split(", ")]
+
+
+def test_windows_belong_to_their_query(spark, tmp_path, sf):
+    lake, df = lake_of(spark, tmp_path)
+    lake.append(df)
+    e = facade.Engine(spark, {}, lakes={"logs": lake})
+    narrow, wide = "select count(*) as n from logs where timestamp >= '2024-01-10' and timestamp < '2024-01-11'", "select count(*) as n from logs"
+    alone = {q: e.sql(q, dry_run=True)["cost"]["estimated_rows"] for q in (narrow, wide)}
+    assert alone[narrow] < alone[wide]
+    found: dict = {narrow: set(), wide: set()}
+    threads = [threading.Thread(target=lambda q=q: found[q].add(e.sql(q, dry_run=True)["cost"]["estimated_rows"])) for q in (narrow, wide) * 6]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert found == {q: {n} for q, n in alone.items()}
+
+
+def test_admission_counts_bytes():
+    admission = facade.Admission(16, budget_bytes=100)
+    with admission("interactive", 1, 10**9), admission("interactive", 1, 50), pytest.raises(facade.Refused), admission("interactive", 0.05, 1):
+        pass
+    with admission("batch", 1, 10**9), pytest.raises(facade.Refused), admission("batch", 0.05, 5):
+        pass
+    assert admission.reserved == {"interactive": 0, "batch": 0}
