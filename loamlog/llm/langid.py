@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamlog.plans import scratch
@@ -31,6 +31,7 @@ LABELS = {
     "nl": ["nl", "nld", "dut", "dutch", "nederlands"], "ru": ["ru", "rus", "russian", "русский"],
 }
 LANGUAGES = list(LABELS)
+UNDETERMINED = "und"  # of a text without a word
 
 DOCS_A_LANGUAGE = 250  # the bound of the training sample: labelled documents of each language ...
 SENTENCES_A_LANGUAGE = 1000  # ... and of their distinct sentences, those repeated first, the others by hash
@@ -45,8 +46,12 @@ CHUNK = 2000  # sentences scored at once
 CHARS = 1 << 20  # characters split at once
 REPEATS = 8
 
-_FENCE = re.compile(r"^[ \t]*(?:```|~~~)[^\n]*\n.*?(?:^[ \t]*(?:```|~~~)[^\n]*$|\Z)", re.S | re.M)
+_FENCE = re.compile(r"^[ \t]*(?:```|~~~)[^\n]*\n.*?(?:^[ \t]*(?:```|~~~)|\Z)", re.S | re.M)
 _NOT_PROSE = re.compile(r"^(?:[ \t]*[$%] .*|[ \t]*#{1,6} .*|[ \t]*=+ .* =+[ \t]*|(?:    |\t).*|[ \t]*[\w.\-]+ ?= ?\S+[ \t]*|\[[^\]\n]*\][ \t]*)$", re.M)
+_LEAD = re.compile(r"[ \t]*(?:[$%](?: [^\s\-]\S*)*?(?: --?[\w\-]+(?:[ =][^\s\-]\S*)?)+|#{1,6}(?= )|(?:[^\w\s]*\w*[\d_/\\@=<>{}|`]\S*[ \t]*)+)?")
+_PLAIN_WORD = re.compile(r"(?<!\S)[\"'(\[«„]*[^\W\d_]+(?:['’\-][^\W\d_]+)*[\"')\]»“,;:.!?…]*(?!\S)")
+_CODE = re.compile(r"\w\(|[=!<>+]=|[-=]>|[{}]|;\s*$")
+LEAST_WORDS = 6  # of a line that looks like code or a heading, to be read as prose behind its first part
 # Classes of characters.
 OTHER, BLANK, NEWLINE, LOWER, UPPER, IDENTIFIER, END, JOINT = range(8)
 _tables: list[np.ndarray] = []
@@ -90,10 +95,39 @@ def language(label: Column) -> Column:
     return out
 
 
+def _salvaged(line: str) -> str:
+    """What is prose in a line that begins like a command, code or a heading: the rest behind that
+    beginning, if most of it is words."""
+    lead = _LEAD.match(line)
+    rest = line[lead.end() :]
+    if line.lstrip()[:2] in ("$ ", "% ") and "-" not in lead[0]:
+        return "\n"  # a command without options: it ends nowhere
+    words = 0 if _CODE.search(rest) else len(_PLAIN_WORD.findall(rest))
+    return f"\n\n{rest}" if words >= LEAST_WORDS and 2 * words >= len(rest.split()) else "\n"
+
+
+def _not_prose(found: re.Match) -> str:
+    line = found[0]
+    return "\n" if len(line) < 40 else _salvaged(line)
+
+
+def lone(text: str) -> str:
+    """The words of a text that has no sentence: of code, headings and names too, but no identifiers."""
+    kinds, _ = _characters()
+    out = []
+    for token in text.split():
+        kind = kinds[np.frombuffer(token.encode("utf-32-le", "replace"), dtype=np.uint32)]
+        if (kind != IDENTIFIER).all() and ((kind == LOWER) | (kind == UPPER)).any():
+            out.append("".join(c if c.isalpha() or c in "'’-" else " " for c in token).strip().lower())
+    return " ".join(" ".join(out).split())
+
+
 def reduce_(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The sentences of many texts, reduced to what has a language: code, commands, headings, names
-    (capitalised words but the first), numbers and identifiers are left out, and so is a sentence
-    of which one word is left; one in capitals is read in lower case.
+    (capitalised words but the first: which of them are nouns isn't known before the language is),
+    numbers and identifiers are left out, and so is a sentence of which one word is left; one in
+    capitals is read in lower case. Of a command, a line of code or a heading what follows it on the
+    same line is read if it is prose.
 
     Returns code points in lower case, words parted and sentences enclosed by blanks; the number of
     each code point's sentence; and each sentence's text. All at once, on arrays of characters.
@@ -103,7 +137,7 @@ def reduce_(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for text in texts:
         if "```" in text or "~~~" in text:
             text = _FENCE.sub("\n\n", text)
-        parts.append(_NOT_PROSE.sub("\n", text))
+        parts.append(_NOT_PROSE.sub(_not_prose, text))
     codes = np.frombuffer(("\n\n" + "\n\n".join(parts) + "\n\n").encode("utf-32-le", "replace"), dtype=np.uint32)
     text_start = np.cumsum([2, *(len(p) + 2 for p in parts)])[:-1]
     kind = kinds[codes]
@@ -310,7 +344,8 @@ PREPARED = "doc_id long, label string, sentences array<string>, bucket array<int
 
 
 def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's sentences; at the end of the task one row of how many sentences had each bucket."""
+    """Each text's sentences, of a text without any its :func:`lone` words; at the end of the task one
+    row of how many sentences had each bucket."""
     df = np.zeros(BUCKETS + 1, dtype=np.int64)
     names = [c.split()[0] for c in PREPARED.split(", ")]
     none = [pa.list_(pa.int32()), pa.list_(pa.int64())]
@@ -323,22 +358,26 @@ def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             texts = batch.column(2).take(pa.array(part)).to_pylist()
             codes, owner, whose = reduce_(texts)
-            if not len(whose):
-                continue
-            at, own = grams(codes, owner)
-            kind = np.uint32 if len(whose) < 1 << (32 - BITS) else np.uint64
-            key = np.sort((own.astype(kind) << kind(BITS)) | at.astype(kind))
-            df[:BUCKETS] += np.bincount(key[np.append(True, key[1:] != key[:-1])] & kind(BUCKETS - 1), minlength=BUCKETS)
-            df[BUCKETS] += len(whose)
-            # the sentences as they lie, without the blanks around them
-            edges = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-            sizes = np.diff(np.append(edges, len(codes)))
-            joined = codes.tobytes().decode("utf-32-le")
-            found = pa.array([joined[a + 1 : a + n - 1] for a, n in zip(edges.tolist(), sizes.tolist())], pa.string())
             counts = np.bincount(whose, minlength=len(texts))
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), found)
-            take = pa.array(part)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), lists, *[pa.nulls(len(part), k) for k in none]], names=names).filter(pa.array(counts > 0))
+            if len(whose):
+                at, own = grams(codes, owner)
+                kind = np.uint32 if len(whose) < 1 << (32 - BITS) else np.uint64
+                key = np.sort((own.astype(kind) << kind(BITS)) | at.astype(kind))
+                df[:BUCKETS] += np.bincount(key[np.append(True, key[1:] != key[:-1])] & kind(BUCKETS - 1), minlength=BUCKETS)
+                df[BUCKETS] += len(whose)
+                # the sentences as they lie, without the blanks around them
+                edges = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+                sizes = np.diff(np.append(edges, len(codes)))
+                joined = codes.tobytes().decode("utf-32-le")
+                found = pa.array([joined[a + 1 : a + n - 1] for a, n in zip(edges.tolist(), sizes.tolist())], pa.string())
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), found)
+                take = pa.array(part)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), lists, *[pa.nulls(len(part), k) for k in none]], names=names).filter(pa.array(counts > 0))
+            left = [i for i in np.flatnonzero(counts == 0).tolist() if texts[i].strip()]
+            if left:
+                take = pa.array(part[left])
+                words = [lone(texts[i]) for i in left]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array([[w] if w else [] for w in words], pa.list_(pa.string())), *[pa.nulls(len(left), k) for k in none]], names=names)
     at = np.flatnonzero(df)
     if len(at):
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.string()), pa.array([None], pa.list_(pa.string())), pa.array([at.tolist()], none[0]), pa.array([df[at].tolist()], none[1])], names=names)
@@ -366,11 +405,11 @@ def inverse_frequencies(prepared: Prepared) -> np.ndarray:
 def sample(prepared: Prepared, docs_a_language: int = DOCS_A_LANGUAGE) -> list[tuple[int, list[str]]]:
     """(language number, sentences) of at most ``docs_a_language`` labelled documents of each
     language. Which ones is a matter of their ids' hash."""
-    labelled = prepared.texts.select("doc_id", "label").where("label is not null and doc_id is not null")
-    ids: dict[int, str] = {}
-    for code in LANGUAGES:
-        rows = labelled.where(F.col("label") == code).orderBy(F.xxhash64("doc_id"), "doc_id").limit(docs_a_language).collect()
-        ids |= {r["doc_id"]: code for r in rows}
+    labelled = prepared.texts.select("doc_id", "label").where("label is not null and doc_id is not null and size(sentences) > 0")
+    # few rows a language and task remain before they are brought together
+    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = labelled.withColumn("k", F.row_number().over(order)).where(F.col("k") <= docs_a_language).select("doc_id", "label").collect()
+    ids: dict[int, str] = {r["doc_id"]: r["label"] for r in sorted(chosen, key=lambda r: (LANGUAGES.index(r["label"]), r["doc_id"]))}
     if not ids:
         return []
     found = {r["doc_id"]: r["sentences"] for r in prepared.texts.where(F.col("doc_id").isin(list(ids))).select("doc_id", "sentences").collect()}
@@ -427,6 +466,12 @@ def _classify(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = Scores(model)
         for batch in batches:
+            n = pc.list_value_length(batch.column(2))
+            bare = batch.filter(pc.equal(n, 0))
+            if bare.num_rows:
+                k = bare.num_rows
+                yield pa.RecordBatch.from_arrays([bare.column(0), bare.column(1), pa.array([0] * k, pa.int32()), pa.array([UNDETERMINED] * k, pa.string()), pa.array([0.0] * k, pa.float64()), pa.array([1] * k, pa.int32())], names=["doc_id", "label", "segment_no", "lang", "confidence", "n_segments"])
+                batch = batch.filter(pc.greater(n, 0))
             if not batch.num_rows:
                 continue
             texts = batch.column(2)
@@ -460,9 +505,11 @@ def segments(documents: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, label, segment_no, lang, confidence, n_segments) of every text; ``label`` is the
     code the document's own label denotes.
 
-    Null and blank texts, and texts of nothing but code, names and numbers, give no row. If no
-    document has a label there is nothing to learn from, and the result is empty. A repeated row
-    is classified each time.
+    Null and blank texts give no row. A text that has words but no sentence (a single word, code,
+    headings, names) is classified by these; one of numbers and identifiers alone has the language
+    ``und`` with confidence 0. A text in a language that isn't one of :data:`LANGUAGES` gets the
+    nearest of them. If no document has a label there is nothing to learn from, and the result is
+    empty. A repeated row is classified each time.
     """
     prepared = Prepared(documents)
     if model is None:
@@ -474,5 +521,5 @@ def segments(documents: DataFrame, model: Model | None = None) -> DataFrame:
 
 def mislabelled(found: DataFrame) -> DataFrame:
     """The segments of documents whose label is missing, denotes another language than the text,
-    or whose text holds several."""
-    return found.where(F.col("label").isNull() | (F.col("n_segments") > 1) | (F.col("label") != F.col("lang")))
+    or whose text holds several. A text without a word has no language to be labelled with."""
+    return found.where(F.col("lang") != UNDETERMINED).where(F.col("label").isNull() | (F.col("n_segments") > 1) | (F.col("label") != F.col("lang")))

@@ -1,23 +1,28 @@
-"""Texts into containers of fixed capacity, by bulk-synchronous best fit.
-
-Documents and gaps are range-sorted by size. In each superstep every class of equal documents looks
-up its successor among the gaps (the smallest one it fits in), conflicts over a gap are resolved by
-rank (the larger document first), gaps are updated, and the step repeats; what fits no gap opens
-containers. Sizes are whole tokens, so a capacity has at most that many classes of documents and
-as many of gaps: a superstep's tables have a bound that doesn't grow with the corpus, and one task
-a capacity sweeps them. Documents meet their class's places by their rank in it.
+"""Texts into containers of fixed capacity, by best fit in bulk.
+
+Documents are range-sorted by size. Sizes are whole tokens, so documents of one size are
+interchangeable: they are a class with a count, and containers with equal gaps are a run. The classes
+of a capacity are spread over lanes, a task each, of at most about ``CLASSES_A_LANE`` classes. A lane
+is swept from its largest class down: a class looks up its successor among the gaps (the smallest one
+it fits in), fills as many containers of that run as it can at once, the gaps are updated, and so on
+until the class is placed; what fits no gap opens containers. Larger documents come first, so they
+win conflicts over a gap, and of equal ones the smaller rank. Documents meet their class's places by
+their rank in it. What a lane holds has a bound that doesn't grow with the corpus, and a sweep's
+steps are in proportion to the lane's classes (and their logarithm).
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamlog.plans import ordered, scratch
 
-IDS_A_BLOCK = 65536
 RANKS_A_BLOCK = 65536
+CLASSES_A_LANE = 65536
 MAX_CAPACITIES = 1000
 
 
@@ -42,65 +47,42 @@ def token_count(text: Column, tokenizer: str | None = None) -> Column:
 def pack_classes(capacity: int, sizes, counts) -> list[tuple[int, int, int, int, int]]:
     """Places classes of equal documents: (size, first rank, documents, first container, documents
     a container). Containers are numbered from 0."""
-    import numpy as np
-
-    size = np.array(sizes, dtype=np.int64)
-    order = np.argsort(-size)
-    size, left = size[order], np.array(counts, dtype=np.int64)[order]
-    rank = np.zeros(len(size), dtype=np.int64)
-    gaps: dict[int, list[tuple[int, int]]] = {}
+    keys: list[int] = []  # the gaps there are, in order
+    runs: dict[int, list[tuple[int, int]]] = {}
     out: list[tuple[int, int, int, int, int]] = []
     opened = 0
 
-    def put(i: int, gap: int, runs: list[tuple[int, int]], after: dict) -> list[tuple[int, int]]:
-        """Fills containers of one gap with documents of class i; returns the runs not needed."""
-        s = int(size[i])
-        each = gap // s
-        rest = []
-        for first, n in runs:
-            want = int(left[i])
-            full = min(n, want // each)
+    def leave(gap: int, first: int, n: int) -> None:
+        if gap and n:
+            if gap not in runs:
+                insort(keys, gap)
+                runs[gap] = []
+            runs[gap].append((first, n))
+
+    for size, left in sorted(zip(sizes, counts), reverse=True):
+        rank = 0
+        while left:
+            at = bisect_left(keys, size)
+            if at < len(keys):
+                gap = keys[at]
+                first, n = runs[gap].pop()
+                if not runs[gap]:
+                    del keys[at], runs[gap]
+            else:
+                gap, first, n = capacity, opened, -(-left // (capacity // size))
+                opened += n
+            each = gap // size
+            full = min(n, left // each)
             if full:
-                out.append((s, int(rank[i]), full * each, first, each))
-                rank[i] += full * each
-                left[i] -= full * each
-                after.setdefault(gap - each * s, []).append((first, full))
-            some = int(left[i]) if full < n and left[i] < each else 0
-            if some:
-                out.append((s, int(rank[i]), some, first + full, some))
-                rank[i] += some
-                left[i] = 0
-                after.setdefault(gap - some * s, []).append((first + full, 1))
-                full += 1
-            if full < n:
-                rest.append((first + full, n - full))
-        return rest
-
-    while True:
-        open_ = np.flatnonzero(left > 0)
-        if not len(open_):
-            return out
-        # larger documents first: the band down to half of the largest
-        open_ = open_[size[open_] * 2 >= size[open_[0]]]
-        after: dict[int, list[tuple[int, int]]] = {}
-        sizes_of_gaps = np.array(sorted(gaps), dtype=np.int64)
-        at = np.searchsorted(sizes_of_gaps, size[open_])
-        fits = at < len(sizes_of_gaps)
-        # conflicts: of the classes with the same successor the one of the largest documents
-        chosen, first = np.unique(at[fits], return_index=True)
-        for g, i in zip(sizes_of_gaps[chosen].tolist(), open_[fits][first].tolist()):
-            rest = put(i, g, gaps.pop(g), after)
-            if rest:
-                after.setdefault(g, []).extend(rest)
-        if not fits[0]:
-            i = int(open_[0])
-            each = capacity // int(size[i])
-            n = -(-int(left[i]) // each)
-            put(i, capacity, [(opened, n)], after)
-            opened += n
-        for g, runs in after.items():
-            if g:
-                gaps.setdefault(g, []).extend(runs)
+                out.append((size, rank, full * each, first, each))
+                leave(gap - each * size, first, full)
+                rank, left = rank + full * each, left - full * each
+            if full < n and left:  # fewer than fill a container
+                out.append((size, rank, left, first + full, left))
+                leave(gap - left * size, first + full, 1)
+                full, left = full + 1, 0
+            leave(gap, first + full, n - full)
+    return out
 
 
 def _place(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -108,6 +90,7 @@ def _place(pdf: pd.DataFrame) -> pd.DataFrame:
     rows = pack_classes(capacity, pdf["size"].tolist(), pdf["n"].tolist())
     out = pd.DataFrame(rows, columns=["size", "first_rank", "n", "first_container", "each"]).astype("int64")
     out.insert(0, "capacity_id", pdf["capacity_id"].iloc[0])
+    out.insert(1, "lane", pdf["lane"].iloc[0])
     return out
 
 
@@ -134,19 +117,22 @@ def pack(documents: DataFrame, capacities: DataFrame, tokenizer: str | None = No
     each = each.withColumn("size", F.col("n") - F.col("full") * F.col("capacity_tokens"))
     each = each.withColumn("n_pieces", (F.col("full") + F.when(F.col("size") > 0, 1).otherwise(0)).cast("int"))
 
-    items = each.where("size > 0").select("capacity_id", "size", "doc_id", F.floor(F.col("doc_id") / IDS_A_BLOCK).alias("block"), "full", "n_pieces")
-    classes = each.where("size > 0").groupBy("capacity_id", "capacity_tokens", "size").agg(F.count("*").alias("n"))
+    classes = scratch.materialise(each.where("size > 0").groupBy("capacity_id", "capacity_tokens", "size").agg(F.count("*").alias("n")), "classes")
+    lanes = classes.groupBy("capacity_id", "capacity_tokens").agg(F.ceil(F.count("*") / CLASSES_A_LANE).alias("n_lanes"))  # as many rows as capacities
+    laned = classes.join(lanes, ["capacity_id", "capacity_tokens"]).withColumn("lane", F.pmod(F.xxhash64("size"), F.col("n_lanes")))
     kind = dict(each.dtypes)["capacity_id"]
-    places = scratch.materialise(classes.groupBy("capacity_id").applyInPandas(_place, f"capacity_id {kind}, size long, first_rank long, n long, first_container long, each long"), "places")
+    places = scratch.materialise(laned.groupBy("capacity_id", "lane").applyInPandas(_place, f"capacity_id {kind}, lane long, size long, first_rank long, n long, first_container long, each long"), "places")
+    # blocks are ranges of the order itself, however ids are spread
+    items = ordered.frozen(each.where("size > 0").select("capacity_id", "size", "doc_id", "full", "n_pieces"), ["capacity_id", "size", "doc_id"], "items")
     ranked = ordered.running_sum(items, ["capacity_id", "size"], ["doc_id"], "block", F.lit(1), "rank").drop("block")
     # each document's place is the last one that begins at or before its rank
-    here = places.select("capacity_id", "size", F.col("first_rank").alias("rank"), F.lit(0).alias("kind"), F.struct("first_rank", "first_container", "each").alias("place"))
+    here = places.select("capacity_id", "size", F.col("first_rank").alias("rank"), F.lit(0).alias("kind"), F.struct("lane", "first_rank", "first_container", "each").alias("place"))
     blank = F.lit(None)
     here = here.select("*", blank.cast("long").alias("doc_id"), blank.cast("int").alias("full"), blank.cast("int").alias("n_pieces"))
     both = here.unionByName(ranked.select("capacity_id", "size", "rank", F.lit(1).alias("kind"), blank.cast(here.schema["place"].dataType).alias("place"), "doc_id", "full", "n_pieces"))
     met = ordered.last_before(both.withColumn("block", F.floor(F.col("rank") / RANKS_A_BLOCK)), ["capacity_id", "size"], ["rank", "kind"], "block", "place", "at").where("kind = 1")
     number = F.col("at.first_container") + F.floor((F.col("rank") - F.col("at.first_rank")) / F.col("at.each"))
-    shared = met.select("capacity_id", "doc_id", F.col("full").alias("piece_no"), "n_pieces", F.col("size").alias("n_tokens"), F.concat(F.lit("s-"), number.cast("string")).alias("container"))
+    shared = met.select("capacity_id", "doc_id", F.col("full").alias("piece_no"), "n_pieces", F.col("size").alias("n_tokens"), F.concat_ws("-", F.lit("s"), F.col("at.lane").cast("string"), number.cast("string")).alias("container"))
     whole = each.where("full > 0").select("capacity_id", "doc_id", F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("piece_no"), "n_pieces", F.col("capacity_tokens").alias("n_tokens"))
     own = whole.withColumn("container", F.concat_ws("-", F.lit("o"), F.col("doc_id").cast("string"), F.col("piece_no").cast("string")))
     return shared.unionByName(own)

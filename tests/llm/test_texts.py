@@ -70,6 +70,35 @@ def test_equal_sizes_share_containers(spark):
     assert full.count() == -(-30_000 // 14) and full.agg(F.max("n_tokens")).first()[0] == 98
 
 
+def test_a_sweep_is_linear_in_its_classes():
+    import time
+
+    took = {}
+    for capacity in (50_000, 100_000, 200_000):
+        began = time.perf_counter()
+        rows = packing.pack_classes(capacity, range(1, capacity + 1), [1] * capacity)
+        took[capacity] = time.perf_counter() - began
+        containers = max(first + -(-n // each) for _, _, n, first, each in rows)
+        assert containers <= 1.03 * (capacity + 1) / 2
+    assert took[200_000] < 8 * took[50_000] + 2
+
+
+def test_lanes_and_sparse_ids(spark, monkeypatch):
+    docs = spark.range(6000).select(F.xxhash64("id").alias("doc_id"), F.repeat(F.lit("a"), (F.col("id") % 2000 + 1).cast("int")).alias("text"))
+    caps = spark.createDataFrame([(1, 3000), (2, 1500)], "capacity_id int, capacity_tokens int")
+    monkeypatch.setattr(packing, "CLASSES_A_LANE", 300)
+    rows = packing.pack(docs, caps).collect()
+    used, tokens = {}, {}
+    for r in rows:
+        used[r["capacity_id"], r["container"]] = used.get((r["capacity_id"], r["container"]), 0) + r["n_tokens"]
+        tokens[r["capacity_id"], r["doc_id"]] = tokens.get((r["capacity_id"], r["doc_id"]), 0) + r["n_tokens"]
+    assert len({c.split("-")[1] for k, c in used if k == 1}) == 7
+    assert len(tokens) == 12_000 and sum(used.values()) == 2 * 3 * sum(range(1, 2001))
+    for c, capacity in ((1, 3000), (2, 1500)):
+        mine = [n for (k, _), n in used.items() if k == c]
+        assert max(mine) <= capacity and len(mine) <= 1.03 * sum(mine) / capacity + 1
+
+
 def test_a_tokenizer_by_path(spark):
     tokenizer = "/opt/tokenizers/byte_bpe_50k.json"
     got = spark.createDataFrame([("hello world",), (None,), ("",)], "t string").select(packing.token_count(F.col("t"), tokenizer).alias("n")).collect()
@@ -146,6 +175,25 @@ def test_sentences_keep_what_has_a_language():
     ]
 
 
+def test_prose_behind_code_is_read():
+    prose = "Der Knoten hält die gemerkte Liste fest und verwirft sie erst nach dem nächsten Lauf"
+    read = "der hält die gemerkte fest und verwirft sie erst nach dem nächsten"
+    for lead in ("$ lakectl run --shard 62 ", "    5f25bd610f7285da 0xaf77b42d 19/19 ", "```\ncode = 1\n``` ", "% tool -v --level=3 "):
+        assert langid.sentences([f"One more of them.\n{lead}{prose}."])[0] == ["one more of them", read], lead
+    for line in ("$ lakectl run the compactor over all of the shards again", "    if x == y: return f(x) or g(y) and h(z)", "    result = call(one, two, three, four, five, six)", "# Notes on Segments", "```\nall of this is code here and it is long enough\n```"):
+        assert langid.sentences([f"One more of them.\n\n{line}"])[0] == ["one more of them"], line
+
+
+def test_every_text_gets_a_language(spark):
+    rows = [(i, ". ".join(texts) + ".", lang) for lang, texts in SAMPLES.items() for i in range(20)]
+    odd = {900: "\tder Knoten verzögert die Liste\n\tbevor der Zeiger", 901: "Zeiger", 902: "# Der Knoten\n# Die Liste", 903: "12345 0x7f a_b", 904: "```\nrien n'a été perdu\n```", 905: " \n\t"}
+    docs = spark.createDataFrame([*rows, *[(k, v, None) for k, v in odd.items()]], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["lang"], r["confidence"]) for r in langid.segments(docs).where("doc_id >= 900").collect()}
+    assert set(got) == {900, 901, 902, 903, 904} and got[903] == ("und", 0.0)
+    assert got[900][0] == "de" and got[904][0] == "fr" and all(0 < got[k][1] <= 1 for k in got if k != 903)
+    assert {r["doc_id"] for r in langid.mislabelled(langid.segments(docs)).collect()} >= {900, 904} and 903 not in {r["doc_id"] for r in langid.mislabelled(langid.segments(docs)).collect()}
+
+
 def test_segments_follow_the_evidence():
     en, de = np.log([0.98, 0.02]), np.log([0.02, 0.98])
     unsure = np.log([0.4, 0.6])
