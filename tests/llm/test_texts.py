@@ -185,7 +185,7 @@ def test_prose_behind_code_is_read():
 
 
 def test_every_text_gets_a_language(spark):
-    rows = [(i, ". ".join(texts) + ".", lang) for lang, texts in SAMPLES.items() for i in range(20)]
+    rows = [(k * 100 + i, ". ".join([*texts, f"{texts[i % 2]} {texts[i // 2 % 2]}"]) + ".", lang) for k, (lang, texts) in enumerate(SAMPLES.items()) for i in range(40)]
     odd = {900: "\tder Knoten verzögert die Liste\n\tbevor der Zeiger", 901: "Zeiger", 902: "# Der Knoten\n# Die Liste", 903: "12345 0x7f a_b", 904: "```\nrien n'a été perdu\n```", 905: " \n\t"}
     docs = spark.createDataFrame([*rows, *[(k, v, None) for k, v in odd.items()]], "doc_id long, text string, lang string")
     got = {r["doc_id"]: (r["lang"], r["confidence"]) for r in langid.segments(docs).where("doc_id >= 900").collect()}
