@@ -34,7 +34,7 @@ def _leaked(spark, sf):
 
 
 def p8_found(spark, sf):
-    return leakage.pairs(_leaked(spark, sf)).select("doc_id", "item_id")
+    return leakage.leaked_pairs(_table(spark, sf, "documents"), _table(spark, sf, "eval_items")).select("doc_id", "item_id")
 
 
 def p8_matches(spark, sf):
@@ -42,7 +42,8 @@ def p8_matches(spark, sf):
 
 
 def p8_clean(spark, sf):
-    return leakage.without(_table(spark, sf, "documents").select("doc_id"), _leaked(spark, sf))
+    items, _ = leakage.classes(_table(spark, sf, "eval_items"))
+    return leakage.without(_table(spark, sf, "documents").select("doc_id"), leakage.leaked_classes(_table(spark, sf, "documents"), items))
 
 
 def _segments(spark, sf):

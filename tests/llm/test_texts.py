@@ -159,6 +159,21 @@ def test_leaks_in_blocks_of_items(spark, sf, monkeypatch):
     assert {tuple(r) for r in queries.p8_matches(spark, sf).collect()} == whole and whole
 
 
+def test_copies_are_searched_once_and_told_each(spark, monkeypatch):
+    passage = " ".join(f"w{i}" for i in range(15))
+    docs = spark.createDataFrame([(i, f"x {passage} y") for i in range(300)] + [(1000, passage)], "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(i, passage) for i in range(50)] + [(90, passage + " z"), (91, "other")], "item_id long, text string")
+    first, members = leakage.classes(items)
+    assert leakage.leaked_classes(docs, first).count() == 602 and members.count() == 52
+    found = leakage.leaked_pairs(docs, items)
+    assert found.count() == 301 * 51 == leakage.leaked(docs, items).count()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, leakage.pairs(leakage.leaked(docs, items)).select(*found.columns).collect()))
+    whole = sorted(map(tuple, leakage.leaked(docs, items).collect()))
+    for name, n in (("HITS_AT_ONCE", 10), ("ITEMS_BLOCK_CHARS", 60), ("ITEMS_PASS_CHARS", 60)):
+        monkeypatch.setattr(leakage, name, n)
+        assert sorted(map(tuple, leakage.leaked(docs, items).collect())) == whole
+
+
 # Languages
 
 SAMPLES = {
