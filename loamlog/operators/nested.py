@@ -10,19 +10,23 @@ bodies at a time (``CHUNK`` bytes, or a single longer body).
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loamlog.plans import scratch
+
 CHUNK = 4 << 20
 
 # The message's array and object members, in both spellings, and what each leads to.
-ROLES = ["root", "resources", "resource_entry", "resource", "scopes", "scope_entry", "scope", "records", "record", "attributes", "pair", "value", "array", "array_values", "kvlist", "kvlist_values"]
+ROLES = ["root", "resources", "resource_entry", "resource", "scopes", "scope_entry", "scope", "records", "record", "body", "attributes", "pair", "value", "array", "array_values", "kvlist", "kvlist_values"]
 MEMBERS = [
     ("root", "resourceLogs", "resources"), ("root", "resource_logs", "resources"),
     ("resource_entry", "resource", "resource"),
@@ -32,6 +36,7 @@ MEMBERS = [
     ("scope_entry", "logRecords", "records"), ("scope_entry", "log_records", "records"),
     ("scope", "attributes", "attributes"),
     ("record", "attributes", "attributes"),
+    ("record", "body", "body"),
     ("pair", "value", "value"),
     ("value", "arrayValue", "array"), ("value", "array_value", "array"),
     ("value", "kvlistValue", "kvlist"), ("value", "kvlist_value", "kvlist"),
@@ -42,13 +47,33 @@ ELEMENTS = {"resources": ("resource_entry", "r"), "scopes": ("scope_entry", "s")
 _ID = {r: i for i, r in enumerate(ROLES)}
 _ARRAYS = np.array([r in ELEMENTS for r in ROLES])
 _ELEMENT = np.array([_ID[ELEMENTS[r][0]] if r in ELEMENTS else -1 for r in ROLES])
-_LETTER = [ELEMENTS[r][1] if r in ELEMENTS else "" for r in ROLES]
+_LETTERS = pa.array([ELEMENTS[r][1] if r in ELEMENTS else "" for r in ROLES])
 _KEYS = {k: i for i, k in enumerate(dict.fromkeys(k for _, k, _ in MEMBERS))}
 _STEP = np.full((len(ROLES), len(_KEYS) + 1), -1)
 for _p, _k, _c in MEMBERS:
     _STEP[_ID[_p], _KEYS[_k]] = _ID[_c]
 
+# Scalar members that are kept with their element, and the column each goes to.
+SCALARS = [
+    ("resource", "droppedAttributesCount", "dropped_attributes"), ("resource", "dropped_attributes_count", "dropped_attributes"),
+    ("scope", "name", "scope_name"), ("scope", "version", "scope_version"), ("scope_entry", "schemaUrl", "schemaUrl"), ("scope_entry", "schema_url", "schema_url"),
+    ("record", "timeUnixNano", "timeUnixNano"), ("record", "time_unix_nano", "time_unix_nano"), ("record", "severityNumber", "severityNumber"), ("record", "severity_number", "severity_number"),
+    ("record", "severityText", "severityText"), ("record", "severity_text", "severity_text"), ("record", "traceId", "traceId"), ("record", "trace_id", "trace_id"), ("record", "spanId", "spanId"), ("record", "span_id", "span_id"),
+    ("record", "body", "body"), ("body", "stringValue", "body_string"), ("body", "string_value", "body_string"), ("pair", "key", "attr_key"),
+    *[("value", spelled, f"{k}_value") for k in ("string", "int", "double", "bool", "bytes") for spelled in (f"{k}Value", f"{k}_value")],
+    *[("value", spelled, f"has_{k}") for k in ("array", "kvlist") for spelled in (f"{k}Value", f"{k}_value")],
+]
+PRESENCE = ("has_array", "has_kvlist")  # only whether they are there
+
+_BLANKS = re.compile(r'("(?:[^"\\]|\\.)*")|\s+')
 _SCALAR = re.compile(rb"(?:-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null)\Z")
+_FIELD_KEYS = {k: i for i, k in enumerate(dict.fromkeys(k for _, k, _ in SCALARS))}
+FIELDS = list(dict.fromkeys(f for _, _, f in SCALARS))
+_FIELD = np.full((len(ROLES), len(_FIELD_KEYS) + 1), -1)
+_FIELD_NAMES = [f for _, _, f in SCALARS]
+for _i, (_p, _k, _) in enumerate(SCALARS):
+    _FIELD[_ID[_p], _FIELD_KEYS[_k]] = _i
+_PRESENCE = {i for i, f in enumerate(_FIELD_NAMES) if f in PRESENCE}
 OPEN_O, CLOSE_O, OPEN_A, CLOSE_A, COLON, COMMA, STRING, SCALAR, START = range(9)
 
 
@@ -57,7 +82,7 @@ class Index:
 
     def __init__(self, bodies: list[bytes]):
         self.data = b"\n".join(bodies) + b"\n"
-        buf = np.frombuffer(self.data, dtype=np.uint8)
+        buf = self.buf = np.frombuffer(self.data, dtype=np.uint8)
         self.starts = np.cumsum([0, *(len(b) + 1 for b in bodies)])[:-1].astype(np.int64)
         ends = self.starts + np.array([len(b) for b in bodies], dtype=np.int64)
         n = len(buf)
@@ -117,6 +142,7 @@ class Index:
         self.pos, self.end, self.kind, self.doc = pos[keep], end[keep], kind[keep], doc[keep]
         self.level = depth[keep] - (step[keep] == 1)  # how many containers a token, or the container it closes, lies in
         self.good = good
+        self.closing: tuple[np.ndarray, np.ndarray] | None = None
         self._members()
         self._grammar()
 
@@ -170,8 +196,12 @@ class Index:
         outer = np.bincount(self.doc[self.seq_token[(self.seq_level == 0)]], minlength=len(self.good))
         bad |= set(np.flatnonzero(outer > 1))
         scalars = np.flatnonzero(self.kind == SCALAR)
+        # plain whole numbers are right; the others are looked at, each spelling once
+        begin, end = self.pos[scalars], self.end[scalars]
+        digit = np.concatenate([[0], np.cumsum((self.buf >= 48) & (self.buf <= 57))])
+        whole = (digit[end] - digit[begin] == end - begin) & ((self.buf[begin] != 48) | (end - begin == 1))
         texts: dict[bytes, bool] = {}
-        for t in scalars.tolist():
+        for t in scalars[~whole].tolist():
             s = self.data[self.pos[t] : self.end[t]]
             right = texts.get(s)
             if right is None:
@@ -183,27 +213,77 @@ class Index:
         self.key_of = np.where((before == COLON) & (before2 == STRING), np.concatenate([[0, 0], self.seq_token[:-2]]), -1)
 
 
-def nodes(bodies: list[bytes]) -> dict[str, list]:
-    """Rows of the chunk: body, path, parent, letter, index, and the token's span."""
-    out: dict[str, list] = {"body": [], "path": [], "parent": [], "step": [], "index": [], "begin": [], "end": []}
+def _keys(x: Index, tokens: np.ndarray, known: dict[str, int]) -> np.ndarray:
+    """The number of each key token's name, ``len(known)`` for others and where there is no key (-1).
+    Names are compared byte by byte, all tokens of one length at once."""
+    out = np.full(len(tokens), len(known))
+    has = np.flatnonzero(tokens >= 0)
+    begin = x.pos[tokens[has]] + 1
+    size = x.end[tokens[has]] - 1 - begin
+    by_size: dict[int, list[tuple[bytes, int]]] = {}
+    for name, number in known.items():
+        by_size.setdefault(len(name), []).append((name.encode(), number))
+    for n, names in by_size.items():
+        at = np.flatnonzero(size == n)
+        if not len(at):
+            continue
+        text = x.buf[begin[at][:, None] + np.arange(n)]
+        for name, number in names:
+            hit = (text == np.frombuffer(name, dtype=np.uint8)).all(axis=1)
+            out[has[at[hit]]] = number
+    return out
+
+
+def _last_of_each(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row is the last one with its values."""
+    order = np.lexsort((np.arange(len(columns[0])), *columns[::-1]))
+    last = np.ones(len(order), dtype=bool)
+    if len(order) > 1:
+        same = np.ones(len(order) - 1, dtype=bool)
+        for c in columns:
+            same &= c[order[1:]] == c[order[:-1]]
+        last[:-1] = ~same
+    out = np.zeros(len(order), dtype=bool)
+    out[order] = last
+    return out
+
+
+def _text(x: Index, t: int) -> str | None:
+    """A value as text: strings without their quotes and escapes, null as none, containers as JSON
+    without blanks."""
+    if x.kind[t] in (OPEN_O, OPEN_A):
+        end = int(_span_ends(x, np.array([t]))[0])
+        return _BLANKS.sub(r"\1", x.data[x.pos[t] : end].decode("utf-8", "replace"))
+    raw = x.data[x.pos[t] : x.end[t]]
+    if x.kind[t] == STRING:
+        if b"\\" not in raw:
+            return raw[1:-1].decode("utf-8", "replace")
+        try:
+            return json.loads(raw, strict=False).encode("utf-8", "replace").decode()
+        except ValueError:
+            return None
+    return None if raw == b"null" else raw.decode("utf-8", "replace")
+
+
+def nodes(bodies: list[bytes], members: bool = True) -> tuple[np.ndarray, pa.Array, dict[str, list]]:
+    """The chunk's rows: the number of each one's body, its path, and, with ``members``, parent path,
+    step, index and scalar members."""
     x = Index(bodies)
-    if not len(x.pos):
-        return out
-    at = np.flatnonzero(x.value)
-    token, container, index, level = x.seq_token[at], x.seq_container[at], x.seq_index[at], x.seq_level[at]
-    key_token = x.key_of[at]
-    key = np.full(len(at), len(_KEYS))
-    for i, t in enumerate(key_token.tolist()):
-        if t >= 0:
-            key[i] = _KEYS.get(x.data[x.pos[t] + 1 : x.end[t] - 1].decode("utf-8", "replace"), len(_KEYS))
+    bodies_, paths_, parents_, steps_, indexes_ = [], [], [], [], []
+    n_rows = 0
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (row, field, token) of scalar members
+    at = np.flatnonzero(x.value) if len(x.pos) else np.zeros(0, dtype=np.int64)
+    token, container, index, level = (x.seq_token[at], x.seq_container[at], x.seq_index[at], x.seq_level[at]) if len(at) else (at,) * 4
+    key = _keys(x, x.key_of[at], _KEYS) if len(at) else at
+    field = _keys(x, x.key_of[at], _FIELD_KEYS) if len(at) and members else key
     role = np.full(len(x.pos), -1)
-    path = np.empty(len(x.pos), dtype=object)
-    for depth in range(int(level.max(initial=0)) + 1):
+    row = np.full(len(x.pos), -1)  # the row a container belongs to
+    # rows in the order of their levels, so that a row's parent is there before it
+    all_paths = pa.array([""], pa.string())  # path 0 is the root's
+    for depth in range(int(level.max(initial=-1)) + 1):
         now = np.flatnonzero(level == depth)
         if depth == 0:
-            roots = token[now[x.kind[token[now]] == OPEN_O]]
-            role[roots] = _ID["root"]
-            path[roots] = ""
+            role[token[now[x.kind[token[now]] == OPEN_O]]] = _ID["root"]
             continue
         parent = container[now]
         known = role[parent] >= 0
@@ -211,39 +291,51 @@ def nodes(bodies: list[bytes]) -> dict[str, list]:
         if not len(now):
             break
         array = _ARRAYS[role[parent]]
-        # members of objects
+        # members of objects: of those that lead to the same place the last one counts
         m, mp = now[~array], parent[~array]
         to = _STEP[role[mp], key[m]]
-        fits = (to >= 0) & (x.kind[token[m]] == np.where(_ARRAYS[to], OPEN_A, OPEN_O))
-        named = to >= 0
-        if named.any():  # of members that lead to the same place the last one counts
-            last: dict[tuple[int, int], int] = {}
-            for i in np.flatnonzero(named).tolist():
-                last[int(mp[i]), int(to[i])] = i
-            only = np.zeros(len(m), dtype=bool)
-            only[list(last.values())] = True
-            fits &= only
-        role[token[m[fits]]] = to[fits]
-        path[token[m[fits]]] = path[mp[fits]]
+        named = np.flatnonzero(to >= 0)
+        only = named[_last_of_each(mp[named], to[named])]
+        only = only[x.kind[token[m[only]]] == np.where(_ARRAYS[to[only]], OPEN_A, OPEN_O)]
+        role[token[m[only]]] = to[only]
+        row[token[m[only]]] = row[mp[only]]
+        if members:
+            f = _FIELD[role[mp], field[m]]
+            some = np.flatnonzero((f >= 0) & (row[mp] >= 0))
+            some = some[_last_of_each(mp[some], f[some])]
+            found.append((row[mp[some]], f[some], token[m[some]]))
         # elements of arrays
         e, ep = now[array], parent[array]
-        if len(e):
-            kinds = role[ep]
-            paths = [f"{p}/{_LETTER[r]}{i}" if p else f"{_LETTER[r]}{i}" for p, r, i in zip(path[ep], kinds.tolist(), index[e].tolist())]
-            t = token[e]
-            for i, p in zip(t.tolist(), paths):
-                path[i] = p
-            objects = x.kind[t] == OPEN_O
-            role[t[objects]] = _ELEMENT[kinds[objects]]
-            out["body"] += x.doc[t].tolist()
-            out["path"] += paths
-            out["parent"] += [p or None for p in path[ep]]
-            out["step"] += [_LETTER[r] for r in kinds.tolist()]
-            out["index"] += index[e].tolist()
-            out["begin"] += x.pos[t].tolist()
-            out["end"] += _span_ends(x, t).tolist()
-    out["data"] = [x.data]
-    return out
+        if not len(e):
+            continue
+        kinds, t = role[ep], token[e]
+        above = all_paths.take(pa.array(row[ep] + 1))
+        step = pc.binary_join_element_wise(_LETTERS.take(pa.array(kinds)), pc.cast(pa.array(index[e]), pa.string()), "")
+        paths = pc.if_else(pa.array(row[ep] < 0), step, pc.binary_join_element_wise(above, step, "/"))
+        row[t] = n_rows + np.arange(len(e))
+        n_rows += len(e)
+        all_paths = pa.concat_arrays([all_paths, paths])
+        objects = x.kind[t] == OPEN_O
+        role[t[objects]] = _ELEMENT[kinds[objects]]
+        bodies_.append(x.doc[t])
+        paths_.append(paths)
+        if members:
+            parents_.append(pc.if_else(pa.array(row[ep] < 0), pa.scalar(None, pa.string()), above))
+            steps_.append(_LETTERS.take(pa.array(kinds)))
+            indexes_.append(index[e])
+    more: dict[str, list] = {}
+    whose = np.concatenate(bodies_) if bodies_ else np.zeros(0, dtype=np.int64)
+    if members:
+        columns = {name: [None] * n_rows for name in FIELDS}
+        for rows, fields, tokens in found:
+            for f in np.unique(fields)[::-1].tolist():  # of two spellings the first, unless it is null
+                column, at = columns[_FIELD_NAMES[f]], fields == f
+                for r, t in zip(rows[at].tolist(), tokens[at].tolist()):
+                    value = (True if x.kind[t] != SCALAR else None) if f in _PRESENCE else _text(x, t)
+                    if value is not None:
+                        column[r] = value
+        more = {"parent_path": parents_, "step": steps_, "element_no": indexes_, **columns}
+    return whose, pa.concat_arrays(paths_) if paths_ else pa.array([], pa.string()), more
 
 
 def _span_ends(x: Index, tokens: np.ndarray) -> np.ndarray:
@@ -251,14 +343,16 @@ def _span_ends(x: Index, tokens: np.ndarray) -> np.ndarray:
     end = x.end[tokens].copy()
     box = np.flatnonzero((x.kind[tokens] == OPEN_O) | (x.kind[tokens] == OPEN_A))
     if len(box):
-        closing = x.seq_closed
-        owner, close = x.seq_container[closing], x.seq_token[closing]
-        order = np.argsort(owner)
-        end[box] = x.end[close[order][np.searchsorted(owner[order], tokens[box])]]
+        if x.closing is None:
+            owner, close = x.seq_container[x.seq_closed], x.seq_token[x.seq_closed]
+            order = np.argsort(owner)
+            x.closing = owner[order], close[order]
+        owner, close = x.closing
+        end[box] = x.end[close[np.searchsorted(owner, tokens[box])]]
     return end
 
 
-def _flatten(id_column: str, spans: bool):
+def _flatten(id_column: str, members: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, bodies = batch.column(0), [b if b is None else b.encode() for b in batch.column(1).to_pylist()]
@@ -268,19 +362,18 @@ def _flatten(id_column: str, spans: bool):
                 while hi < len(bodies) and (hi == lo or size + len(bodies[hi] or b"") <= CHUNK):
                     size += len(bodies[hi] or b"")
                     hi += 1
-                chosen = [i for i in range(lo, hi) if bodies[i]]
+                chosen = np.array([i for i in range(lo, hi) if bodies[i]], dtype=np.int64)
                 lo = hi
-                if not chosen:
+                if not len(chosen):
                     continue
-                rows = nodes([bodies[i] for i in chosen])
-                if not rows["body"]:
+                whose, paths, more = nodes([bodies[i] for i in chosen.tolist()], members)
+                if not len(whose):
                     continue
-                columns = [ids.take(pa.array([chosen[i] for i in rows["body"]])), pa.array(rows["path"], pa.string())]
-                names = [id_column, "node_path"]
-                if spans:
-                    data = rows["data"][0]
-                    columns += [pa.array(rows["parent"], pa.string()), pa.array(rows["step"], pa.string()), pa.array(rows["index"], pa.int32()), pa.array([data[b:e].decode("utf-8", "replace") for b, e in zip(rows["begin"], rows["end"])], pa.string())]
-                    names += ["parent_path", "step", "element_no", "node_json"]
+                columns, names = [ids.take(pa.array(chosen[whose])), paths], [id_column, "node_path"]
+                if members:
+                    columns += [pa.concat_arrays(more["parent_path"]), pa.concat_arrays(more["step"]), pa.array(np.concatenate(more["element_no"]), pa.int32())]
+                    columns += [pa.array(more[f], pa.bool_() if f in PRESENCE else pa.string()) for f in FIELDS]
+                    names += ["parent_path", "step", "element_no", *FIELDS]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
@@ -291,47 +384,52 @@ def flatten_exports(df: DataFrame, id_column: str = "export_id", body: str = "bo
 
     A null body, an empty one, or one that isn't complete JSON gives no row; null, empty or wrongly
     typed members are arrays without elements; a null element is a row; of a member stated twice
-    the last counts. With ``spans`` also the parent's path, the step, the index and the element's
-    own JSON text. Other columns of ``df`` are not read.
+    the last counts. With ``spans`` also the parent's path, the step, the index and the element's own
+    scalar members (:data:`FIELDS`); no element's text is repeated in the rows it lies in. Other
+    columns of ``df`` are not read.
     """
     schema = T.StructType([T.StructField(id_column, df.schema[id_column].dataType), T.StructField("node_path", T.StringType())])
     if spans:
-        schema = schema.add("parent_path", "string").add("step", "string").add("element_no", "integer").add("node_json", "string")
+        schema = schema.add("parent_path", "string").add("step", "string").add("element_no", "integer")
+        for f in FIELDS:
+            schema = schema.add(f, "boolean" if f in PRESENCE else "string")
     return df.select(id_column, body).mapInArrow(_flatten(id_column, spans), schema)
 
 
-def _either(json: Column, camel: str, snake: str) -> Column:
-    return F.coalesce(F.get_json_object(json, f"$.{camel}"), F.get_json_object(json, f"$.{snake}"))
+def flat_tables(df: DataFrame) -> dict[str, DataFrame]:
+    """The four tables (resources, scopes, records, attributes), linked by export_id and path, of one
+    pass over the requests: their rows are written once, a folder a step."""
+    spark = df.sparkSession
+    path = scratch.new_path(spark, "nodes")
+    rows = flatten_exports(df)
+    rows.write.partitionBy("step").option("compression", "zstd").parquet(path)
+    back = spark.read.schema(rows.schema).parquet(path)
+    return {"resources": resources(back), "scopes": scopes(back), "records": records(back), "attributes": attributes(back)}
 
 
 def resources(nodes_: DataFrame) -> DataFrame:
     """Resource rows: their key is (export_id, node_path)."""
-    j = F.col("node_json")
-    return nodes_.where("step = 'r'").select("export_id", "node_path", F.coalesce(_either(j, "resource.droppedAttributesCount", "resource.dropped_attributes_count").try_cast("long"), F.lit(0)).alias("dropped_attributes"))
+    return nodes_.where("step = 'r'").select("export_id", "node_path", F.coalesce(F.col("dropped_attributes").try_cast("long"), F.lit(0)).alias("dropped_attributes"))
 
 
 def scopes(nodes_: DataFrame) -> DataFrame:
-    j = F.col("node_json")
-    return nodes_.where("step = 's'").select("export_id", "node_path", "parent_path", F.get_json_object(j, "$.scope.name").alias("scope_name"), F.get_json_object(j, "$.scope.version").alias("scope_version"), _either(j, "schemaUrl", "schema_url").alias("schema_url"))
+    return nodes_.where("step = 's'").select("export_id", "node_path", "parent_path", "scope_name", "scope_version", F.coalesce("schemaUrl", "schema_url").alias("schema_url"))
 
 
 def records(nodes_: DataFrame) -> DataFrame:
-    j = F.col("node_json")
     return nodes_.where("step = 'l'").select(
         "export_id", "node_path", "parent_path",
-        _either(j, "timeUnixNano", "time_unix_nano").try_cast("long").alias("time_ns"),
-        _either(j, "severityNumber", "severity_number").try_cast("int").alias("severity_number"),
-        _either(j, "severityText", "severity_text").alias("severity_text"),
-        F.coalesce(_either(j, "body.stringValue", "body.string_value"), F.get_json_object(j, "$.body")).alias("body_text"),
-        _either(j, "traceId", "trace_id").alias("trace_id"),
-        _either(j, "spanId", "span_id").alias("span_id"),
+        F.coalesce("timeUnixNano", "time_unix_nano").try_cast("long").alias("time_ns"),
+        F.coalesce("severityNumber", "severity_number").try_cast("int").alias("severity_number"),
+        F.coalesce("severityText", "severity_text").alias("severity_text"),
+        F.coalesce("body_string", "body").alias("body_text"),
+        F.coalesce("traceId", "trace_id").alias("trace_id"),
+        F.coalesce("spanId", "span_id").alias("span_id"),
     )
 
 
 def attributes(nodes_: DataFrame) -> DataFrame:
     """Attribute and nested value rows: key, kind of value and its text (null for containers)."""
-    j = F.when(F.col("step") == "v", F.col("node_json")).otherwise(F.get_json_object("node_json", "$.value"))
-    kinds = [("string", "stringValue", "string_value"), ("int", "intValue", "int_value"), ("double", "doubleValue", "double_value"), ("bool", "boolValue", "bool_value"), ("bytes", "bytesValue", "bytes_value")]
-    text = F.coalesce(*[_either(j, c, s) for _, c, s in kinds])
-    kind = F.coalesce(*[F.when(_either(j, c, s).isNotNull(), F.lit(k)) for k, c, s in kinds], F.when(_either(j, "arrayValue", "array_value").isNotNull(), F.lit("array")), F.when(_either(j, "kvlistValue", "kvlist_value").isNotNull(), F.lit("kvlist")), F.lit("empty"))
-    return nodes_.where("step in ('a', 'v', 'k')").select("export_id", "node_path", "parent_path", "element_no", F.when(F.col("step") != "v", F.get_json_object("node_json", "$.key")).alias("attr_key"), kind.alias("value_kind"), text.alias("value_text"))
+    kinds = ["string", "int", "double", "bool", "bytes"]
+    kind = F.coalesce(*[F.when(F.col(f"{k}_value").isNotNull(), F.lit(k)) for k in kinds], F.when(F.col("has_array"), F.lit("array")), F.when(F.col("has_kvlist"), F.lit("kvlist")), F.lit("empty"))
+    return nodes_.where("step in ('a', 'v', 'k')").select("export_id", "node_path", "parent_path", "element_no", F.when(F.col("step") != "v", F.col("attr_key")).alias("attr_key"), kind.alias("value_kind"), F.coalesce(*[f"{k}_value" for k in kinds]).alias("value_text"))

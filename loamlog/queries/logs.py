@@ -10,7 +10,7 @@ from loamlog.functions import text
 from loamlog.operators import mapping, nested, sketch, spans, tables
 from loamlog.plans import scratch
 from loamlog.plans.adapter import logs, table, traces
-from loamlog.queries.problems import _P2_RECORDS
+from loamlog.queries.problems import _P2, _P2_RECORDS
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -280,6 +280,49 @@ def otlp_logs(spark, sf):
     return otlp.read_logs(table(spark, sf, "otlp_exports")).select("host", "source", "sourcetype", "index", "raw", "attributes", "timestamp_ns")
 
 
+def _attribute(of: str, key: str) -> str:
+    value = "coalesce(json_extract_string({0}, '$.value.stringValue'), json_extract_string({0}, '$.value.string_value'))"
+    return value.format(f"list_filter(try_cast(json_extract(j, '{of}') as json[]), lambda x: json_extract_string(x, '$.key') = '{key}' and {value.format('x')} is not null)[1]")
+
+
+_CORE = _P2 + f""", r as (select export_id, node_path, {_attribute('$.resource.attributes', 'host.name')} as host, {_attribute('$.resource.attributes', 'service.name')} as service from n where role = 'R'),
+  s as (select export_id, node_path, regexp_replace(node_path, '/[^/]*$', '') as parent, nullif(json_extract_string(j, '$.scope.name'), '') as scope from n where role = 'S'),
+  l as (select export_id, regexp_replace(node_path, '/[^/]*$', '') as parent, j, coalesce(json_extract(j, '$.body'), 'null') as b from n where role = 'L' and json_type(j) = 'OBJECT')
+  select coalesce(nullif(r.host, ''), 'unknown') as host, coalesce(nullif(r.service, ''), s.scope, 'otel') as source, coalesce({_attribute('$.attributes', 'sourcetype')}, 'otel:logs') as sourcetype, coalesce({_attribute('$.attributes', 'index')}, 'main') as index,
+    case when json_type(b) = 'NULL' then '' else coalesce(json_extract_string(b, '$.stringValue'), json_extract_string(b, '$.string_value'), cast(b as varchar)) end as raw
+  from l join s on s.export_id = l.export_id and s.node_path = l.parent join r on r.export_id = s.export_id and r.node_path = s.parent"""
+
+
+@query(_CORE)
+def otlp_logs_core(spark, sf):
+    """The columns every event has, of each request's records."""
+    from loamlog.sources import otlp
+
+    return otlp.read_logs(table(spark, sf, "otlp_exports")).select("host", "source", "sourcetype", "index", "raw")
+
+
+@query("select event_id, raw, timestamp_ns, host, source from log_events where timestamp_ns <> 0")
+def otlp_logs_binary(spark, sf):
+    """Each log event as a request in its binary form, and read back."""
+    from loamlog.sources import otlp, otlp_wire
+
+    def to_wire(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                text = lambda key, value: {"key": key, "value": {"stringValue": value}}
+                record = {"timeUnixNano": row["timestamp_ns"], "body": None if row["raw"] is None else {"stringValue": row["raw"]}, "attributes": [{"key": "event_id", "value": {"intValue": row["event_id"]}}]}
+                resource = {"attributes": [text("host.name", row["host"]), text("service.name", row["source"])]}
+                out.append(otlp_wire.encode("LogsRequest", {"resourceLogs": [{"resource": resource, "scopeLogs": [{"logRecords": [record]}]}]}))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["body"])
+
+    rows = table(spark, sf, "log_events").where("timestamp_ns <> 0").select("event_id", "timestamp_ns", "raw", "host", "source")
+    got = otlp.read_logs(rows.mapInArrow(to_wire, "body binary"))
+    return got.select(text.attr_get(F.col("attributes"), "event_id").cast("long").alias("event_id"), "raw", "timestamp_ns", "host", "source")
+
+
 @query(_P2_RECORDS)
 def otlp_logs_explode(spark, sf):
     return nested.records(nested.flatten_exports(table(spark, sf, "otlp_exports")))

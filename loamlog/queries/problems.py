@@ -40,19 +40,19 @@ def p2_found(spark, sf):
 
 
 def p2_resources(spark, sf):
-    return nested.resources(nested.flatten_exports(table(spark, sf, "otlp_exports")))
+    return nested.flat_tables(table(spark, sf, "otlp_exports"))["resources"]
 
 
 def p2_scopes(spark, sf):
-    return nested.scopes(nested.flatten_exports(table(spark, sf, "otlp_exports")))
+    return nested.flat_tables(table(spark, sf, "otlp_exports"))["scopes"]
 
 
 def p2_records(spark, sf):
-    return nested.records(nested.flatten_exports(table(spark, sf, "otlp_exports")))
+    return nested.flat_tables(table(spark, sf, "otlp_exports"))["records"]
 
 
 def p2_attributes(spark, sf):
-    return nested.attributes(nested.flatten_exports(table(spark, sf, "otlp_exports")))
+    return nested.flat_tables(table(spark, sf, "otlp_exports"))["attributes"]
 
 
 def _changes(spark, sf):

@@ -1,4 +1,4 @@
-"""Export requests (logs and traces, as JSON) to canonical events.
+"""Export requests (logs and traces, as JSON or in their binary form) to canonical events.
 
 Values nest to any depth, which no fixed schema states, so requests are read by Arrow batches in
 Python; everything after that is columns.
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamlog.functions.text import nanos_to_micros
+from loamlog.sources.otlp_wire import decode
 
 EVENTS = "timestamp_ns long, host string, source string, sourcetype string, index string, raw string, attributes string"
 # Attributes that become columns, and names of numbered kinds.
@@ -147,17 +148,25 @@ def span_rows(request) -> Iterator[tuple]:
                 yield start or None, host, service, "otel:span", "main", name, _dump(attributes)
 
 
-def _read(rows: Callable):
+def _read(rows: Callable, message: str):
+    """Bodies of text are JSON; those of bytes the binary form."""
+
+    def request_of(body):
+        try:
+            if isinstance(body, bytes):
+                return decode(message, body)
+            found = json.loads(body) if body else None
+            return found if isinstance(found, dict) else None
+        except (ValueError, RecursionError):
+            return None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in EVENTS.split(", ")]
         for batch in batches:
             out = []
-            for text in batch.column(0).to_pylist():
-                try:
-                    request = json.loads(text) if text else None
-                except (ValueError, RecursionError):
-                    continue
-                if isinstance(request, dict):
+            for body in batch.column(0).to_pylist():
+                request = request_of(body)
+                if request is not None:
                     out += rows(request)
             if out:
                 columns = list(zip(*out))
@@ -172,11 +181,11 @@ def _events(rows: DataFrame) -> DataFrame:
 
 
 def read_logs(bodies: DataFrame, body: str = "body") -> DataFrame:
-    """Canonical events of log export requests. A null or unreadable request gives no event; a
+    """Canonical events of log export requests, JSON in a column of text or messages in one of bytes. A null or unreadable request gives no event; a
     record without a time gets the time of reading."""
-    return _events(bodies.select(body).mapInArrow(_read(log_rows), EVENTS))
+    return _events(bodies.select(body).mapInArrow(_read(log_rows, "LogsRequest"), EVENTS))
 
 
 def read_traces(bodies: DataFrame, body: str = "body") -> DataFrame:
-    """Canonical events of trace export requests, one a span."""
-    return _events(bodies.select(body).mapInArrow(_read(span_rows), EVENTS))
+    """Canonical events of trace export requests, one a span, in either form."""
+    return _events(bodies.select(body).mapInArrow(_read(span_rows, "TracesRequest"), EVENTS))

@@ -545,3 +545,24 @@ def test_admission_counts_bytes():
     with admission("batch", 1, 10**9), pytest.raises(facade.Refused), admission("batch", 0.05, 5):
         pass
     assert admission.reserved == {"interactive": 0, "batch": 0}
+
+
+def test_requests_in_their_binary_form(spark):
+    from loamlog.sources import otlp_wire as wire
+
+    record = {"timeUnixNano": "1500", "severityNumber": 9, "severityText": "INFO", "body": {"kvlistValue": {"values": [{"key": "a", "value": {"intValue": "-3"}}, {"key": "b", "value": {"arrayValue": {"values": [{"doubleValue": 1.5}, {"boolValue": True}, {"bytesValue": "AAE="}, {}]}}}]}}, "attributes": [{"key": "k", "value": {"stringValue": "ü"}}], "traceId": "0af7651916cd43dd8448eb211c80319c", "spanId": "b7ad6b7169203331", "observedTimeUnixNano": "7", "eventName": "e", "flags": 1, "droppedAttributesCount": 2}
+    logs_ = {"resourceLogs": [{"resource": {"attributes": [{"key": "host.name", "value": {"stringValue": "h"}}]}, "scopeLogs": [{"scope": {"name": "sc", "version": "1"}, "logRecords": [record, {}], "schemaUrl": "u"}]}]}
+    spans_ = {"resourceSpans": [{"resource": {"attributes": []}, "scopeSpans": [{"spans": [{"traceId": "ab" * 16, "spanId": "cd" * 8, "name": "op", "kind": 2, "startTimeUnixNano": "1000", "endTimeUnixNano": "4500", "status": {"code": 2}, "events": [{"name": "e", "timeUnixNano": "5"}]}]}]}]}
+    for read, message, request in ((otlp.read_logs, "LogsRequest", logs_), (otlp.read_traces, "TracesRequest", spans_)):
+        data = wire.encode(message, request)
+        bodies = spark.createDataFrame([(bytearray(data),), (None,), (bytearray(data[:-3]),), (bytearray(b"\xff\xff"),)], "body binary")
+        plain = spark.createDataFrame([(json.dumps(request),)], "body string")
+        got, want = ([r.asDict() for r in read(x).where("timestamp_ns < 10000").collect()] for x in (bodies, plain))
+        assert got == want and len(got) == 1
+    assert wire.decode("LogRecord", wire.encode("LogRecord", record)) == record
+    assert wire.decode("LogRecord", bytes([15 << 3, 1]) + wire.encode("LogRecord", {"flags": 3})) == {"flags": 3}  # a field it doesn't know
+    deep = {"stringValue": "x"}
+    for _ in range(60):
+        deep = {"arrayValue": {"values": [deep]}}
+    with pytest.raises(wire.Malformed):
+        wire.decode("AnyValue", wire.encode("AnyValue", deep))
