@@ -23,6 +23,7 @@ LEVELS = {
     "I": "INFO", "W": "WARN", "E": "ERROR", "F": "FATAL",
 }
 SEVERITIES = ["FATAL", "FATAL", "FATAL", "ERROR", "WARN", "INFO", "INFO", "DEBUG"]
+MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
 COLOUR = r"\x1b\[[0-9;]*m"
 
 _DATE, _CLOCK, _ZONE = r"\d{4}-\d\d-\d\d", r"\d\d:\d\d:\d\d", r"(?:Z|[+-]\d\d:?\d\d)"
@@ -76,18 +77,25 @@ def _epoch(text: Column) -> Column:
     return F.floor(F.when(F.abs(n) >= 10**17, n / 1000).when(F.abs(n) >= 10**14, n).when(F.abs(n) >= 10**11, n * 1000).otherwise(n * 1000000)).cast("long")
 
 
+def _month(name: Column) -> Column:
+    """Two digits; 00 for what is no month."""
+    return F.lpad(F.floor((F.instr(F.lit(MONTHS), name) + 2) / 3).cast("string"), 2, "0")
+
+
 def _micros(kind: str, text: Column, received: Column) -> Column:
+    """Micros of a time as a layout writes it, put into ISO order first; null if it doesn't exist."""
     if kind in ("iso", "syslog"):
-        return F.unix_micros(F.replace(text, F.lit(","), F.lit(".")).try_cast("timestamp"))
-    if kind == "access":
-        return F.unix_micros(F.try_to_timestamp(text, F.lit("dd/MMM/yyyy:HH:mm:ss Z")))
-    if kind == "slashed":
-        return F.unix_micros(F.try_to_timestamp(text, F.lit("yyyy/MM/dd HH:mm:ss")))
-    year = F.date_format(received, "yyyy")
-    if kind == "bsd":
-        return F.unix_micros(F.try_to_timestamp(F.concat_ws(" ", year, F.regexp_replace(text, " +", " ")), F.lit("yyyy MMM d HH:mm:ss")))
-    # month, day and a clock with a fraction of any length
-    iso = F.concat(year, F.lit("-"), text.substr(1, 2), F.lit("-"), text.substr(3, 2), text.substr(5, 40))
+        iso = F.replace(text, F.lit(","), F.lit("."))
+    elif kind == "access":  # 01/Mar/2026:10:00:00 +0000
+        iso = F.concat(text.substr(8, 4), F.lit("-"), _month(text.substr(4, 3)), F.lit("-"), text.substr(1, 2), F.lit("T"), text.substr(13, 8), text.substr(22, 3), F.lit(":"), text.substr(25, 2))
+    elif kind == "slashed":
+        iso = F.replace(text, F.lit("/"), F.lit("-"))
+    else:
+        year = F.date_format(received, "yyyy")
+        if kind == "bsd":  # Mar  1 10:00:00
+            iso = F.concat(year, F.lit("-"), _month(text.substr(1, 3)), F.lit("-"), F.lpad(F.trim(text.substr(5, 2)), 2, "0"), F.lit("T"), text.substr(8, 8))
+        else:  # month, day and a clock with a fraction of any length
+            iso = F.concat(year, F.lit("-"), text.substr(1, 2), F.lit("-"), text.substr(3, 2), text.substr(5, 40))
     return F.unix_micros(iso.try_cast("timestamp"))
 
 
@@ -95,51 +103,77 @@ def _first_json(text: Column, keys: list[str]) -> Column:
     return F.coalesce(*[F.get_json_object(text, f"$['{k}']") for k in keys])
 
 
+def _first_member(value: Column, keys: list[str]) -> Column:
+    return F.coalesce(*[F.try_variant_get(value, f"$['{k}']", "string") for k in keys])
+
+
 def _first_pair(text: Column, keys: list[str]) -> Column:
     found = F.regexp_extract(text, rf'(?:^| )(?:{"|".join(keys)})=("(?:[^"\\]|\\.)*"|[^\s"]*)', 1)
     return F.regexp_replace(found, '^"|"$', "")
 
 
-def header(raw: Column, received: Column) -> Column:
-    """struct(layout, ts_us, level, component, skip) of a line that begins an entry, else null.
+def _choose(cases: list[tuple[Column, Column]]) -> Column:
+    out = None
+    for test, value in cases:
+        out = F.when(test, value) if out is None else out.when(test, value)
+    return out
+
+
+def parsed(df: DataFrame) -> DataFrame:
+    """Adds ``head``, struct(layout, ts_us, level, component, skip), to lines with raw and event_time:
+    null for a line that begins no entry. ``skip``: characters (colour codes removed) before the
+    message; -1 if it is a member's value.
 
-    ``skip``: characters (colour codes removed) before the message; -1 if it is a member's value.
+    In steps, each of which is computed once: the text, its layout, the layout's groups, what they
+    mean.
     """
-    text = F.regexp_replace(raw, COLOUR, "")
-    none = F.lit("")
-    struct = None
-    for lay in LAYOUTS:
-        get = lambda i: F.regexp_extract(text, "^" + lay.pattern, i) if i else none  # noqa: B023, E731
-        level = _severity(get(lay.level)) if lay.kind in ("syslog", "bsd") else _level(get(lay.level)) if lay.level else none
-        component = get(lay.component)
-        if lay.name == "syslog":
-            component = F.when(component == "-", "").otherwise(component)
-        one = F.struct(F.lit(lay.name).alias("layout"), _micros(lay.kind, get(lay.time), received).alias("ts_us"), level.alias("level"), component.alias("component"), F.length(F.regexp_extract(text, "^" + lay.pattern, 0)).alias("skip"))
-        struct = F.when(text.rlike("^" + lay.pattern), one) if struct is None else struct.when(text.rlike("^" + lay.pattern), one)
-    when = _first_json(text, TIME_KEYS)
-    as_json = F.struct(F.lit("json").alias("layout"), F.coalesce(_epoch(when), F.unix_micros(when.try_cast("timestamp"))).alias("ts_us"), _level(_first_json(text, LEVEL_KEYS)).alias("level"), F.coalesce(_first_json(text, COMPONENT_KEYS), none).alias("component"), F.lit(-1).alias("skip"))
-    struct = struct.when(text.startswith("{") & F.try_parse_json(text).isNotNull() & when.isNotNull(), as_json)
+    raw = F.coalesce("raw", F.lit(""))
+    rows = df.withColumn("__text", F.when(F.contains(raw, F.lit("\x1b")), F.regexp_replace(raw, COLOUR, "")).otherwise(raw))
+    text, none = F.col("__text"), F.lit("")
+    rows = rows.withColumn("__json", F.when(text.startswith("{"), F.try_parse_json(text)))
+    layout = _choose([(text.rlike("^" + lay.pattern), F.lit(lay.name)) for lay in LAYOUTS])
+    rows = rows.withColumn("__layout", layout.when(F.col("__json").isNotNull(), "json").when(text.rlike(rf"^{_PAIR}(?: +{_PAIR})*\s*$"), "pairs"))
+    name = F.col("__layout")
     bare = F.regexp_replace(text, r'(^| )(msg|message)="(?:[^"\\]|\\.)*"', "$1$2=")
-    when = _first_pair(bare, TIME_KEYS)
-    as_pairs = F.struct(F.lit("pairs").alias("layout"), F.coalesce(_epoch(when), F.unix_micros(when.try_cast("timestamp"))).alias("ts_us"), _level(_first_pair(bare, LEVEL_KEYS)).alias("level"), _first_pair(bare, COMPONENT_KEYS).alias("component"), F.lit(-1).alias("skip"))
-    struct = struct.when(text.rlike(rf"^{_PAIR}(?: +{_PAIR})*\s*$") & (when != ""), as_pairs)
-    return struct
+    rows = rows.withColumn("__bare", F.when(name == "pairs", bare))
+
+    def part(of, keys: list[str]) -> Column:
+        cases = [(name == lay.name, F.regexp_extract(text, "^" + lay.pattern, of(lay))) for lay in LAYOUTS if of(lay)]
+        return _choose([*cases, (name == "json", _first_member(F.col("__json"), keys)), (name == "pairs", _first_pair(F.col("__bare"), keys))])
+
+    rows = rows.withColumns({"__when": part(lambda x: x.time, TIME_KEYS), "__level": part(lambda x: x.level, LEVEL_KEYS), "__component": part(lambda x: x.component, COMPONENT_KEYS)})
+    when, by_kind = F.col("__when"), {k: [lay.name for lay in LAYOUTS if lay.kind == k] for k in dict.fromkeys(lay.kind for lay in LAYOUTS)}
+    free = F.coalesce(_epoch(when), F.unix_micros(when.try_cast("timestamp")))
+    micros = _choose([*[(name.isin(names), _micros(kind, when, F.col("event_time"))) for kind, names in by_kind.items()], (name.isNotNull(), free)])
+    priority = name.isin([lay.name for lay in LAYOUTS if lay.kind in ("syslog", "bsd")])
+    component = F.when((name == "syslog") & (F.col("__component") == "-"), none).otherwise(F.coalesce("__component", none))
+    skip = _choose([(name == lay.name, F.length(F.regexp_extract(text, "^" + lay.pattern, 0))) for lay in LAYOUTS]).otherwise(-1)
+    head = F.struct(name.alias("layout"), F.col("__us").alias("ts_us"), F.when(priority, _severity(F.col("__level"))).otherwise(_level(F.coalesce("__level", none))).alias("level"), component.alias("component"), skip.alias("skip"))
+    rows = rows.withColumn("__us", micros)
+    return rows.withColumn("head", F.when(F.col("__us").isNotNull(), head)).drop("__text", "__json", "__layout", "__bare", "__when", "__level", "__component", "__us")
+
+
+def _at() -> Column:
+    # a line without a number stands after all others, each one for itself
+    return F.coalesce("line_no", F.lit(1 << 62) + F.col("event_id"))
 
 
 def once(df: DataFrame) -> DataFrame:
     """Each line once, of whatever layout: host, source, at, event_id, event_time, raw."""
     has = F.struct("event_id", "event_time", "raw")
-    # a line without a number stands after all others, each one for itself
-    at = F.coalesce("line_no", F.lit(1 << 62) + F.col("event_id"))
-    lines = df.select("host", "source", at.alias("at"), "event_id", "event_time", "raw").groupBy("host", "source", "at").agg(F.min_by(has, "event_id").alias("x"))
+    lines = df.select("host", "source", _at().alias("at"), "event_id", "event_time", "raw").groupBy("host", "source", "at").agg(F.min_by(has, "event_id").alias("x"))
     return lines.select("host", "source", "at", "x.*")
 
 
 def _lines(df: DataFrame, text: bool) -> DataFrame:
-    """Each line once, with its block and, if it begins an entry, its header."""
-    rows = once(df).withColumn("head", header(F.coalesce("raw", F.lit("")), F.col("event_time")))
-    head = F.when(F.col("head.ts_us").isNotNull(), F.struct("at", "event_id", "head"))
-    return rows.select("host", "source", "at", F.floor(F.col("at") / LINES_A_BLOCK).alias("block"), "event_id", *(["raw"] if text else []), head.alias("begin"))
+    """Each line once, with its block and, if it begins an entry, its header. Lines are read before
+    they are brought together: what is shuffled is what was read, and their texts only if wanted;
+    copies of a line meet in their tasks first."""
+    rows = parsed(df.select("host", "source", _at().alias("at"), "event_id", "event_time", "raw"))
+    begin = F.when(F.col("head").isNotNull(), F.struct("at", "event_id", "head" if text else F.struct("head.ts_us", "head.level", "head.component").alias("head")))
+    first = F.min(F.struct("event_id", begin.alias("begin"), *(["raw"] if text else [])))
+    lines = rows.groupBy("host", "source", "at").agg(first.alias("x"))
+    return lines.select("host", "source", "at", F.floor(F.col("at") / LINES_A_BLOCK).alias("block"), "x.event_id", *(["x.raw"] if text else []), "x.begin")
 
 
 def assigned(df: DataFrame, text: bool = False) -> DataFrame:

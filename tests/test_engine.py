@@ -552,7 +552,7 @@ def test_requests_in_their_binary_form(spark):
 
     record = {"timeUnixNano": "1500", "severityNumber": 9, "severityText": "INFO", "body": {"kvlistValue": {"values": [{"key": "a", "value": {"intValue": "-3"}}, {"key": "b", "value": {"arrayValue": {"values": [{"doubleValue": 1.5}, {"boolValue": True}, {"bytesValue": "AAE="}, {}]}}}]}}, "attributes": [{"key": "k", "value": {"stringValue": "ü"}}], "traceId": "0af7651916cd43dd8448eb211c80319c", "spanId": "b7ad6b7169203331", "observedTimeUnixNano": "7", "eventName": "e", "flags": 1, "droppedAttributesCount": 2}
     logs_ = {"resourceLogs": [{"resource": {"attributes": [{"key": "host.name", "value": {"stringValue": "h"}}]}, "scopeLogs": [{"scope": {"name": "sc", "version": "1"}, "logRecords": [record, {}], "schemaUrl": "u"}]}]}
-    spans_ = {"resourceSpans": [{"resource": {"attributes": []}, "scopeSpans": [{"spans": [{"traceId": "ab" * 16, "spanId": "cd" * 8, "name": "op", "kind": 2, "startTimeUnixNano": "1000", "endTimeUnixNano": "4500", "status": {"code": 2}, "events": [{"name": "e", "timeUnixNano": "5"}]}]}]}]}
+    spans_ = {"resourceSpans": [{"resource": {"attributes": []}, "scopeSpans": [{"spans": [{"traceId": "ab" * 16, "spanId": "cd" * 8, "name": "op", "kind": 2, "startTimeUnixNano": "1000", "endTimeUnixNano": "4500", "status": {"code": 2}, "events": [{"timeUnixNano": "5", "name": "e"}]}]}]}]}
     for read, message, request in ((otlp.read_logs, "LogsRequest", logs_), (otlp.read_traces, "TracesRequest", spans_)):
         data = wire.encode(message, request)
         bodies = spark.createDataFrame([(bytearray(data),), (None,), (bytearray(data[:-3]),), (bytearray(b"\xff\xff"),)], "body binary")

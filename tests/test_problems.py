@@ -367,6 +367,45 @@ def test_templates_are_chosen_by_the_longest_common_subsequence():
     assert n_covered > 300 and any(templates.SLOT in t.tokens for t in clusters.templates)
 
 
+def test_templates_do_not_depend_on_how_entries_are_spread(spark, sf):
+    lines = table(spark, sf, "log_events").select("event_id", "raw").union(spark.createDataFrame([(10**9 + i, f"job j{i % 7} on 10.0.0.{i % 5} took {i} ms as {['INFO', 'WARN', 'ERROR'][i % 3]} by {'abc'[i % 3]}x") for i in range(90)], "event_id long, raw string"))
+    seen = []
+    for n in (1, 8, 64):
+        placed, summary = templates.mine(lines.repartition(n), shard=300)
+        seen.append((sorted(tuple(r) for r in placed.collect()), sorted(tuple(r) for r in summary.collect())))
+    assert seen[0] == seen[1] == seen[2]
+    assert len(seen[0][0]) == lines.count() == sum(r[1] for r in seen[0][1])
+    assert [r[1:3] for r in seen[0][1] if r[0].startswith("job ")] == [(90, "text,address,number,level,text")]
+
+
+def test_templates_like_one_plain_pass(spark):
+    """In a single shard the rounds are one pass over the patterns, the frequent ones first."""
+    import random
+    from collections import Counter
+
+    r = random.Random(3)
+    texts = [" ".join(["start", r.choice("abc"), "of", r.choice(["x", "y"]), r.choice(["run", "walk"]), str(r.randint(1, 9))][: r.randint(2, 6)]) for _ in range(300)]
+    placed, _ = templates.mine(spark.createDataFrame(list(enumerate(texts)), "event_id long, raw string").repartition(5))
+    found, plain = {}, []
+    counts = Counter(" ".join(templates.tokens_of(t)) for t in texts)
+    for p in sorted(counts, key=lambda p: (-counts[p], p)):
+        tokens = p.split(" ")
+        best, at = (0, False), -1
+        for i, t in enumerate(plain):
+            length = len(templates.common(t, tokens))
+            size = sum(x != templates.SLOT for x in t)
+            one = length, templates.covers(templates.Template(t).blocks, tokens)
+            if length >= templates.SHARE * max(len(tokens), size) and one > best:
+                best, at = one, i
+        if at < 0:
+            at = len(plain)
+            plain.append(tokens)
+        elif not best[1]:
+            plain[at] = templates.merge(plain[at], tokens)
+        found[p] = at
+    assert {row["event_id"]: row["template"] for row in placed.collect()} == {i: " ".join(plain[found[" ".join(templates.tokens_of(t))]]) for i, t in enumerate(texts)}
+
+
 def test_common_subsequence_and_merge():
     assert templates.common(list("abcd"), list("axcyd")) == list("acd")
     assert templates.merge("a b c".split(), "a x c d".split()) == ["a", templates.SLOT, "c", templates.SLOT]
