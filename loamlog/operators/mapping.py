@@ -189,17 +189,47 @@ def resolve(templates: list[Template], index_id: str) -> IndexConfig | None:
 
 
 class Registry:
-    """Index configurations by id, changed only by who knows the current one's tag."""
-
-    def __init__(self):
-        self.configs: dict[str, IndexConfig] = {}
+    """Index configurations by id, changed only by who knows the current one's tag. With a ``store``
+    they are durable: each change is a file created once, so of two writers one is refused."""
+
+    def __init__(self, store=None):
+        self.store, self.configs = store, {}
+        for index_id in store.folders("indexes") if store else []:
+            if (now := self._stored(index_id)[1]) is not None:
+                self.configs[index_id] = now
+
+    def _stored(self, index_id: str) -> tuple[int, IndexConfig | None]:
+        versions = sorted(int(n[:-5]) for n, _, _ in self.store.names(f"indexes/{index_id}") if n.endswith(".json"))
+        if not versions:
+            return 0, None
+        found = json.loads(self.store.read(f"indexes/{index_id}/{versions[-1]}.json"))
+        return versions[-1], None if found is None else IndexConfig(**(found | {"fields": [Field(**f) for f in found["fields"]]}))
+
+    def _write(self, index_id: str, config: IndexConfig | None, known: IndexConfig | None) -> None:
+        if self.store:
+            version, now = self._stored(index_id)
+            if (now and now.etag()) != (known and known.etag()) or not self.store.create(f"indexes/{index_id}/{version + 1}.json", json.dumps(config and asdict(config))):
+                raise MappingError("the index was changed by someone else")
+        if config is None:
+            del self.configs[index_id]
+        else:
+            self.configs[index_id] = config
 
     def create(self, config: IndexConfig) -> str:
         if config.index_id in self.configs:
             raise MappingError(f"the index {config.index_id} exists")
-        self.configs[config.index_id] = config.validate()
+        self._write(config.index_id, config.validate(), None)
         return config.etag()
 
+    def get_or_create(self, index_id: str, templates: list[Template]) -> IndexConfig:
+        """The index events are ingested into: made by the template that matches, if there is none yet."""
+        if index_id not in self.configs:
+            config = resolve(templates, index_id)
+            if config is None:
+                raise KeyError(index_id)
+            self.create(config)
+        return self.configs[index_id]
+
     def _check(self, index_id: str, if_match: str) -> IndexConfig:
         now = self.configs.get(index_id)
         if now is None:
@@ -209,9 +239,9 @@ class Registry:
         return now
 
     def update(self, config: IndexConfig, if_match: str) -> str:
-        self.configs[config.index_id] = self._check(config.index_id, if_match).evolve(config)
+        now = self._check(config.index_id, if_match)
+        self._write(config.index_id, now.evolve(config), now)
         return config.etag()
 
     def delete(self, index_id: str, if_match: str) -> None:
-        self._check(index_id, if_match)
-        del self.configs[index_id]
+        self._write(index_id, None, self._check(index_id, if_match))

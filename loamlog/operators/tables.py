@@ -33,6 +33,14 @@ def register(spark: SparkSession, view: str) -> None:
       RETURN SELECT DISTINCT CASE dim {cases} ELSE raise_error(concat('no dimension ', dim)) END FROM {view}""")
 
 
+def integer_average(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """The mean of whole numbers from their exact sum and non-null count, with ``exact``: whether the
+    sum of absolute values stays within 2^53, so that summing doubles in any order gives the same."""
+    whole = F.sum(F.col(column).cast("decimal(38,0)"))
+    parts = df.groupBy(*keys).agg(whole.alias("__s"), F.count(column).alias("__n"), F.sum(F.abs(F.col(column).cast("decimal(38,0)"))).alias("__a"))
+    return parts.select(*keys, (F.col("__s").cast("double") / F.nullif(F.col("__n"), F.lit(0))).alias("mean"), F.col("__n").alias("n"), F.coalesce(F.col("__a") <= F.lit(2**53), F.lit(True)).alias("exact"))
+
+
 def date_histogram(df: DataFrame, time: str, interval_us: int) -> DataFrame:
     """Rows of each bin of time: (bucket_us, n). Bins lie around 1970, also before it."""
     return df.groupBy(F.unix_micros(date_bin(interval_us, F.col(time))).alias("bucket_us")).agg(F.count("*").alias("n"))

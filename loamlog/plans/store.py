@@ -45,13 +45,30 @@ class Store:
         finally:
             stream.close()
 
-    def _write(self, name: str, text: str) -> None:
+    def read_bytes(self, name: str) -> bytes:
+        stream = self._fs.open(self.path(name))
+        try:
+            return bytes(self._io.toByteArray(stream))
+        finally:
+            stream.close()
+
+    def _write(self, name: str, text: str | bytes) -> None:
         stream = self._fs.create(self.path(name), False)  # fails if it is there
         try:
-            stream.write(bytearray(text.encode()))
+            stream.write(bytearray(text.encode() if isinstance(text, str) else text))
         finally:
             stream.close()
 
+    def put(self, name: str, data: str | bytes) -> None:
+        """Writes the file beside and moves it into place, in place of an older one."""
+        beside = f"_tmp/{uuid.uuid4().hex}"
+        self._write(beside, data)
+        self._fs.mkdirs(self.path(name).getParent())
+        if not self._fs.rename(self.path(beside), self.path(name)):  # file systems whose renaming doesn't replace
+            self.delete(name)
+            if not self._fs.rename(self.path(beside), self.path(name)):
+                raise OSError(f"{name} could not be written")
+
     def create(self, name: str, text: str) -> bool:
         """Writes the file unless it exists; whether it did. The whole text or nothing appears: it is
         written beside and renamed by whoever holds the name's claim, a file created exclusively

@@ -657,3 +657,287 @@ def grouped_avg(spark, sf):
     parts = rows.groupBy("user_id", F.spark_partition_id().alias("part")).agg(F.sum(F.col("value").cast("decimal(18,4)")).alias("s"), F.count("value").alias("k"), F.count("*").alias("n"))
     whole = parts.groupBy("user_id").agg(F.sum("s").alias("s"), F.sum("k").alias("k"), F.sum("n").alias("n"))
     return whole.select("user_id", (F.col("s").cast("double") / F.nullif(F.col("k"), F.lit(0))).alias("mean"), "n")
+
+
+# Folders, segments and registries
+
+
+@query("select l_returnflag, l_shipmode, count(*) as n from (select l_returnflag, case when l_orderkey % 2 = 0 then 'even' end as l_shipmode from lineitem) group by all")
+def folder_table(spark, sf):
+    """Files of differing columns at differing depths below one folder."""
+    from loamlog.sources import folder
+
+    path = scratch.new_path(spark, "folder")
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_returnflag")
+    rows.where("l_orderkey % 2 = 0").withColumn("l_shipmode", F.lit("even")).write.parquet(f"{path}/a/b/c")
+    rows.where("l_orderkey % 2 = 1").write.parquet(f"{path}/d")
+    return folder.parquet_folder(spark, path).groupBy("l_returnflag", "l_shipmode").agg(F.count("*").alias("n"))
+
+
+@query("select count(*) as n, count(*) as n_distinct, true as even from events")
+def file_packing(spark, sf):
+    """The files of a table in four parts of about equal size: each file in one of them."""
+    from loamlog.sources import folder
+
+    path = scratch.new_path(spark, "folder")
+    table(spark, sf, "events").repartition(23, "user_id").write.parquet(path)
+    sizes = {r["path"]: r["n_bytes"] for r in folder.listing(spark, path).collect()}
+    parts = folder.packed(sizes.items(), 4)
+    weights = [sum(sizes[f] for f in p) for p in parts]
+    rows = spark.read.parquet(*parts[0])
+    for p in parts[1:]:
+        rows = rows.unionByName(spark.read.parquet(*p))
+    return rows.agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("n_distinct")).withColumn("even", F.lit(max(weights) - min(weights) <= max(sizes.values())))
+
+
+@query("select event_id, event_type, 1 as n_times from events")
+def wal_segments_consumed(spark, sf):
+    """Rows through a producer's sealed segments and a consumer that dies between reading and its commit."""
+    from loamlog.streaming import ingest
+
+    segments = ingest.Segments(scratch.new_path(spark, "wal"), spark)
+    producer = ingest.Producer(segments, "p", rows=1000)
+    for row in range(0, 1):
+        producer.append(table(spark, sf, "events").select("event_id", "event_type").toArrow(), now=float(row))
+    producer.flush()
+    seen, crashed = [], False
+    while names := segments.open("reader").poll(3):
+        rows = segments.open("reader").read(spark, names)
+        if not crashed:
+            crashed = True  # read, but not committed: polled again
+            continue
+        seen.append(scratch.materialise(rows, "read"))
+        segments.open("reader").commit(names[-1])
+    whole = seen[0]
+    for rows in seen[1:]:
+        whole = whole.unionByName(rows)
+    return whole.groupBy("event_id", "event_type").agg(F.count("*").alias("n_times"))
+
+
+@query("select name, state from (values ('s-0', 'committed'), ('s-1', 'sealed'), ('s-2', 'claimed'), ('s-3', 'sealed')) t(name, state)")
+def wal_lifecycle(spark, sf):
+    """Claimed by one, finished, released, and a claim that ran out."""
+    import pyarrow as pa
+
+    from loamlog.streaming import ingest
+
+    segments = ingest.Segments(scratch.new_path(spark, "wal"), spark)
+    for i in range(4):
+        segments.seal(f"s-{i}", pa.table({"id": [i]}))
+    assert segments.claim("a", 2, now=0) == ["s-0", "s-1"] and segments.claim("b", 2, now=0) == ["s-2", "s-3"]
+    segments.finish("s-0", "a")
+    segments.release("s-1", "a")
+    assert segments.claim("c", 1, now=400) == ["s-1"]  # b's claims ran out, s-1 comes first
+    segments.release("s-1", "c")
+    assert segments.claim("c", 2, now=400) == ["s-1", "s-2"]
+    segments.release("s-1", "c")
+    return spark.createDataFrame([(n, segments.state(n, now=450)) for n in segments.names()], "name string, state string")
+
+
+@query("select * from (values ('by rows', 4096), ('by rows', 4096), ('by age', 100), ('by flush', 7)) t(why, n_rows)")
+def wal_seal_thresholds(spark, sf):
+    """Segments are sealed at 4096 rows or after five seconds."""
+    import pyarrow as pa
+
+    from loamlog.streaming import ingest
+
+    segments = ingest.Segments(scratch.new_path(spark, "wal"), spark)
+    producer = ingest.Producer(segments, "p")
+    rows = lambda n: pa.table({"id": list(range(n))})
+    out = [("by rows", n) for n in producer.append(rows(8292), now=0.0)]
+    out += [("by age", n) for n in producer.tick(4.9) + producer.tick(5.0)]
+    producer.append(rows(7), now=6.0)
+    out += [("by flush", n) for n in producer.flush()]
+    return spark.createDataFrame([(why, segments.read(n).num_rows) for why, n in out], "why string, n_rows long")
+
+
+@query("select * from (values ('create', 'ok'), ('create again', 'refused'), ('stale update', 'refused'), ('update', 'ok'), ('reopened', '3 fields'), ('stale writer', 'refused'), ('from template', '2 fields'), ('delete', 'ok'), ('after delete', 'none')) t(step, outcome)")
+def index_registry(spark, sf):
+    """Index configurations changed by who knows their tag, kept in files."""
+    from loamlog.plans.store import Store
+
+    f, store = mapping.Field, Store(spark, scratch.new_path(spark, "registry"))
+    one = mapping.IndexConfig("logs", [f("timestamp", "datetime", True), f("raw", "text")])
+    two = mapping.IndexConfig("logs", [*one.fields, f("status", "long")])
+    registry, stale = mapping.Registry(store), mapping.Registry(store)
+    out = []
+
+    def step(name, work, outcome="ok"):
+        try:
+            got = work()
+            out.append((name, outcome(got) if callable(outcome) else outcome))
+        except mapping.MappingError:
+            out.append((name, "refused"))
+
+    step("create", lambda: registry.create(one))
+    step("create again", lambda: registry.create(one))
+    stale.configs["logs"] = one
+    step("stale update", lambda: registry.update(two, '"old"'))
+    step("update", lambda: registry.update(two, one.etag()))
+    step("reopened", lambda: mapping.Registry(store).configs["logs"].fields, lambda x: f"{len(x)} fields")
+    step("stale writer", lambda: stale.update(two, one.etag()))
+    step("from template", lambda: registry.get_or_create("logs-web", [mapping.Template("t", ["logs-*"], 1, one.fields)]).fields, lambda x: f"{len(x)} fields")
+    step("delete", lambda: registry.delete("logs", two.etag()))
+    step("after delete", lambda: mapping.Registry(store).configs.get("logs"), lambda x: "none" if x is None else "there")
+    return spark.createDataFrame(out, "step string, outcome string")
+
+
+# Summaries, promotion and the life of a lake
+
+
+def _summed(spark, sf):
+    from loamlog.sources.lake import Lake
+
+    lake = Lake(spark, scratch.new_path(spark, "lake"), dimensions=("host", "sourcetype"), measures=("number", "value"))
+    rows = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("timestamp"), F.concat(F.lit("host-"), (F.col("user_id") % 16).cast("string")).alias("host"), F.col("event_type").alias("sourcetype"), F.col("event_id").alias("number"), "value", F.col("props").alias("attributes"))
+    for i in range(3):
+        lake.append(rows.where(F.pmod(F.xxhash64("number"), F.lit(3)) == i))
+    lake.delete("sourcetype = 'error' and host = 'host-3'")
+    return lake
+
+
+_KEPT = "from (select *, 'host-' || (user_id % 16) as host from events) where not (event_type = 'error' and host = 'host-3')"
+
+
+@query(f"select host as value, count(*) as n {_KEPT} group by 1")
+def lake_group_counts(spark, sf):
+    """Counts from the summaries written with the files, a deletion in between."""
+    return _summed(spark, sf).group_counts("host")
+
+
+@query(f"select epoch_us(time_bucket(interval 6 hours, ts)) as bucket_us, count(*) as n {_KEPT} group by 1")
+def lake_histogram(spark, sf):
+    return _summed(spark, sf).histogram(6 * 3_600_000_000)
+
+
+@query(f"select event_type as value, count(*) as n, count(event_id) as non_null, cast(sum(event_id) as double) as total {_KEPT} group by 1")
+def lake_grouped_numeric(spark, sf):
+    return _summed(spark, sf).grouped_numeric("sourcetype", "number").drop("mean")
+
+
+@query(f"select event_id as number {_KEPT} order by event_id desc limit 100")
+def lake_top_numeric(spark, sf):
+    """The largest values from the files whose bounds allow them."""
+    return _summed(spark, sf).top_numeric("number", 100).select("number")
+
+
+@query(f"select cast(props->>'k' as bigint) as k, count(*) as n {_KEPT} group by 1")
+def lake_backfill(spark, sf):
+    """An attribute that most rows have becomes a column, also of rows written before."""
+    lake = _summed(spark, sf)
+    lake.backfill({key: (key, "long") for key in lake.hot_keys()})
+    return lake.read().groupBy("k").agg(F.count("*").alias("n"))
+
+
+@query("select count(*) as n, true as gap_refused, true as orphans_found, 0 as orphans_left, 1 as n_versions from events")
+def lake_expiry(spark, sf):
+    """Versions are forgotten, a cursor behind them is refused, files no version names are collected."""
+    from loamlog.sources.lake import Cursor, HistoryGap
+
+    lake = _lake(spark, sf)
+    lake.compact()
+    lake.expire(1)
+    try:
+        lake.poll(Cursor(version=1))
+        refused = False
+    except HistoryGap:
+        refused = True
+    found = lake.collect_garbage(1 << 62, dry_run=True)
+    lake.collect_garbage(1 << 62, dry_run=False)
+    return lake.read().agg(F.count("*").alias("n")).select("n", F.lit(refused).alias("gap_refused"), F.lit(bool(found)).alias("orphans_found"), F.lit(len(lake.orphans(1 << 62))).alias("orphans_left"), F.lit(len(lake.versions())).alias("n_versions"))
+
+
+@query("select event_type, cast(sum(event_id) as double) / count(event_id) as mean, count(event_id) as n, sum(abs(event_id)) <= 9007199254740992 as exact from events group by 1 union all select 'wide', cast(sum(cast(event_id as hugeint) * 1000000000000) as double) / count(event_id), count(event_id), sum(cast(event_id as hugeint) * 1000000000000) <= 9007199254740992 from events")
+def integer_average(spark, sf):
+    rows = table(spark, sf, "events")
+    wide = rows.select(F.lit("wide").alias("event_type"), (F.col("event_id") * 1000000000000).alias("event_id"))
+    return tables.integer_average(rows, ["event_type"], "event_id").unionByName(tables.integer_average(wide, ["event_type"], "event_id"))
+
+
+# What the façade tells and refuses
+
+
+@query(f"with {_LOGS} select raw, host from logs")
+def facade_arrow(spark, sf):
+    return spark.createDataFrame(_engine(spark, sf).arrow("select raw, host from events"))
+
+
+@query(f"with {_LOGS} select epoch_us(timestamp) as us from logs order by timestamp desc limit 40")
+def facade_newest_first(spark, sf):
+    """Rows without a stated order come newest first."""
+    rows = _engine(spark, sf).sql("select timestamp, raw from events", {"max_rows_returned": 40})["rows"]
+    return spark.createDataFrame([(r["timestamp"],) for r in rows], "t string").select(F.unix_micros(F.col("t").cast("timestamp")).alias("us"))
+
+
+@query("select * from (values ('unknown limit', 'refused'), ('bytes', 'refused'), ('bytes, row-limited', 'scan'), ('rows scanned', 'refused'), ('rows returned', 'truncated'), ('again', 'result_cache'), ('after an append', 'scan'), ('function', 'refused'), ('file', 'refused'), ('foreign view', 'refused'), ('too many', 'refused'), ('explained', 'plan')) t(case_, outcome)")
+def facade_limits(spark, sf):
+    """What is refused, cut off, kept or served again."""
+    from loamlog.engine import Admission, Engine, Refused
+    from loamlog.sources.lake import Lake
+
+    lake = Lake(spark, scratch.new_path(spark, "lake"))
+    lake.append(logs(table(spark, sf, "events")))
+    engine = Engine(spark, {}, search_fields={"events": ["raw"]}, lakes={"events": lake})
+    spark.range(1).createOrReplaceTempView("foreign_view")
+    out = []
+
+    def case(name, sql, limits=None, outcome=None):
+        try:
+            got = engine.sql(sql, limits)
+            out.append((name, outcome(got) if outcome else got["served_by"]))
+        except Refused:
+            out.append((name, "refused"))
+
+    count = "select count(*) as n from events where raw <> ''"
+    case("unknown limit", count, {"max_rows": 1})
+    case("bytes", count, {"max_bytes_scanned": 1})
+    case("bytes, row-limited", "select raw from events limit 3", {"max_bytes_scanned": 1})
+    case("rows scanned", "select count(*) as m from events where raw <> 'x'", {"max_rows_scanned": 10})
+    case("rows returned", "select raw from events", {"max_rows_returned": 5}, lambda a: "truncated" if a["truncated"] and len(a["rows"]) == 5 else "whole")
+    engine.sql(count)
+    case("again", count)
+    lake.append(logs(table(spark, sf, "events")).limit(3))
+    case("after an append", count)
+    case("function", "select reflect('java.lang.System', 'getProperty', 'user.dir') from events")
+    case("file", "select * from csv.`/etc/hostname`")
+    case("foreign view", "select * from foreign_view")
+    engine.admission = Admission(0)
+    case("too many", "select 1 as other", {"timeout_seconds": 0.05})
+    out.append(("explained", "plan" if "Scan" in engine.explain(count) else "none"))
+    return spark.createDataFrame(out, "case_ string, outcome string")
+
+
+@query("select event_type as value, count(*) as n from events group by 1")
+def facade_typed_counts(spark, sf):
+    """Counts of a dimension's values in their own type."""
+    rows = _engine(spark, sf).sql("select sourcetype as value, count(*) as n from events group by sourcetype")["rows"]
+    return spark.createDataFrame([(r["value"], r["n"]) for r in rows], "value string, n long")
+
+
+@query("select n_rows, 10 as n_returned from (select count(*) as n_rows from events)")
+def limit_any(spark, sf):
+    """Any ten rows: which ones is not defined, that they are ten different rows of the table is."""
+    rows = table(spark, sf, "events")
+    ten = scratch.materialise(rows.select("event_id").limit(10), "ten")
+    return rows.agg(F.count("*").alias("n_rows")).crossJoin(ten.join(rows, "event_id").agg(F.countDistinct("event_id").cast("int").alias("n_returned")))
+
+
+@query(f"with {_LOGS} select distinct source, true as within from (select source, count(*) as n from (select source from log_events) group by 1 order by n desc, source limit 1)")
+def approx_topk_within(spark, sf):
+    """The largest group by few counters, and whether its count keeps the stated error bound."""
+    rows = table(spark, sf, "log_events")
+    top = sketch.top_groups(rows, "source", 1, 100)
+    exact = rows.groupBy("source").agg(F.count("*").alias("n"))
+    return top.join(exact, top["value"] == exact["source"]).select("source", ((F.col("count") <= F.col("n")) & (F.col("count") + F.col("error_upper_bound") >= F.col("n"))).alias("within"))
+
+
+@query("select * from (values ('kind missing', 'refused'), ('whole', 'found')) t(case_, outcome)")
+def traces_guard(spark, sf):
+    """A table that lacks a span's columns is refused."""
+    whole, out = traces(table(spark, sf, "events")), []
+    for name, rows in (("kind missing", whole.drop("kind")), ("whole", whole)):
+        try:
+            out.append((name, "found" if spans.find(rows).limit(1).count() else "none"))
+        except ValueError:
+            out.append((name, "refused"))
+    return spark.createDataFrame(out, "case_ string, outcome string")

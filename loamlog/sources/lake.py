@@ -24,6 +24,10 @@ from loamlog.functions import text
 from loamlog.plans.store import Store
 
 CHECKPOINT_EVERY = 50
+PLACE = r"data/[0-9a-f]{32}/.*"
+MINUTE_US = 60_000_000
+#: One row a file and group: of a dimension's value, of a minute of event time, of a measure, or of a measure by a dimension's value.
+SUMMARY = "path string, dimension string, value string, minute long, measure string, n long, non_null long, total double, low double, high double"
 MERGE_AT_MOST = 64
 RETRIES = 50
 
@@ -44,7 +48,7 @@ class HistoryGap(RuntimeError):
 
 def _name(path: str) -> str:
     """A data file's path within the table's folder."""
-    return re.search(r"data/[0-9a-f]{32}/.*", path)[0]
+    return re.search(PLACE, path)[0]
 
 
 def _by_day(files: list[dict], day_of) -> dict[str, int]:
@@ -63,10 +67,13 @@ class Cursor:
 
 
 class Lake:
-    """``time``: the event-time column. Partition folders are days of it."""
+    """``time``: the event-time column. Partition folders are days of it. ``dimensions`` and
+    ``measures``: columns whose values are summed up for each file as it is written, so that counts
+    and sums are answered without the files (:meth:`group_counts` and what follows it)."""
 
-    def __init__(self, spark: SparkSession, root: str, time: str = "timestamp"):
+    def __init__(self, spark: SparkSession, root: str, time: str = "timestamp", dimensions: tuple[str, ...] = (), measures: tuple[str, ...] = ()):
         self.spark, self.store, self.time = spark, Store(spark, root), time
+        self.dimensions, self.measures = dimensions, measures
 
     # The log
 
@@ -170,6 +177,8 @@ class Lake:
         found = [r.asDict() for r in stats.toLocalIterator()]
         for f in found:
             f["path"] = _name(f["path"])
+        if self.dimensions or self.measures:
+            self._sum_up(written.withColumn("path", F.regexp_extract(F.col("_metadata.file_path"), PLACE, 0)))
         return found
 
     def append(self, df: DataFrame, consumed: list[str] | None = None) -> int:
@@ -279,7 +288,7 @@ class Lake:
             return None
         schema, old = self.schema(), [f for g in groups for f in g]
         place = self.spark.createDataFrame([(f["path"], n) for n, g in enumerate(groups) for f in g], "__path string, __group long")
-        rows = self._open([f["path"] for f in old], schema).withColumn("__path", F.regexp_extract(F.col("_metadata.file_path"), r"data/[0-9a-f]{32}/.*", 0))
+        rows = self._open([f["path"] for f in old], schema).withColumn("__path", F.regexp_extract(F.col("_metadata.file_path"), PLACE, 0))
         new = self._write(rows.join(place, "__path").drop("__path"), len(groups), "__group")
         if _by_day(new, day_of) != _by_day(old, day_of):
             raise RuntimeError("rows were not conserved; nothing was committed")
@@ -336,6 +345,100 @@ class Lake:
         paths = [f["path"] for e in steps if e["operation"] == "append" and not e["rewrite"] for f in e["added"]]
         return self._open(paths, self.schema(now)), Cursor(cursor.since_us, now)
 
+    # Summaries
+
+    def _sum_up(self, rows: DataFrame) -> None:
+        """Writes the summary rows of data files, in one pass over the columns they need."""
+        dimensions = [c for c in self.dimensions if c in rows.columns]
+        measures = [c for c in self.measures if c in rows.columns]
+        none, number = F.lit(None), F.lit(None).cast("double")
+
+        def cell(dimension=none, value=none, minute=none, measure=none, x=number):
+            return F.struct(dimension.cast("string").alias("dimension"), value.cast("string").alias("value"), minute.cast("long").alias("minute"), measure.cast("string").alias("measure"), x.cast("double").alias("x"))
+
+        minute = F.floor(F.unix_micros(F.col(self.time).cast("timestamp")) / MINUTE_US)
+        cells = [cell(F.lit(d), F.col(d)) for d in dimensions] + [cell(F.lit("<minute>"), minute=minute)]
+        cells += [cell(measure=F.lit(m), x=F.col(m)) for m in measures] + [cell(F.lit(d), F.col(d), measure=F.lit(m), x=F.col(m)) for d in dimensions for m in measures]
+        found = rows.select("path", F.explode(F.array(*cells)).alias("c")).select("path", "c.*")
+        summed = found.groupBy("path", "dimension", "value", "minute", "measure").agg(F.count("*").alias("n"), F.count("x").alias("non_null"), F.sum("x").alias("total"), F.min("x").alias("low"), F.max("x").alias("high"))
+        summed.write.option("compression", "zstd").parquet(f"{self.store.root}/summary/{uuid.uuid4().hex}")
+
+    def _summaries(self) -> DataFrame:
+        """Summary rows of the files of the current version. Files written without them are read now."""
+        live = self.spark.createDataFrame([(f["path"],) for f in self.files()], "path string")
+        if not self.store.exists("summary"):
+            return self.spark.createDataFrame([], SUMMARY)
+        return self.spark.read.schema(SUMMARY).option("recursiveFileLookup", "true").parquet(f"{self.store.root}/summary").join(live, "path", "left_semi")
+
+    def _covered(self) -> DataFrame:
+        """The summaries, after those that other writers left out are made."""
+        have = {r["path"] for r in self._summaries().select("path").distinct().toLocalIterator()}
+        if lacking := [f["path"] for f in self.files() if f["path"] not in have and f["rows"]]:
+            self._sum_up(self._open(lacking, self.schema()).withColumn("path", F.regexp_extract(F.col("_metadata.file_path"), PLACE, 0)))
+        return self._summaries()
+
+    def group_counts(self, dimension: str) -> DataFrame:
+        """(value, n): exact counts of a dimension's values, null as a value, from the summaries."""
+        if dimension not in self.dimensions:
+            raise ValueError(f"{dimension} isn't summed up")
+        return self._covered().where((F.col("dimension") == dimension) & F.col("measure").isNull()).groupBy("value").agg(F.sum("n").alias("n"))
+
+    def histogram(self, width_us: int) -> DataFrame:
+        """(bucket_us, n) of whole minutes: rows of each bin of event time, from the summaries."""
+        if width_us <= 0 or width_us % MINUTE_US:
+            raise ValueError("bins are of whole minutes")
+        minutes = F.lit(width_us // MINUTE_US)
+        start = (F.col("minute") - F.pmod(F.col("minute"), minutes)) * MINUTE_US
+        return self._covered().where("dimension = '<minute>'").groupBy(start.alias("bucket_us")).agg(F.sum("n").alias("n"))
+
+    def grouped_numeric(self, dimension: str, measure: str) -> DataFrame:
+        """(value, n, non_null, total, mean) of a measure by a dimension, from the summaries."""
+        rows = self._covered().where((F.col("dimension") == dimension) & (F.col("measure") == measure))
+        return rows.groupBy("value").agg(F.sum("n").alias("n"), F.sum("non_null").alias("non_null"), F.sum("total").alias("total")).withColumn("mean", F.col("total") / F.nullif(F.col("non_null"), F.lit(0)))
+
+    def top_numeric(self, measure: str, k: int, descending: bool = True) -> DataFrame:
+        """The ``k`` rows with the largest (smallest) values, those without a value last: only files
+        whose bounds say that they can hold one are opened."""
+        bounds = [r for r in self._covered().where((F.col("measure") == measure) & F.col("dimension").isNull()).select("path", "non_null", "low", "high").toLocalIterator()]
+        sign = 1 if descending else -1
+        worst, best = ("low", "high") if descending else ("high", "low")
+        n, bound = 0, None
+        for r in sorted((r for r in bounds if r["non_null"]), key=lambda r: -sign * r[worst]):
+            n += r["non_null"]
+            if n >= k:
+                bound = r[worst]
+                break
+        # values are compared as doubles: equal ones are kept
+        paths = [r["path"] for r in bounds if bound is None or r["non_null"] and sign * r[best] >= sign * bound]
+        order = F.col(measure).desc_nulls_last() if descending else F.col(measure).asc_nulls_last()
+        return self._open(paths, self.schema()).orderBy(order).limit(k)
+
+    # Promotion
+
+    def backfill(self, columns: dict[str, tuple[str, str]]) -> int:
+        """Adds typed columns of attributes, (key, type) by name, and fills them in rows that are there
+        already: files are rewritten in one commit that conserves rows; subscribers see nothing of it."""
+        from loamlog.operators.mapping import promote
+
+        old = self.files()
+        now = self.read()
+        named = {c: k for c, k in columns.items() if c not in now.columns}
+        if not named:
+            return self.version
+        filled = promote(now, named)
+        new = self._write(filled, max(1, len(old)))
+        if sum(f["rows"] for f in new) != sum(f["rows"] for f in old):
+            raise RuntimeError("rows were not conserved; nothing was committed")
+        return self.commit("replace", new, [f["path"] for f in old], self.merged_schema(filled.schema), rewrite=True)
+
+    def hot_keys(self, share: float = 0.5, attributes: str = "attributes", at_most: int = 32) -> list[str]:
+        """Top-level attribute keys that at least that share of the rows have, the most frequent first:
+        candidates for :meth:`backfill`."""
+        rows = self.read()
+        n = rows.count()
+        keys = rows.select(F.explode(F.json_object_keys(attributes)).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+        return [r["k"] for r in keys.where(F.col("n") >= share * n).orderBy(F.desc("n"), "k").limit(at_most).collect()]
+
     # Side tables
 
     def summary(self, columns: list[str]) -> DataFrame:
@@ -368,7 +471,7 @@ class Lake:
         new = [f["path"] for f in self.files() if f["path"] not in done]
         if not new:
             return 0
-        path = F.regexp_extract(F.col("_metadata.file_path"), r"data/[0-9a-f]{32}/.*", 0).alias("path")
+        path = F.regexp_extract(F.col("_metadata.file_path"), PLACE, 0).alias("path")
         found = self._open(new, self.schema()).select(path, F.explode(keys).alias("key")).distinct()
         marks = self.spark.createDataFrame([(p, None) for p in new], "path string, key string")
         found.unionByName(marks).write.parquet(f"{self._index_folder(column, kind)}/{uuid.uuid4().hex}")
