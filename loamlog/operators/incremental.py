@@ -9,8 +9,8 @@ repeats.
 A subscription's manifest at its cursor is derived from the commits: a table's commits form a tree,
 its current commit and that one's ancestors are the main line. A cursor off the main line (its
 commit was rolled back) is the commits from it down to the main line, over the main line's state at
-that point. Ancestry is found by pointer doubling, in as many rounds as the longest chain has binary
-digits. A subscription meets the commits since its cursor and, through them, the records they
+that point. Ancestry is found within blocks of commits and, between blocks, by pointer doubling.
+A subscription meets the commits since its cursor and, through them, the records they
 touched; no other record of its table is looked at.
 """
 
@@ -20,6 +20,7 @@ import itertools
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +30,7 @@ from loamlog.plans.store import Store
 SALTS = 16
 FILES_A_READ = 10_000  # names the driver holds at a time
 DEPTHS_A_BLOCK = 256
+COMMITS_A_BLOCK = 16384
 DAY_US = 86_400_000_000
 
 
@@ -37,38 +39,110 @@ def canonical_json(text: Column) -> Column:
     return F.coalesce(F.to_json(F.try_parse_json(text)), text)
 
 
+def _local(block: pa.Table) -> pa.Table:
+    """For each commit of a block its first ancestor outside of it (null: none) and the steps there, or
+    to its root; ``circle`` if there is no end."""
+    ids = block["snapshot_id"].to_pylist()
+    parent = dict(zip(ids, block["parent"].to_pylist()))
+    found: dict[int, tuple[int | None, int, bool]] = {}
+    for start in parent:
+        path, at, on_path = [], start, set()
+        while at is not None and at in parent and at not in found and at not in on_path:
+            path.append(at)
+            on_path.add(at)
+            at = parent[at]
+        circle = at in on_path
+        exit_, steps = (None, 0) if at is None or circle else (at, 0)
+        if at in found and not circle:
+            exit_, steps, circle = found[at]
+        elif at is None:
+            steps = -1  # the root itself is no step away
+        for c in reversed(path):
+            steps += 1
+            found[c] = exit_, steps, circle
+    for name, kind, i in (("exit", pa.int64(), 0), ("steps", pa.int64(), 1), ("circle", pa.bool_(), 2)):
+        block = block.append_column(name, pa.array([found[c][i] for c in ids], kind))
+    return block
+
+
+def _marked(block: pa.Table) -> pa.Table:
+    """For each commit of a block whether it is on the main line, which passes the block's commits that
+    are entries, and its nearest ancestor in the block that is."""
+    ids = block["snapshot_id"].to_pylist()
+    parent = dict(zip(ids, block["parent"].to_pylist()))
+    main: set[int] = set()
+    for c, entry in zip(ids, block["entry"].to_pylist()):
+        while entry and c in parent and c not in main:
+            main.add(c)
+            c = parent[c]
+    near: dict[int, int | None] = {}
+    for c in ids:
+        path = []
+        while c in parent and c not in main and c not in near:
+            path.append(c)
+            c = parent[c]
+        got = c if c in main else near.get(c)
+        near.update(dict.fromkeys(path, got))
+    out = block.select(["snapshot_id", "table_name", "depth", "parent", "exit"]).append_column("main", pa.array([c in main for c in ids], pa.bool_()))
+    return out.append_column("fork", pa.array([c if c in main else near[c] for c in ids], pa.int64()))
+
+
 def commit_tree(snapshots: DataFrame) -> DataFrame:
     """Each commit with its ``depth`` and, if it isn't on the main line, ``fork``: its nearest
     ancestor that is. Commits whose line never meets the main one have fork null.
     A parent that isn't listed counts as none; parents that form a circle raise ValueError.
+
+    Commits are cut into blocks along their order, and lines are followed within blocks; only the
+    commits at which a line enters a block are left for pointer doubling.
     """
-    base = snapshots.where(F.col("snapshot_id").isNotNull()).groupBy("snapshot_id").agg(F.first("parent_snapshot_id").alias("parent_snapshot_id"), F.first("table_name").alias("table_name"), F.max(F.coalesce("is_current", F.lit(False))).alias("is_current"))
+    order = F.first("sequence_no") if "sequence_no" in snapshots.columns else F.first("snapshot_id")
+    base = snapshots.where(F.col("snapshot_id").isNotNull()).groupBy("snapshot_id").agg(F.first("parent_snapshot_id").alias("parent_snapshot_id"), F.first("table_name").alias("table_name"), F.max(F.coalesce("is_current", F.lit(False))).alias("is_current"), order.cast("long").alias("no"))
     known = base.select(F.col("snapshot_id").alias("parent_snapshot_id"), F.col("table_name").alias("p_table"))
-    base = base.join(known, "parent_snapshot_id", "left").select("snapshot_id", "table_name", "is_current", F.when(F.col("p_table") == F.col("table_name"), F.col("parent_snapshot_id")).alias("jump"))
-    now, left = scratch.counted(base.withColumns({"depth": F.when(F.col("jump").isNull(), 0).otherwise(1).cast("long"), "main": F.col("is_current"), "parent": F.col("jump")}), "tree", jumps=F.col("jump").isNotNull())
-    rounds = 0
-    while left["jumps"]:
-        before, rounds = now, rounds + 1
-        if rounds > 40:
-            raise ValueError("the commits' parents form a circle")
-        # an ancestor by 2^k of a main commit is on the main line
-        marks = now.where("main and jump is not null").select(F.col("jump").alias("snapshot_id")).distinct().withColumn("hit", F.lit(True))
-        there = now.select(F.col("snapshot_id").alias("jump"), F.col("jump").alias("jump2"), F.col("depth").alias("depth2"))
-        step = now.join(there, "jump", "left").join(marks, "snapshot_id", "left")
-        now = step.select("snapshot_id", "table_name", "is_current", F.col("jump2").alias("jump"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("main") | F.coalesce("hit", F.lit(False))).alias("main"), "parent")
-        now, left = scratch.counted(now, "tree", jumps=F.col("jump").isNotNull())
-        scratch.forget(before)
-    # from off the main line down to it
-    line = now.where("main").withColumn("fork", F.col("snapshot_id"))
-    off = scratch.materialise(now.where("not main").withColumn("fork", F.col("parent")), "fork")
-    while True:
+    base = base.join(known, "parent_snapshot_id", "left").select("snapshot_id", "table_name", "is_current", "no", F.when(F.col("p_table") == F.col("table_name"), F.col("parent_snapshot_id")).alias("parent"))
+    base, size = scratch.counted(base, "commits", n=F.lit(True))
+    rows = ordered.frozen(base, ["table_name", "no", "snapshot_id"], "commits", max(1, -(-size["n"] // COMMITS_A_BLOCK)))
+    kinds = "snapshot_id long, table_name string, is_current boolean, no long, parent long, block int, exit long, steps long, circle boolean"
+    local, seen = scratch.counted(rows.groupBy("block").applyInArrow(lambda block: _local(block), kinds), "lines", circles=F.col("circle"), exits=F.col("exit").isNotNull())
+    if seen["circles"]:
+        raise ValueError("the commits' parents form a circle")
+    if not seen["exits"]:
+        met = local.withColumns({"depth": F.col("steps"), "entry": F.col("is_current")})
+    else:
+        gates = local.select(F.col("exit").alias("snapshot_id")).where("snapshot_id is not null").distinct()
+        gates = local.join(gates.withColumn("gate", F.lit(True)), "snapshot_id", "left").where("gate or is_current").select("snapshot_id", F.col("exit").alias("jump"), F.col("steps").alias("depth"), F.col("is_current").alias("main"))
+        now, left = scratch.counted(gates, "gates", jumps=F.col("jump").isNotNull())
+        rounds = 0
+        while left["jumps"]:
+            before, rounds = now, rounds + 1
+            if rounds > 40:
+                raise ValueError("the commits' parents form a circle")
+            # an ancestor by 2^k of a main commit is on the main line
+            marks = now.where("main and jump is not null").select(F.col("jump").alias("snapshot_id")).distinct().withColumn("hit", F.lit(True))
+            there = now.select(F.col("snapshot_id").alias("jump"), F.col("jump").alias("jump2"), F.col("depth").alias("depth2"))
+            step = now.join(there, "jump", "left").join(marks, "snapshot_id", "left")
+            now = step.select("snapshot_id", F.col("jump2").alias("jump"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("main") | F.coalesce("hit", F.lit(False))).alias("main"))
+            now, left = scratch.counted(now, "gates", jumps=F.col("jump").isNotNull())
+            scratch.forget(before)
+        entries = now.where("main").select("snapshot_id", F.lit(True).alias("entry"))
+        below = now.select(F.col("snapshot_id").alias("exit"), F.col("depth").alias("below"))
+        met = local.join(entries, "snapshot_id", "left").join(below, "exit", "left")
+        met = met.withColumns({"depth": F.col("steps") + F.coalesce("below", F.lit(0)), "entry": F.coalesce("entry", F.lit(False))})
+    kinds = "snapshot_id long, table_name string, depth long, parent long, exit long, main boolean, fork long"
+    inputs = met.select("block", "snapshot_id", "table_name", "depth", "parent", "exit", "entry")
+    done, left = scratch.counted(inputs.groupBy("block").applyInArrow(lambda block: _marked(block), kinds), "tree", open=F.col("fork").isNull() & F.col("exit").isNotNull())
+    out = done.select("snapshot_id", "table_name", "depth", "parent", "main", "fork")
+    if not left["open"]:
+        return out
+    # off the main line and through other blocks down to it
+    gates = done.select(F.col("exit").alias("snapshot_id")).where("snapshot_id is not null").distinct()
+    off = scratch.materialise(done.join(gates, "snapshot_id", "left_semi").select("snapshot_id", "fork", F.when(F.col("fork").isNull(), F.col("exit")).alias("jump")), "forks")
+    while off.where("fork is null and jump is not null").limit(1).count():
         before = off
-        there = off.select(F.col("snapshot_id").alias("fork"), F.col("fork").alias("fork2"), F.lit(True).alias("open"))
-        off = off.drop("open").join(there, "fork", "left").withColumn("fork", F.when(F.col("open"), F.col("fork2")).otherwise(F.col("fork"))).drop("fork2")
-        off, left = scratch.counted(off, "fork", open=F.col("open") & F.col("fork").isNotNull())
+        there = off.select(F.col("snapshot_id").alias("jump"), F.col("fork").alias("fork2"), F.col("jump").alias("jump2"))
+        off = scratch.materialise(off.join(there, "jump", "left").select("snapshot_id", F.coalesce("fork", "fork2").alias("fork"), F.when(F.coalesce("fork", "fork2").isNull(), F.col("jump2")).alias("jump")), "forks")
         scratch.forget(before)
-        if not left["open"]:
-            return line.unionByName(off.select(*line.columns))
+    last = off.select(F.col("snapshot_id").alias("exit"), F.col("fork").alias("far"))
+    return done.join(last, "exit", "left").select("snapshot_id", "table_name", "depth", "parent", "main", F.coalesce("fork", "far").alias("fork"))
 
 
 def _off_line(tree: DataFrame, cursors: DataFrame) -> DataFrame:

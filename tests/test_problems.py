@@ -187,9 +187,32 @@ def test_pending_records_with_rollbacks(spark):
     assert incremental.pending(*[f.limit(0) for f in frames]).count() == 0
 
 
-def test_commits_in_a_circle_are_refused(spark):
+@pytest.mark.parametrize("block", [3, 16384])
+def test_ancestry_over_blocks(spark, monkeypatch, block):
+    import random
+
+    monkeypatch.setattr(incremental, "COMMITS_A_BLOCK", block)
+    r, rows = random.Random(11), []
+    ids = r.sample(range(10**6), 60)
+    for i, c in enumerate(ids):  # two tables whose commits hang off any earlier one, mostly the last
+        t = i % 2
+        earlier = [ids[j] for j in range(t, i, 2)]
+        rows.append((c, None if not earlier or r.random() < 0.03 else earlier[-1] if r.random() < 0.7 else r.choice(earlier), f"t{t}", False, i))
+    rows[-2:] = [(*x[:3], True, x[4]) for x in rows[-2:]]
+    rows.append((10**7, ids[0], "other", False, 99))  # a parent in another table is none
+    parent = {x[0]: x[1] if x[0] < 10**7 else None for x in rows}
+    line = lambda c: [] if c is None else [c, *line(parent[c])]
+    main = {c for x in rows if x[3] for c in line(x[0])}
+    got = {x["snapshot_id"]: (x["depth"], x["main"], x["fork"]) for x in incremental.commit_tree(spark.createDataFrame(rows, SNAPSHOTS + ", sequence_no int")).collect()}
+    assert got == {c: (len(line(c)) - 1, c in main, next((a for a in line(c) if a in main), None)) for c in parent}
+
+
+def test_commits_in_a_circle_are_refused(spark, monkeypatch):
     with pytest.raises(ValueError):
         incremental.commit_tree(spark.createDataFrame([(1, 2, "t", True), (2, 1, "t", False)], SNAPSHOTS))
+    monkeypatch.setattr(incremental, "COMMITS_A_BLOCK", 1)
+    with pytest.raises(ValueError):
+        incremental.commit_tree(spark.createDataFrame([(i, (i + 1) % 6, "t", i == 0) for i in range(6)], SNAPSHOTS))
 
 
 def test_a_failed_batch_is_repeated_without_gaps(spark, tmp_path):
