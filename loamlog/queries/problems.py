@@ -146,11 +146,17 @@ def p6_table(spark, sf):
     return drift.promote(drift.ingest(files, TARGET), APPROVED)
 
 
+def p6_columns(spark, sf):
+    """The typed columns of the consistent table, and how many values stayed rescued."""
+    rescued = F.coalesce(F.array_size(F.json_object_keys("_rescued")), F.lit(0)).alias("n_rescued")
+    return p6_table(spark, sf).select("file_id", F.unix_micros("generated_at").alias("generated_us"), "verdict", "schema_version", "revisions__repository_commit", "totals__row_total", "totals__elapsed_s", rescued)
+
+
 def p6_report(spark, sf):
     return drift.changes(table(spark, sf, "evidence_files")).groupBy("change", "old_path", "new_path").agg(F.count("*").alias("n_files"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p1_copies, p1_upserted, p2_found, p2_resources, p2_scopes, p2_records, p2_attributes, p3_found, p3_backlog, p3_recovered, p4_method, p4_found, p4_entries, p4_templates, p5_found, p5_groups, p5_rewritten, p5_sizes, p6_found, p6_table, p6_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p1_copies, p1_upserted, p2_found, p2_resources, p2_scopes, p2_records, p2_attributes, p3_found, p3_backlog, p3_recovered, p4_method, p4_found, p4_entries, p4_templates, p5_found, p5_groups, p5_rewritten, p5_sizes, p6_found, p6_table, p6_columns, p6_report)}
 
 _P1 = """with d as (select *, coalesce(name, regexp_extract(path, '[^/]*$')) as segment from segment_deliveries),
   r as (select *, row_number() over (partition by consumer_id, segment order by delivered_at nulls last, delivery_id) as n from d)"""
@@ -286,6 +292,17 @@ ORACLES = {
     "p4_found": _P4,
     "p2_found": _P2 + " select export_id, node_path from n where node_path <> ''",
     "p6_found": _P6 + " select * from changes",
+    "p6_columns": """with recursive b as (select file_id, body, body is not null and json_valid(body) and json_type(case when json_valid(body) then body end) = 'OBJECT' as whole from evidence_files),
+      f(file_id, path, j) as (select file_id, '', cast(body as json) from b where whole
+        union all select file_id, case when path = '' then k else path || '/' || k end, json_extract(j, '$."' || k || '"') from (select *, unnest(json_keys(j)) as k from f where json_type(j) = 'OBJECT')),
+      v as (select file_id, path, j, json_type(j) as t, j->>'$' as s from f where path <> ''),
+      c as (select file_id, path, t, case path when 'generated_at' then cast(try_cast(s as timestamptz) as varchar) when 'verdict' then s when 'revisions/repository_commit' then s
+        when 'schema_version' then cast(try_cast(s as double) as varchar) when 'totals/elapsed_s' then cast(try_cast(s as double) as varchar) when 'totals/row_total' then case when try_cast(s as double) = floor(try_cast(s as double)) then cast(try_cast(s as bigint) as varchar) end end as x,
+        path in ('generated_at', 'verdict', 'revisions/repository_commit', 'schema_version', 'totals/elapsed_s', 'totals/row_total') as wanted, s from v),
+      leaves as (select file_id, count(*) as n from c where case when wanted then x is null and t <> 'NULL' else t <> 'OBJECT' or s = '{}' end and not exists (select 1 from (values ('generated_at/'), ('verdict/'), ('schema_version/'), ('revisions/repository_commit/'), ('totals/row_total/'), ('totals/elapsed_s/')) w(p) where starts_with(path, p)) group by 1),
+      cols as (select file_id, max(x) filter (where path = 'generated_at') as generated_at, max(x) filter (where path = 'verdict') as verdict, max(x) filter (where path = 'schema_version') as schema_version, max(x) filter (where path = 'revisions/repository_commit') as revisions__repository_commit, max(x) filter (where path = 'totals/row_total') as totals__row_total, max(x) filter (where path = 'totals/elapsed_s') as totals__elapsed_s from c group by 1)
+      select b.file_id, epoch_us(cast(cols.generated_at as timestamptz)) as generated_us, cols.verdict, cast(cols.schema_version as double) as schema_version, cols.revisions__repository_commit, cast(cols.totals__row_total as bigint) as totals__row_total, cast(cols.totals__elapsed_s as double) as totals__elapsed_s,
+        coalesce(leaves.n, case when body is not null and not whole then 1 else 0 end) as n_rescued from b left join cols using (file_id) left join leaves using (file_id)""",
     "p6_report": _P6 + " select change, old_path, new_path, count(*) as n_files from changes group by all",
     "p1_found": _P1 + " select delivery_id from r where n > 1 and segment is not null",
     "p1_kept": _P1 + " select delivery_id, consumer_id, segment, row_count from r where n = 1 or segment is null",
