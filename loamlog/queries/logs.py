@@ -711,6 +711,20 @@ def folder_table(spark, sf):
     return folder.parquet_folder(spark, path).groupBy("l_returnflag", "l_shipmode").agg(F.count("*").alias("n"))
 
 
+@query("select count(*) as n, count(*) as n_distinct, 3 as n_shards from events")
+def sharded_files(spark, sf):
+    """The shards of a table of many files: each file in one of them, none without a file."""
+    from loamlog.sources import folder
+
+    path = scratch.new_path(spark, "folder")
+    rows = table(spark, sf, "events")
+    rows.repartition(40, "user_id").write.parquet(path)
+    paths = [r["path"] for r in folder.listing(spark, path).collect()]
+    parts = [folder.shard(spark, paths, i, 3, rows.schema).select("event_id", F.lit(i).alias("shard")) for i in range(3)]
+    whole = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return whole.agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("n_distinct"), F.countDistinct("shard").alias("n_shards"))
+
+
 @query("select count(*) as n, count(*) as n_distinct, true as even from events")
 def file_packing(spark, sf):
     """The files of a table in four parts of about equal size: each file in one of them."""

@@ -299,7 +299,7 @@ ORACLES = {
       c as (select file_id, path, t, case path when 'generated_at' then cast(try_cast(s as timestamptz) as varchar) when 'verdict' then s when 'revisions/repository_commit' then s
         when 'schema_version' then cast(try_cast(s as double) as varchar) when 'totals/elapsed_s' then cast(try_cast(s as double) as varchar) when 'totals/row_total' then case when try_cast(s as double) = floor(try_cast(s as double)) then cast(try_cast(s as bigint) as varchar) end end as x,
         path in ('generated_at', 'verdict', 'revisions/repository_commit', 'schema_version', 'totals/elapsed_s', 'totals/row_total') as wanted, s from v),
-      leaves as (select file_id, count(*) as n from c where case when wanted then x is null and t <> 'NULL' else t <> 'OBJECT' or s = '{}' end and not exists (select 1 from (values ('generated_at/'), ('verdict/'), ('schema_version/'), ('revisions/repository_commit/'), ('totals/row_total/'), ('totals/elapsed_s/')) w(p) where starts_with(path, p)) group by 1),
+      leaves as (select file_id, count(*) as n from c where case when wanted and not (t = 'OBJECT' and starts_with(path, 'totals/')) then x is null and t <> 'NULL' else t <> 'OBJECT' or s = '{}' end and not exists (select 1 from (values ('generated_at/'), ('verdict/'), ('schema_version/'), ('revisions/repository_commit/')) w(p) where starts_with(path, p)) group by 1),
       cols as (select file_id, max(x) filter (where path = 'generated_at') as generated_at, max(x) filter (where path = 'verdict') as verdict, max(x) filter (where path = 'schema_version') as schema_version, max(x) filter (where path = 'revisions/repository_commit') as revisions__repository_commit, max(x) filter (where path = 'totals/row_total') as totals__row_total, max(x) filter (where path = 'totals/elapsed_s') as totals__elapsed_s from c group by 1)
       select b.file_id, epoch_us(cast(cols.generated_at as timestamptz)) as generated_us, cols.verdict, cast(cols.schema_version as double) as schema_version, cols.revisions__repository_commit, cast(cols.totals__row_total as bigint) as totals__row_total, cast(cols.totals__elapsed_s as double) as totals__elapsed_s,
         coalesce(leaves.n, case when body is not null and not whole then 1 else 0 end) as n_rescued from b left join cols using (file_id) left join leaves using (file_id)""",

@@ -33,3 +33,20 @@ def packed(files: Iterable[tuple[str, int]], n: int) -> list[list[str]]:
         parts[i].append(name)
         heapq.heappush(heap, (weight + size, i))
     return [p for p in parts if p]
+
+
+def fnv1a(text: str) -> int:
+    """The 64-bit hash that says which shard a path belongs to. Its offset and prime."""
+    h = 0xCBF29CE484222325
+    for b in text.encode():
+        h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+    return h
+
+
+def shard(spark: SparkSession, paths: Iterable[str], index: int, count: int, schema: T.StructType | str) -> DataFrame:
+    """The rows of the files a shard owns, by the hash of their paths; the shards together are all
+    rows, each once. Only owned files are opened; a shard may own none."""
+    if not 0 <= index < count:
+        raise ValueError("a shard's index must be below the count")
+    mine = [p for p in paths if fnv1a(p) % count == index]
+    return spark.read.schema(schema).parquet(*mine) if mine else spark.createDataFrame([], schema)

@@ -52,7 +52,8 @@ def test_search_functions(spark):
     assert hits(df, text.match_terms(v, "slow merge")) == [0, 1, 5]
     assert hits(df, text.match(v, "MERGE")) == [0, 1, 5, 8]
     assert hits(df, text.match_any(v, "merge words")) == [0, 1, 5, 6, 8]
-    assert hits(df, text.match_phrase(v, "merge of slow")) == [1, 5] or hits(df, text.match_phrase(v, "merge slow")) == [1, 5]
+    assert hits(df, text.match_phrase(v, "merge slow")) == [1, 5] == hits(df, text.match_phrase(v, "x merge y slow"))
+    assert hits(df, text.match_phrase(v, "slow merge")) == [0]
     assert hits(df, text.match_prefix(v, "emer slo")) == [0, 1, 5, 7]
     assert hits(df, ~text.match_terms(v, "merge")) == [2, 3, 4, 6, 7, 9]
     many = rows(spark, [" ".join(f"tok{i:03d}" for i in range(70))])
@@ -108,7 +109,7 @@ def test_counters_never_overcount(values, m):
 def test_top_groups(spark):
     df = spark.range(10_000).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 == 1, F.lit(None)).otherwise(F.col("id").cast("string")).alias("v")).repartition(9)
     exact = sketch.top_groups(df, "v", 2, 10_000).collect()
-    assert [(r["value"], r["count"], r["error_upper_bound"]) for r in exact] == [("hot", 3334, 0), (None, 134, 0)] or exact[0]["count"] == 3334
+    assert [(r["value"], r["count"], r["error_upper_bound"]) for r in exact] == [("hot", 3334, 0), (None, 133, 0)]
     few = sketch.top_groups(df, "v", 1, 20).first()
     assert few["value"] == "hot" and 3334 - few["error_upper_bound"] <= few["count"] <= 3334
     assert sketch.top_groups(df.limit(0), "v", 2).count() == 0
@@ -566,3 +567,76 @@ def test_requests_in_their_binary_form(spark):
         deep = {"arrayValue": {"values": [deep]}}
     with pytest.raises(wire.Malformed):
         wire.decode("AnyValue", wire.encode("AnyValue", deep))
+
+
+def test_folders_shards_and_packing(spark, tmp_path):
+    from loamlog.sources import folder
+
+    assert [folder.fnv1a(t) for t in ("", "a", "foobar")] == [0xCBF29CE484222325, 0xAF63DC4C8601EC8C, 0x85944171F73967E8]
+    assert folder.packed([("a", 5), ("b", 3), ("c", 3), ("d", 2), ("e", 0)], 2) == [["a", "d"], ["b", "c", "e"]]
+    spark.range(5).write.parquet(f"file://{tmp_path}/x/y")
+    spark.range(5, 9).withColumn("more", F.lit(1)).write.parquet(f"file://{tmp_path}/z")
+    got = folder.parquet_folder(spark, f"file://{tmp_path}")
+    assert sorted((r["id"], r["more"]) for r in got.collect()) == [(i, 1 if i > 4 else None) for i in range(9)]
+    assert folder.listing(spark, f"file://{tmp_path}").where("n_bytes > 0").count() >= 2
+    with pytest.raises(ValueError):
+        folder.shard(spark, [], 3, 3, "id long")
+    assert folder.shard(spark, [], 0, 1, "id long").count() == 0
+
+
+def test_summaries_answer_like_scans(spark, tmp_path, sf):
+    df = logs(table(spark, sf, "events")).withColumn("number", F.col("timestamp_ns") % 1000)
+    lake = Lake(spark, f"file://{tmp_path}/lake", dimensions=("host", "missing"), measures=("number",))
+    lake.append(df.where("sourcetype <> 'view'"))
+    Lake(spark, f"file://{tmp_path}/lake").append(df.where("sourcetype = 'view'").withColumn("host", F.lit(None).cast("string")))  # a writer without summaries
+    lake.delete("sourcetype = 'error'")
+    lake.compact()
+    rows = lake.read()
+    pairs = lambda d: sorted((tuple(r) for r in d.collect()), key=str)
+    assert pairs(lake.group_counts("host")) == pairs(rows.groupBy("host").count())
+    assert pairs(lake.histogram(3_600_000_000)) == pairs(tables.date_histogram(rows, "timestamp", 3_600_000_000))
+    assert pairs(lake.grouped_numeric("host", "number").select("value", "n", "non_null", F.col("total").cast("long"))) == pairs(rows.groupBy("host").agg(F.count("*"), F.count("number"), F.sum("number")))
+    for down in (True, False):
+        best = F.desc("number") if down else F.asc("number")
+        assert [r["number"] for r in lake.top_numeric("number", 9, down).collect()] == [r["number"] for r in rows.orderBy(best).limit(9).collect()]
+    assert lake.top_numeric("number", 10**6).count() == rows.count()
+    for bad in (lambda: lake.group_counts("raw"), lambda: lake.histogram(90_000_001)):
+        with pytest.raises(ValueError):
+            bad()
+    _, cursor = lake.poll(Cursor())
+    lake.backfill({"k": ("k", "long")})
+    assert lake.read().where("k is not null").count() == rows.count() and lake.poll(cursor)[0].count() == 0
+    assert lake.hot_keys() == ["k"]
+
+
+def test_segments_are_claimed_once_and_sealed_in_time(spark, tmp_path):
+    store = ingest.Segments(str(tmp_path / "wal"), spark)
+    producer = ingest.Producer(store, "p", rows=10, seconds=5)
+    rows = lambda n: pa.table({"id": list(range(n))})
+    assert producer.append(rows(0), now=0) == [] and producer.tick(100) == []
+    assert producer.append(rows(4), now=1) == [] and len(producer.append(rows(17), now=2)) == 2
+    assert producer.tick(6.9) == [] and producer.tick(7) == ["p-000000000002"]
+    assert [store.read(n).num_rows for n in store.names()] == [10, 10, 1]
+    assert ingest.Producer(store, "p").n == 3  # a producer that starts again goes on behind
+    got: list = []
+    threads = [threading.Thread(target=lambda c=c: got.extend((n, c) for n in store.claim(c, now=0, seconds=10))) for c in "abcd"]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert sorted(n for n, _ in got) == store.names()
+    name, claimer = got[0]
+    with pytest.raises(ValueError):
+        store.finish(name, "x")
+    assert store.claim("z", now=11) == store.names()
+    with pytest.raises(ValueError):
+        store.finish(name, claimer)
+    store.finish(name, "z")
+    assert store.state(name) == "committed" and store.claim("y", now=10**9) == store.names()[: store.names().index(name)] + store.names()[store.names().index(name) + 1 :]
+
+
+def test_latest_rows_fold_once(spark, tmp_path):
+    latest = ingest.Latest(spark, f"file://{tmp_path}/latest", ["host"])
+    frame = lambda rows: spark.createDataFrame(rows, "host string, timestamp_ns long, raw string")
+    latest.fold(frame([("a", 1, "x"), ("a", 2, "y"), (None, 5, "z")]), 0)
+    latest.fold(frame([("a", 1, "late"), ("b", 7, None)]), 1)
+    latest.fold(frame([("b", 9, "again")]), 1)  # a batch that is repeated
+    assert sorted((tuple(r) for r in latest.read().collect()), key=str) == [("a", 2, "y"), ("b", 7, None), (None, 5, "z")]
