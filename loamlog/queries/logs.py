@@ -3,6 +3,7 @@ traces, mapping, ingest, the table layer and streams."""
 
 from __future__ import annotations
 
+import itertools
 import time
 
 from pyspark.sql import DataFrame
@@ -744,12 +745,15 @@ def file_packing(spark, sf):
 @query("select event_id, event_type, 1 as n_times from events")
 def wal_segments_consumed(spark, sf):
     """Rows through a producer's sealed segments and a consumer that dies between reading and its commit."""
+    import pyarrow as pa
+
     from loamlog.streaming import ingest
 
     segments = ingest.Segments(scratch.new_path(spark, "wal"), spark)
     producer = ingest.Producer(segments, "p", rows=1000)
-    for row in range(0, 1):
-        producer.append(table(spark, sf, "events").select("event_id", "event_type").toArrow(), now=float(row))
+    rows = ({"event_id": r[0], "event_type": r[1]} for r in table(spark, sf, "events").select("event_id", "event_type").toLocalIterator(prefetchPartitions=True))
+    while part := list(itertools.islice(rows, 5000)):
+        producer.append(pa.Table.from_pylist(part), now=0.0)
     producer.flush()
     seen, crashed = [], False
     while names := segments.open("reader").poll(3):
