@@ -154,30 +154,48 @@ def rewrite(spark: SparkSession, planned: DataFrame, root: str, out: str, files_
     return whole
 
 
+def _rows_of(spark: SparkSession, batch: list[tuple[str, str]], root: str) -> DataFrame:
+    """The rows of the batch's files with ``target_file``, null if a row's file isn't found again."""
+    data = spark.read.option("mergeSchema", "true").parquet(*[f"{root}/{location}" for location, _ in batch])
+    place = spark.createDataFrame(batch, "__location string, target_file string")
+    tagged = data.withColumn("__location", F.substring(F.col("_metadata.file_path"), F.lit(len(_qualified(spark, root)) + 2), F.lit(1 << 30)))
+    return tagged.join(place, "__location", "left").drop("__location")
+
+
+def _counted(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """(target_file, rows_out) of written groups."""
+    if not folders:  # nothing but empty files
+        return spark.createDataFrame([], "target_file string, rows_out long")
+    return spark.read.parquet(*folders).groupBy(F.regexp_extract(F.col("_metadata.file_path"), "target_file=([^/]+)/", 1).alias("target_file")).agg(F.count("*").alias("rows_out"))
+
+
 def _rewrite_batch(spark: SparkSession, batch: list[tuple[str, str]], root: str, out: str) -> DataFrame:
     store = Store(spark, out)
     staging = "_staging/" + hashlib.sha256(json.dumps(batch).encode()).hexdigest()[:24]
     store.delete(staging)  # what a run that died left of the same batch
-    data = spark.read.option("mergeSchema", "true").parquet(*[f"{root}/{location}" for location, _ in batch])
-    place = spark.createDataFrame(batch, "__location string, target_file string")
-    tagged = data.withColumn("__location", F.substring(F.col("_metadata.file_path"), F.lit(len(_qualified(spark, root)) + 2), F.lit(1 << 30)))
-    rows = tagged.join(place, "__location", "left").drop("__location")
     names = sorted({t for _, t in batch})
-    counted_in = rows.groupBy("target_file").agg(F.count("*").alias("rows_in"))  # from the footers: no column is read
-    rows.repartition(len(names), "target_file").write.partitionBy("target_file").option("compression", "zstd").parquet(f"{out}/{staging}")
-    written = set(store.folders(staging))
-    if written:
-        counted_out = spark.read.parquet(*[f"{out}/{staging}/{t}" for t in sorted(written)]).groupBy(F.regexp_extract(F.col("_metadata.file_path"), "target_file=([^/]+)/", 1).alias("target_file")).agg(F.count("*").alias("rows_out"))
-    else:  # nothing but empty files
-        counted_out = spark.createDataFrame([], "target_file string, rows_out long")
-    report = scratch.materialise(counted_in.join(counted_out, "target_file", "full"), "reconciled")
-    if report.where("target_file is null or not (rows_in <=> rows_out)").limit(1).count():
+    placed = set(store.folders(""))
+    missing = [t for t in names if f"target_file={t}" not in placed]
+    # from the footers: no column is read
+    counted_in = scratch.materialise(_rows_of(spark, batch, root).groupBy("target_file").agg(F.count("*").alias("rows_in")), "counted")
+    differ = lambda report: report.where("target_file is null or not (rows_in <=> rows_out)").limit(1).count()
+    if missing:
+        todo = set(missing)
+        part = [x for x in batch if x[1] in todo]
+        _rows_of(spark, part, root).repartition(len(missing), "target_file").write.partitionBy("target_file").option("compression", "zstd").parquet(f"{out}/{staging}")
+        written = sorted(store.folders(staging))
+        staged = _counted(spark, [f"{out}/{staging}/{t}" for t in written])
+        if differ(counted_in.where(F.col("target_file").isNull() | F.col("target_file").isin(missing)).join(staged, "target_file", "full")):
+            store.delete(staging)
+            raise ValueError("rows in and out differ; nothing of the batch was kept")
+        for t in written:
+            if not store.rename(f"{staging}/{t}", t):
+                raise OSError(f"{t} could not be put in its place")
         store.delete(staging)
-        raise ValueError("rows in and out differ; nothing of the batch was kept")
-    for t in sorted(written):
-        if not store.exists(t) and not store.rename(f"{staging}/{t}", t):
-            raise OSError(f"{t} could not be put in its place")
-    store.delete(staging)
+        placed |= set(written)
+    report = scratch.materialise(counted_in.join(_counted(spark, [f"{out}/target_file={t}" for t in names if f"target_file={t}" in placed]), "target_file", "full"), "reconciled")
+    if differ(report):
+        raise ValueError("rows in and those that are in place differ")
     return report
 
 

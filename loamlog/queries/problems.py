@@ -116,7 +116,7 @@ def p5_rewritten(spark, sf):
     """The rows of lake_rows, written as small files and rewritten twice by one plan, as after a run
     that died: rows of each table in the small files and in what they became."""
     root, out = scratch.new_path(spark, "small"), scratch.new_path(spark, "whole")
-    table(spark, sf, "lake_rows").repartition(24, "snapshot_id").write.partitionBy("table_name").parquet(root)
+    table(spark, sf, "lake_rows").repartition(4, "snapshot_id").write.partitionBy("table_name").parquet(root)
     scan = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(root)
     location = F.regexp_extract("path", "(table_name=.*)$", 1)
     files = scan.select(F.lit("lake").alias("origin"), F.regexp_extract(location, "^(.*/)", 1).alias("bin"), location.alias("location"), F.col("length").alias("n_bytes"), F.lit(None).cast("long").alias("n_rows"))
