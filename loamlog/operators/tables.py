@@ -57,6 +57,22 @@ def within(time: Column, start_us: int | None, end_us: int | None) -> Column:
     return test
 
 
+def range_join(points: DataFrame, intervals: DataFrame, point: str, start: str, end: str, width: int, on: tuple[str, ...] = ()) -> DataFrame:
+    """Points with the intervals they lie in: start <= point < end, all whole numbers, and equal ``on``.
+
+    Both sides meet by buckets of ``width``: an interval is listed in each bucket it touches, a point in
+    its own, so no pair is tried whose buckets differ and none is found twice. A width near the
+    intervals' usual length lists each about twice. Null bounds or points, and empty intervals, meet
+    nothing. Columns of one name beside ``on`` must not be on both sides.
+    """
+    if width <= 0:
+        raise ValueError("a bucket must be wider than nothing")
+    bucket = lambda c: F.floor(c / F.lit(width))
+    listed = intervals.where(F.col(start) < F.col(end)).withColumn("__bucket", F.explode(F.sequence(bucket(F.col(start)), bucket(F.col(end) - 1))))
+    placed = points.where(F.col(point).isNotNull()).withColumn("__bucket", bucket(F.col(point)))
+    return placed.join(listed, [*on, "__bucket"]).where((F.col(point) >= F.col(start)) & (F.col(point) < F.col(end))).drop("__bucket")
+
+
 def shard(df: DataFrame, index: int, count: int) -> DataFrame:
     """The rows of the files a shard owns; the shards together are the table."""
     if not 0 <= index < count:
@@ -64,8 +80,14 @@ def shard(df: DataFrame, index: int, count: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.col("_metadata.file_path")), F.lit(count)) == index)
 
 
-def corpus(spark: SparkSession, n: int, seed: int = 7, start_us: int = 1_760_000_000_000_000, step_us: int = 250_000) -> DataFrame:
-    """Generated log events; each is a function of its number and the seed alone."""
+NEEDLE_EVERY, PHRASE_EVERY = 997, 1009
+
+
+def corpus(spark: SparkSession, n: int, seed: int = 7, start_us: int = 1_760_000_000_000_000, step_us: int = 250_000, rich: bool = False) -> DataFrame:
+    """Generated log events; each is a function of its number and the seed alone.
+
+    With ``rich``, an event has 48 attributes, every ``NEEDLE_EVERY``th one a rare token of its own
+    (needle and its number) and every ``PHRASE_EVERY``th one the words "quiet harbour lights"."""
     pick = lambda salt, k: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(k))
     slot = pick("kind", 100)
     status = F.element_at(F.array(*[F.lit(s) for s in ("200", "204", "301", "404", "500")]), (pick("status", 5) + 1).cast("int"))
@@ -73,9 +95,13 @@ def corpus(spark: SparkSession, n: int, seed: int = 7, start_us: int = 1_760_000
     api = F.concat(F.lit("api call=list_"), pick("call", 20).cast("string"), F.lit(" tenant=t"), pick("tenant", 8).cast("string"), F.lit(' note="ok then"'))
     auth = F.concat(F.lit("login user=u"), pick("user", 500).cast("string"), F.lit(" result="), F.when(pick("ok", 10) > 0, "ok").otherwise("denied"))
     micros = F.lit(start_us) + F.col("id") * step_us
-    attributes = F.to_json(F.struct(pick("code", 600).alias("code"), F.concat(F.lit("r"), pick("region", 4).cast("string")).alias("region")))
+    members = [pick("code", 600).alias("code"), F.concat(F.lit("r"), pick("region", 4).cast("string")).alias("region")]
+    if rich:
+        members += [(pick(f"m{i}", 10 ** (i % 5 + 1)) if i % 3 else F.concat(F.lit(f"v{i}-"), pick(f"m{i}", 50).cast("string"))).alias(f"attr_{i:02d}") for i in range(46)]
+    attributes = F.to_json(F.struct(*members))
+    tail = F.concat(F.when(F.col("id") % NEEDLE_EVERY == 5, F.concat(F.lit(" needle"), F.col("id").cast("string"))).otherwise(""), F.when(F.col("id") % PHRASE_EVERY == 9, " quiet harbour lights").otherwise("")) if rich else F.lit("")
     return spark.range(n).select(
         F.timestamp_micros(micros).alias("timestamp"), F.concat(F.lit("host-"), pick("host", 16).cast("string")).alias("host"),
         F.when(slot < 60, "web").when(slot < 95, "api").otherwise("auth").alias("source"), F.when(slot < 60, "access").when(slot < 95, "service").otherwise("security").alias("sourcetype"),
-        F.lit("main").alias("index"), F.when(slot < 60, web).when(slot < 95, api).otherwise(auth).alias("raw"), (micros * 1000).alias("timestamp_ns"), attributes.alias("attributes"),
+        F.lit("main").alias("index"), F.concat(F.when(slot < 60, web).when(slot < 95, api).otherwise(auth), tail).alias("raw"), (micros * 1000).alias("timestamp_ns"), attributes.alias("attributes"),
     )

@@ -996,3 +996,20 @@ def traces_guard(spark, sf):
         except ValueError:
             out.append((name, "refused"))
     return spark.createDataFrame(out, "case_ string, outcome string")
+
+
+@query("""with w as (select n_nationkey, epoch_us(timestamp '2024-01-01 00:00:00') + n_nationkey * 86400000000 as lo, epoch_us(timestamp '2024-01-01 00:00:00') + n_nationkey * 86400000000 + 130000000000 as hi from nation)
+  select n_nationkey, count(*) as n from events e join w on epoch_us(e.ts) >= w.lo and epoch_us(e.ts) < w.hi group by 1""")
+def join_range_bucketed(spark, sf):
+    """Events in overlapping windows of a day and a half, met by buckets."""
+    first = 1704067200000000
+    windows = table(spark, sf, "nation").select("n_nationkey", (F.lit(first) + F.col("n_nationkey") * 86_400_000_000).alias("lo"), (F.lit(first + 130_000_000_000) + F.col("n_nationkey") * 86_400_000_000).alias("hi"))
+    points = table(spark, sf, "events").select(F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return tables.range_join(points, windows, "us", "lo", "hi", 86_400_000_000).groupBy("n_nationkey").agg(F.count("*").alias("n"))
+
+
+@query("select count(*) as n, count(*) filter (where id % 997 = 5) as n_needles, count(*) filter (where id % 1009 = 9) as n_phrases, 48 as n_attributes from range(20000) t(id)")
+def corpus_rich(spark, sf):
+    """The generated corpus of many attributes, and what was planted in it, found by search."""
+    rows = tables.corpus(spark, 20000, rich=True)
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.col("raw").rlike(" needle[0-9]+")).alias("n_needles"), F.count_if(text.match_terms(F.col("raw"), "quiet harbour lights")).alias("n_phrases"), F.max(F.array_size(F.json_object_keys("attributes"))).alias("n_attributes"))

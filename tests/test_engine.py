@@ -640,3 +640,16 @@ def test_latest_rows_fold_once(spark, tmp_path):
     latest.fold(frame([("a", 1, "late"), ("b", 7, None)]), 1)
     latest.fold(frame([("b", 9, "again")]), 1)  # a batch that is repeated
     assert sorted((tuple(r) for r in latest.read().collect()), key=str) == [("a", 2, "y"), ("b", 7, None), (None, 5, "z")]
+
+
+def test_ranges_meet_by_buckets(spark):
+    import random
+
+    r = random.Random(2)
+    points = [(i, r.choice([None, *range(-30, 60)])) for i in range(200)]
+    spans_ = [(100, 0, 10), (101, -25, 50), (102, 5, 5), (103, None, 9), (104, 9, None), (105, 7, 3), (106, -1, 0)] + [(200 + i, a, a + r.randint(1, 15)) for i, a in enumerate(r.choices(range(-30, 60), k=30))]
+    p, s = spark.createDataFrame(points, "i int, x long"), spark.createDataFrame(spans_, "j int, a long, b long")
+    want = sorted((i, j) for i, x in points for j, a, b in spans_ if None not in (x, a, b) and a <= x < b)
+    for width in (1, 7, 1000):
+        assert sorted((q["i"], q["j"]) for q in tables.range_join(p, s, "x", "a", "b", width).collect()) == want
+    assert tables.range_join(p.limit(0), s, "x", "a", "b", 5).count() == 0
