@@ -653,3 +653,12 @@ def test_ranges_meet_by_buckets(spark):
     for width in (1, 7, 1000):
         assert sorted((q["i"], q["j"]) for q in tables.range_join(p, s, "x", "a", "b", width).collect()) == want
     assert tables.range_join(p.limit(0), s, "x", "a", "b", 5).count() == 0
+
+
+def test_answers_in_the_form_asked_for(engine):
+    sql = "select host from events limit 3"
+    assert len(engine.query(sql)["rows"]) == 3 and engine.query(sql, dry_run=True)["columns"]
+    assert len(list(engine.query(sql, "ndjson"))) == 4 and engine.query(sql, "arrow").num_rows == 3
+    for bad in ({"format": "xml"}, {"format": "arrow", "dry_run": True}):
+        with pytest.raises(facade.Refused):
+            engine.query(sql, **bad)
