@@ -429,6 +429,37 @@ def test_templates_like_one_plain_pass(spark):
     assert {row["event_id"]: row["template"] for row in placed.collect()} == {i: " ".join(plain[found[" ".join(templates.tokens_of(t))]]) for i, t in enumerate(texts)}
 
 
+def test_templates_are_the_same_however_many_patterns_there_are(spark, sf):
+    import random
+
+    r = random.Random(5)
+    lines = table(spark, sf, "log_events").select("event_id", "raw")
+    few = {row["event_id"]: row["template"] for row in templates.mine(lines)[0].collect()}
+    for shard in (100, 7):  # fewer than there are patterns
+        assert {row["event_id"]: row["template"] for row in templates.mine(lines, shard=shard)[0].collect()} == few
+    word = lambda: "q" + "".join(r.choices("abcdefgh", k=14))
+    others = [(10**9 + i, f"{word()} {word()}") for i in range(templates.SHARD + 100)]  # share no word with any line
+    placed = {row["event_id"]: row["template"] for row in templates.mine(lines.union(spark.createDataFrame(others, "event_id long, raw string")))[0].collect()}
+    assert {i: t for i, t in placed.items() if i < 10**9} == few
+    assert all(placed[i] == text for i, text in others)
+
+
+def test_templates_compared_at_once_are_chosen_like_one_by_one(monkeypatch):
+    import random
+
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(30)]
+    texts = [r.sample(words, r.randint(1, 12)) + r.choices(["x", "y"], k=r.randint(0, 3)) for _ in range(1500)] + [r.choices(words, k=r.randint(60, 90)) for _ in range(40)]
+    r.shuffle(texts)
+    seen = []
+    for many in (0, 16, 10**9):
+        monkeypatch.setattr(templates, "MANY", many)
+        clusters = templates.Clusters()
+        seen.append(([clusters.add(t) for t in texts], [t.tokens for t in clusters.templates]))
+        assert max(t.size for t in clusters.templates) > 64 and len(clusters.templates) > 100
+    assert seen[0] == seen[1] == seen[2]
+
+
 def test_common_subsequence_and_merge():
     assert templates.common(list("abcd"), list("axcyd")) == list("acd")
     assert templates.merge("a b c".split(), "a x c d".split()) == ["a", templates.SLOT, "c", templates.SLOT]
