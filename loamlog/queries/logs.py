@@ -683,9 +683,10 @@ def live_tail(spark, sf):
     """The rows of a stream as they arrive."""
     from loamlog.streaming import ingest
 
-    name = "loamlog_" + scratch.uuid.uuid4().hex
-    ingest.tail(_stream(spark, sf), name).awaitTermination()
-    return spark.table(name).select("raw")
+    stream = _stream(spark, sf)
+    live = ingest.Tail(spark, scratch.new_path(spark, "tail"), stream.schema)
+    live.follow(stream, scratch.new_path(spark, "checkpoint")).awaitTermination()
+    return live.read().select("raw")
 
 
 @query("select user_id, cast(sum(cast(value as decimal(18, 4))) as double) / count(value) as mean, count(*) as n from events group by 1")

@@ -91,9 +91,37 @@ def to_files(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.outputMode("append").format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def tail(stream: DataFrame, name: str) -> StreamingQuery:
-    """A live tail: rows in the order of their arrival in an in-memory table."""
-    return stream.writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start()
+class Tail:
+    """A live tail: a stream's rows as they arrive, as files under ``folder``. ``batch`` and ``place`` are
+    the order of their arrival. Readers see whole micro-batches only, up to the mark; one that is
+    repeated replaces itself or, behind the mark, changes nothing. Nothing of it is held on the driver."""
+
+    def __init__(self, spark: SparkSession, folder: str, schema: T.StructType):
+        self.spark, self.schema = spark, T.StructType([*schema, T.StructField("place", T.LongType()), T.StructField("batch", T.LongType())])
+        self.store = Store(spark, folder)
+
+    def last(self) -> int | None:
+        """The number of the newest whole batch."""
+        return max((int(n) for n, _, _ in self.store.names("marks") if n.isdigit()), default=None)
+
+    def read(self, after: int = -1) -> DataFrame:
+        """The rows of the batches behind ``after``."""
+        last = self.last()
+        if last is None:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(f"{self.store.root}/rows").where(F.col("batch").between(after + 1, last))
+
+    def add(self, batch: DataFrame, number: int) -> None:
+        last = self.last()
+        if last is not None and last >= number:
+            return
+        batch.withColumn("place", F.monotonically_increasing_id()).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.store.root}/rows/batch={number}")
+        self.store.create(f"marks/{number}", "")
+        if last is not None:
+            self.store.delete(f"marks/{last}")
+
+    def follow(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
+        return stream.writeStream.foreachBatch(self.add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed(stream: DataFrame, width: str, slide: str | None = None, lateness: str = "10 minutes") -> DataFrame:

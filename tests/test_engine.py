@@ -642,6 +642,24 @@ def test_latest_rows_fold_once(spark, tmp_path):
     assert sorted((tuple(r) for r in latest.read().collect()), key=str) == [("a", 2, "y"), ("b", 7, None), (None, 5, "z")]
 
 
+def test_live_tail_is_files_of_whole_batches(spark, sf, tmp_path):
+    from loamlog.queries import logs as queries
+
+    rows = queries.live_tail(spark, sf)
+    assert rows.inputFiles() and rows.count() == spark.read.parquet(f"{sf}/events.parquet").count()  # not a table in the driver's memory
+    frame = lambda values: spark.createDataFrame([(v,) for v in values], "raw string").coalesce(1)
+    live = ingest.Tail(spark, f"file://{tmp_path}/tail", frame([]).schema)
+    assert live.read().count() == 0
+    for number, values in enumerate([["b", None, "a"], ["c"], [], ["b", "b"]]):
+        live.add(frame(values), number)
+    live.add(frame(["late"]), 1)  # a batch that is repeated
+    frame(["half"]).withColumn("place", F.lit(0).cast("long")).write.parquet(f"file://{tmp_path}/tail/rows/batch=4")  # and one that died before its mark
+    assert [r["raw"] for r in live.read().orderBy("batch", "place").collect()] == ["b", None, "a", "c", "b", "b"]
+    assert [r["raw"] for r in live.read(after=1).collect()] == ["b", "b"]
+    live.add(frame(["whole"]), 4)
+    assert [r["raw"] for r in live.read(after=3).collect()] == ["whole"]
+
+
 def test_ranges_meet_by_buckets(spark):
     import random
 
