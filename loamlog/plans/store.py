@@ -109,3 +109,46 @@ class Store:
 
     def delete(self, name: str) -> None:
         self._fs.delete(self.path(name), True)
+
+
+class TaskStore:
+    """The part of :class:`Store` that reads and puts whole files, for tasks: Python workers have no way
+    to Spark's file systems, so it is for those pyarrow knows by their URI."""
+
+    def __init__(self, root: str):
+        from pyarrow import fs
+
+        self.root, root = root.rstrip("/"), root.rstrip("/")
+        if root.startswith(("/", "file:")):
+            self._fs, self._at = fs.LocalFileSystem(), "/" + root.removeprefix("file:").lstrip("/")
+        else:
+            self._fs, self._at = fs.FileSystem.from_uri(root)
+
+    def exists(self, name: str) -> bool:
+        return bool(self._fs.get_file_info(f"{self._at}/{name}").type)
+
+    def names(self, folder: str) -> list[tuple[str, int, int]]:
+        """(name, bytes, changed at) of the folder's files."""
+        from pyarrow import fs
+
+        found = self._fs.get_file_info(fs.FileSelector(f"{self._at}/{folder}", allow_not_found=True))
+        return [(f.base_name, f.size, (f.mtime_ns or 0) // 1_000_000) for f in found if f.is_file]
+
+    def read(self, name: str) -> str:
+        return self.read_bytes(name).decode()
+
+    def read_bytes(self, name: str) -> bytes:
+        with self._fs.open_input_file(f"{self._at}/{name}") as stream:
+            return stream.read()
+
+    def put(self, name: str, data: str | bytes) -> None:
+        """Writes the file beside and moves it into place, in place of an older one."""
+        beside, (folder, _, last) = f"{self._at}/_tmp/{uuid.uuid4().hex}", f"{self._at}/{name}".rpartition("/")
+        self._fs.create_dir(f"{self._at}/_tmp")
+        self._fs.create_dir(folder)
+        with self._fs.open_output_stream(beside) as stream:
+            stream.write(data.encode() if isinstance(data, str) else data)
+        sums = f"{folder}/.{last}.crc"  # Hadoop's, of the older file
+        if self._fs.get_file_info(sums).type:
+            self._fs.delete_file(sums)
+        self._fs.move(beside, f"{folder}/{last}")

@@ -745,28 +745,25 @@ def file_packing(spark, sf):
 
 @query("select event_id, event_type, 1 as n_times from events")
 def wal_segments_consumed(spark, sf):
-    """Rows through a producer's sealed segments and a consumer that dies between reading and its commit."""
-    import pyarrow as pa
-
+    """Rows through producers' sealed segments and consumers that die between reading and their commit."""
+    from loamlog.plans.store import TaskStore
     from loamlog.streaming import ingest
 
-    segments = ingest.Segments(scratch.new_path(spark, "wal"), spark)
-    producer = ingest.Producer(segments, "p", rows=1000)
-    rows = ({"event_id": r[0], "event_type": r[1]} for r in table(spark, sf, "events").select("event_id", "event_type").toLocalIterator(prefetchPartitions=True))
-    while part := list(itertools.islice(rows, 5000)):
-        producer.append(pa.Table.from_pylist(part), now=0.0)
-    producer.flush()
-    seen, crashed = [], False
-    while names := segments.open("reader").poll(3):
-        rows = segments.open("reader").read(spark, names)
-        if not crashed:
-            crashed = True  # read, but not committed: polled again
-            continue
-        seen.append(scratch.materialise(rows, "read"))
-        segments.open("reader").commit(names[-1])
-    whole = seen[0]
-    for rows in seen[1:]:
-        whole = whole.unionByName(rows)
+    rows = table(spark, sf, "events").select("event_id", "event_type")
+    folders = ingest.produce(rows, scratch.new_path(spark, "wal"), segment_rows=1000, append_rows=5000)
+    path = scratch.new_path(spark, "read")
+
+    def read(segments):
+        out, producer, crashed = TaskStore(path), segments.folder.rpartition("/")[2], False
+        while names := segments.open("reader").poll(3):
+            ingest.keep(out, f"{producer}-{names[0]}.parquet", segments.rows(names))
+            if not crashed:
+                crashed = True  # kept, but not committed: polled again
+                continue
+            segments.open("reader").commit(names[-1])
+
+    ingest.consume(spark, folders, read)
+    whole = spark.read.schema(rows.schema).parquet(path) if folders else rows.limit(0)
     return whole.groupBy("event_id", "event_type").agg(F.count("*").alias("n_times"))
 
 

@@ -5,14 +5,16 @@ from __future__ import annotations
 import json
 import os
 import time
+import uuid
 import zlib
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from loamlog.plans.store import Store
+from loamlog.plans.store import Store, TaskStore
 from loamlog.sources.lake import Conflict, Lake
 
 # When a segment is sealed.
@@ -146,12 +148,13 @@ class Segments:
 
     A segment is an Arrow stream followed by its CRC-32. It appears whole. Drainers share segments by
     their state: one claims a sealed segment for a while, and finishes it once its rows are committed
-    elsewhere, or releases it; a claim that ran out is open to others again.
+    elsewhere, or releases it; a claim that ran out is open to others again. In a task ``store`` is a
+    :class:`TaskStore`, which has no claims.
     """
 
-    def __init__(self, folder: str, spark: SparkSession | None = None):
+    def __init__(self, folder: str, spark: SparkSession | None = None, store: TaskStore | None = None):
         self.folder = folder
-        self.store = Store(spark or SparkSession.active(), folder if ":" in folder else f"file://{os.path.abspath(folder)}")
+        self.store = store or Store(spark or SparkSession.active(), folder if ":" in folder else f"file://{os.path.abspath(folder)}")
 
     def seal(self, name: str, table) -> None:
         import pyarrow as pa
@@ -178,11 +181,14 @@ class Segments:
             raise ValueError(f"the segment {name} is damaged")
         return pa.ipc.open_stream(data[:-4]).read_all()
 
-    def frame(self, spark: SparkSession, names: list[str]) -> DataFrame:
+    def rows(self, names: list[str]):
         """The rows of a few segments: a consumer's batch."""
         import pyarrow as pa
 
-        return spark.createDataFrame(pa.concat_tables([self.read(n) for n in names]))
+        return pa.concat_tables([self.read(n) for n in names])
+
+    def frame(self, spark: SparkSession, names: list[str]) -> DataFrame:
+        return spark.createDataFrame(self.rows(names))
 
     def open(self, consumer: str) -> Consumer:
         return Consumer(self, consumer)
@@ -302,3 +308,59 @@ class Consumer:
         if self.last is not None and name < self.last:
             raise ValueError("a cursor doesn't move back")
         self.segments.store.put(self.cursor_file, json.dumps({"last_segment_name": name}))
+
+
+# Producers and consumers in tasks
+
+SEGMENTS_A_FOLDER = 512  # each poll lists a folder, so a producer goes on in another one after so many
+
+
+def produce(rows: DataFrame, folder: str, segment_rows: int = SEAL_ROWS, append_rows: int = 10_000) -> list[str]:
+    """Seals a table's rows, by a producer for each of its partitions that appends ``append_rows`` at a
+    time. Returns the folders of segments, below ``folder``; what a failed try of a task left isn't
+    among them."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        at: list[str] = []
+        producer = None
+        for batch in batches:
+            for start in range(0, batch.num_rows, append_rows):
+                if producer is None or producer.n >= SEGMENTS_A_FOLDER:
+                    if producer:
+                        producer.flush()
+                    at.append(f"{folder}/{uuid.uuid4().hex}")
+                    producer = Producer(Segments(at[-1], store=TaskStore(at[-1])), "p", rows=segment_rows)
+                producer.append(pa.Table.from_batches([batch.slice(start, append_rows)]), now=0.0)
+        if producer:
+            producer.flush()
+        yield pa.RecordBatch.from_pydict({"folder": pa.array(at, pa.string())})
+
+    return [r["folder"] for r in rows.mapInArrow(run, "folder string").collect()]
+
+
+def consume(spark: SparkSession, folders: list[str], loop: Callable[[Segments], None]) -> None:
+    """Runs a consumer's loop over each folder of segments, each in a task of its own. A task that is
+    tried again goes on at its consumer's cursor."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                loop(Segments(folders[i], store=TaskStore(folders[i])))
+        yield pa.RecordBatch.from_pydict({"id": pa.array([], pa.int64())})
+
+    if folders:
+        spark.range(0, len(folders), 1, len(folders)).mapInArrow(run, "id long").collect()
+
+
+def keep(store: TaskStore, name: str, rows) -> None:
+    """Puts an Arrow table as a Parquet file, in place of one of the same name."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    sink = pa.BufferOutputStream()
+    pq.write_table(rows, sink, compression="zstd")
+    store.put(name, sink.getvalue().to_pybytes())

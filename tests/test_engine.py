@@ -642,6 +642,40 @@ def test_latest_rows_fold_once(spark, tmp_path):
     assert sorted((tuple(r) for r in latest.read().collect()), key=str) == [("a", 2, "y"), ("b", 7, None), (None, 5, "z")]
 
 
+def test_segments_are_made_and_read_in_tasks(spark, tmp_path):
+    from loamlog.plans.store import Store, TaskStore
+    from loamlog.queries import logs as queries
+
+    def consumed(rows, group):
+        rows.write.parquet(f"file://{tmp_path}/{group}/events.parquet")
+        spark.sparkContext.setJobGroup(group, group)
+        got = queries.wal_segments_consumed(spark, f"file://{tmp_path}/{group}")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        return sorted((tuple(r) for r in got.collect()), key=lambda r: r[0]), jobs
+
+    some = spark.range(0, 23001, 1, 2).select(F.col("id").alias("event_id"), F.when(F.col("id") % 7 > 0, F.concat(F.lit("t"), F.col("id") % 5)).alias("event_type"))
+    got, jobs = consumed(some, "some")
+    assert got == [(i, f"t{i % 5}" if i % 7 else None, 1) for i in range(23001)]
+    assert jobs < 5  # not one for each batch of a consumer
+    assert consumed(some.limit(0), "none")[0] == []
+
+    folders = ingest.produce(some.limit(9000).coalesce(1), f"file://{tmp_path}/wal", segment_rows=10)
+    assert [len(ingest.Segments(f, spark).names()) for f in folders] == [900]  # one append
+    folders = ingest.produce(some.limit(9001).coalesce(1), f"file://{tmp_path}/wal", segment_rows=10, append_rows=100)
+    stores = [ingest.Segments(f, spark) for f in folders]
+    assert [len(x.names()) for x in stores] == [520, 381]
+    assert sum(x.rows(x.names()).num_rows for x in stores[:1]) == 5200
+
+    # files put by a task and by the driver replace each other
+    a, b = Store(spark, f"file://{tmp_path}/both"), TaskStore(f"file://{tmp_path}/both")
+    assert not b.exists("x/y") and b.names("x") == []
+    for writer, text_ in ((a, "one"), (b, "other"), (a, "third"), (b, "é")):
+        writer.put("x/y", text_)
+        assert a.read("x/y") == b.read("x/y") == text_ and [n for n, _, _ in b.names("x") if n[0] != "."] == ["y"] == [n for n, _, _ in a.names("x")]
+    assert b.exists("x/y")
+
+
 def test_live_tail_is_files_of_whole_batches(spark, sf, tmp_path):
     from loamlog.queries import logs as queries
 
