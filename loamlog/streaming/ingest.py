@@ -200,7 +200,9 @@ class Segments:
         return [(k, json.loads(self.store.read(f"state/{name}/{k}.json"))) for k in found[-1:]]
 
     def state(self, name: str, now: float | None = None) -> str:
-        steps = self._steps(name)
+        return self._state(self._steps(name), now)
+
+    def _state(self, steps: list[tuple[int, dict]], now: float | None) -> str:
         if not steps:
             return SEALED
         last = steps[-1][1]
@@ -208,9 +210,8 @@ class Segments:
             return SEALED
         return last["state"]
 
-    def _step(self, name: str, step: dict) -> bool:
-        """Adds a step, unless someone else did so first."""
-        steps = self._steps(name)
+    def _step(self, name: str, steps: list[tuple[int, dict]], step: dict) -> bool:
+        """Adds a step to those that were seen, unless someone else did so first."""
         return self.store.create(f"state/{name}/{steps[-1][0] + 1 if steps else 1}.json", json.dumps(step))
 
     def claim(self, claimer: str, at_most: int = 100, seconds: float = 300, now: float | None = None) -> list[str]:
@@ -220,24 +221,24 @@ class Segments:
         for name in self.names():
             if len(out) == at_most:
                 break
-            if self.state(name, now) == SEALED and self._step(name, {"state": CLAIMED, "claimer": claimer, "until": now + seconds}):
+            steps = self._steps(name)
+            if self._state(steps, now) == SEALED and self._step(name, steps, {"state": CLAIMED, "claimer": claimer, "until": now + seconds}):
                 out.append(name)
         return out
 
-    def _held(self, name: str, claimer: str) -> None:
+    def _held(self, name: str, claimer: str) -> list[tuple[int, dict]]:
         steps = self._steps(name)
         if not steps or steps[-1][1]["state"] != CLAIMED or steps[-1][1]["claimer"] != claimer:
             raise ValueError(f"{name} isn't claimed by {claimer}")
+        return steps
 
     def release(self, name: str, claimer: str) -> None:
-        self._held(name, claimer)
-        self._step(name, {"state": SEALED})
+        self._step(name, self._held(name, claimer), {"state": SEALED})
 
     def finish(self, name: str, claimer: str) -> None:
         """The segment's rows are committed. A claim that ran out can be finished as long as no other
         claimer took the segment: whoever commits rows does so by the segment's name, once."""
-        self._held(name, claimer)
-        if not self._step(name, {"state": COMMITTED, "claimer": claimer}):
+        if not self._step(name, self._held(name, claimer), {"state": COMMITTED, "claimer": claimer}):
             raise ValueError(f"{name} was taken by another claimer")
 
 

@@ -642,6 +642,37 @@ def test_latest_rows_fold_once(spark, tmp_path):
     assert sorted((tuple(r) for r in latest.read().collect()), key=str) == [("a", 2, "y"), ("b", 7, None), (None, 5, "z")]
 
 
+def test_claims_taken_between_look_and_step(spark, tmp_path):
+    one, two = (ingest.Segments(str(tmp_path / "wal"), spark) for _ in "ab")
+    one.seal("s", pa.table({"id": [1]}))
+    look = one.store.names
+
+    def overtaken(now):
+        """The other claims the segment right after the first look at its state."""
+
+        def names(folder):
+            found = look(folder)
+            if folder == "state/s":
+                one.store.names = look
+                assert two.claim("b", now=now, seconds=10) == ["s"]
+            return found
+
+        one.store.names = names
+
+    overtaken(0)
+    assert one.claim("a", now=0) == []
+    assert one.claim("a", now=20, seconds=10) == ["s"]  # b's claim ran out
+    overtaken(40)
+    with pytest.raises(ValueError):
+        one.finish("s", "a")
+    assert one.claim("a", now=60, seconds=10) == ["s"]
+    overtaken(80)
+    one.release("s", "a")
+    assert one.state("s", now=81) == "claimed"
+    two.finish("s", "b")
+    assert one.state("s", now=10**9) == "committed"
+
+
 def test_segments_are_made_and_read_in_tasks(spark, tmp_path):
     from loamlog.plans.store import Store, TaskStore
     from loamlog.queries import logs as queries
